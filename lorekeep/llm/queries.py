@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, suffix_dedup, token_counts, toxicity
+from . import decontaminate, mixing, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 

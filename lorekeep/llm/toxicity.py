@@ -162,5 +162,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose text isn't rejected, with the columns of ``docs``."""
-    scored = toxicity(need(docs, "doc_id", "text").withColumn("row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])).select("row", "text"), train(docs, labels))
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    scored = toxicity(packed, train(docs, labels))
     return scored.where("NOT toxic").select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
