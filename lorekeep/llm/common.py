@@ -9,17 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Only A-Z are folded; other letters keep their case.
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A-Z folded, every other ASCII sign that is no digit or letter a space, other bytes kept.
+_WORDS = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
+#: The same, with line ends kept.
+_LINES = _WORDS[:10] + b"\n" + _WORDS[11:]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def ascii_words(text: str | None) -> list[bytes]:
+    """Runs of digits, letters and non-ASCII characters, A-Z folded, as UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+
 
+def ascii_word_lines(text: str | None) -> list[list[bytes]]:
+    """``ascii_words`` of each line."""
+    return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").translate(_LINES).split(b"\n")]
 
-def ascii_lower(text: str) -> str:
-    """Lower-case A-Z only; ``bytes.lower`` does exactly that and is much faster than a translation table."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> None:

@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ascii_words as words
 from .common import map_batches, need, table
 
 RANK, EXTRA = 48, 12
@@ -37,14 +38,6 @@ LCS, LCS_LOW, ANSWER = 0.75, 0.5, 4
 BLOCK = 2000
 PIECE = 1 << 15
 
-#: A-Z folded, every other ASCII sign a space, other bytes kept.
-_TABLE = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-
-
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     at: dict = {}

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, simhash, suffix_dedup, token_counts, toxicity
+from . import decontaminate, licenses, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_quality_knn": quality.op9_quality_knn,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": licenses.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
 }
