@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import decontaminate, html_extract, licenses, media, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_progressive_jpeg": media.op2_progressive_jpeg,
+    "op3_html_crf": html_extract.op3_html_crf,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_source_mix": mixing.op6_source_mix,
