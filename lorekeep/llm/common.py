@@ -25,6 +25,21 @@ def ascii_word_lines(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").translate(_LINES).split(b"\n")]
 
 
+def joined_ascii_words(texts: list[str | None], size: int) -> Iterator[tuple[int, bytes, list[int]]]:
+    """Texts as in ``ascii_words``, not split, joined by spaces up to about ``size`` bytes: first index, bytes, starts."""
+    first, parts, starts, at = 0, [], [], 0
+    for n, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass").translate(_WORDS)
+        if parts and at + len(raw) > size:
+            yield first, b" ".join(parts), starts
+            first, parts, starts, at = n, [], [], 0
+        parts.append(raw)
+        starts.append(at)
+        at += len(raw) + 1
+    if parts:
+        yield first, b" ".join(parts), starts
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

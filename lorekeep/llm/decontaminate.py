@@ -2,8 +2,9 @@
 
 1. Terms are the benchmark's distinct words; their inverse frequencies are counted over all documents.
 2. Randomised SVD: every document is cut into passages of PASSAGE words, each a unit TF-IDF row of A. One distributed pass
-   gives Z = A'(A G) for a random G, summed term by term; the driver takes the leading RANK right singular directions from
-   (Z, G'Z), which are a few thousand rows.
+   gives Z = A'(A G) for a random G, summed term by term; the driver takes the leading right singular directions from
+   (Z, G'Z), which are a few thousand rows. The first COMMON ones tell languages and very common words apart and put
+   any two passages of a language close together; they are left out, and the next RANK are the latent space.
 3. Every document's sliding windows, of each benchmark item's own length and every STRIDE words, are folded into the
    latent space as differences of running sums. Windows whose cosine with an item reaches COSINE and that hold at least
    OVERLAP of the item's term weight are candidates.
@@ -21,17 +22,15 @@ benchmark marks nothing; an empty table gives none; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_words as words
-from .common import map_batches, need, table
+from .common import joined_ascii_words, map_batches, need, table
 
-RANK, EXTRA = 48, 12
+COMMON, RANK, EXTRA = 8, 40, 8
 PASSAGE, STRIDE = 40, 4
 COSINE, OVERLAP = 0.6, 0.5
 LCS, LCS_LOW, ANSWER = 0.75, 0.5, 4
@@ -62,33 +61,97 @@ def answer_of(text: str) -> list[bytes]:
     return got
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+class WordHashes:
+    """Polynomial hashes modulo 2**64 of the words of a byte string, all at once from one running sum."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word (run of bytes that aren't spaces) starts, and its hash."""
+        if len(self.up) <= len(raw):
+            n = max(PIECE * 8, 2 * len(raw))
+            self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
+        c = np.frombuffer(raw, np.uint8)
+        edge = np.diff((c != 32).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        total = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(c * self.up[: len(c)], out=total[1:])
+        return start, (total[end] - total[start]) * self.down[start] * _MIX
+
+
 class Items:
-    """A block of benchmark items, with their terms."""
+    """A block of benchmark items, with their terms and the terms' hashes."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         rows = [(i, t, w) for i, t in rows if (w := words(t))]
         self.ids = [i for i, _, _ in rows]
         self.words = [w for _, _, w in rows]
         self.answers = [answer_of(t) for _, t, _ in rows]
-        self.terms = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
+        terms = sorted({w for ws in self.words for w in ws})
+        hashes = WordHashes()(b" ".join(terms))[1]
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]  # terms are numbered by their hash
+        self.terms = {terms[k]: n for n, k in enumerate(order.tolist())}
+        # slot of the top bits -> first term there; slots with more terms are looked up in the sorted hashes
+        self.bits = max(16, (64 * len(terms)).bit_length())
+        slot = (self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.slots[slot[::-1]] = np.arange(len(terms), dtype=np.int32)[::-1]
+        self.crowded = np.bincount(slot, minlength=1 << self.bits) > 1
+
+    def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """Term numbers; other words get len(terms)."""
+        none = np.int32(len(self.hashes))
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.slots[slot]
+        out[self.hashes[np.maximum(out, 0)] != hashes] = none
+        if len(rest := np.flatnonzero(self.crowded[slot] & (out == none))):
+            k = np.minimum(np.searchsorted(self.hashes, hashes[rest]), len(self.hashes) - 1)
+            out[rest] = np.where(self.hashes[k] == hashes[rest], k, none)
+        return out
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
-        """Term numbers; other words get len(terms)."""
-        return np.fromiter(map(self.terms.get, ws, repeat(len(self.terms))), np.int32, len(ws))
+        return np.array([self.terms.get(w, len(self.terms)) for w in ws], np.int32)
+
+    def of_texts(self, texts: list[str | None], hasher: WordHashes):
+        """Yields (index of the first text, term numbers of joined texts, number of words of each text)."""
+        for first, raw, starts in joined_ascii_words(texts, 8 * PIECE):
+            at, hashes = hasher(raw)
+            bounds = np.searchsorted(at, np.append(starts, len(raw) + 1))
+            yield first, self.look_up(hashes), np.diff(bounds)
 
 
 def inverse_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     """ln(1 + documents / documents with the term), per term and a 0 for other words. One pass, pre-aggregated by task."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.terms)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
-        seen, n, terms = Counter(), 0, shared.value
-        vocabulary = terms.keys()
+        items, n, hasher = shared.value, 0, WordHashes()
+        seen = np.zeros(len(items.terms) + 1, np.int64)
         for b in batches:
-            for t in b["text"]:
-                seen.update(set(words(t)) & vocabulary)
-                n += 1
-        yield {"term": [-1, *(terms[w] for w in seen)], "n": [n, *seen.values()]}
+            n += len(b["text"])
+            for _, ids, size in items.of_texts(b["text"], hasher):
+                for at in range(0, len(size), 500):
+                    part = size[at : at + 500]
+                    here = np.zeros((len(part), len(seen)), bool)
+                    begin = int(size[:at].sum())
+                    here[np.repeat(np.arange(len(part)), part), ids[begin : begin + int(part.sum())]] = True
+                    seen += here.sum(axis=0)
+        hit = np.flatnonzero(seen[:-1])
+        yield {"term": [-1, *hit.tolist()], "n": [n, *seen[hit].tolist()]}
 
     got = dict(map_batches(need(docs, "text"), run, "term int, n long").groupBy("term").agg(F.sum("n")).collect())
     n = np.array([got.get(k, 0) for k in range(len(items.terms))], float)
@@ -97,7 +160,7 @@ def inverse_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
 
 def latent_rows(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 7) -> np.ndarray:
     """Terms (and a 0 row for other words) by RANK: idf times the leading right singular vectors of all TF-IDF passages."""
-    v, width = len(items.terms), min(RANK + EXTRA, len(items.terms))
+    v, width = len(items.terms), min(COMMON + RANK + EXTRA, len(items.terms))
     g = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0]
     shared = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.vstack([g, np.zeros((1, width))]).astype(np.float32)))
 
@@ -120,19 +183,13 @@ def latent_rows(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 7) -
             begin = np.flatnonzero(np.diff(ids, prepend=-1))
             z[ids[begin]] += np.add.reduceat(y[which[order]], begin, axis=0)
 
+        hasher = WordHashes()
         for b in batches:
-            ids, rows, at, held = [], [], 0, 0
-            for t in b["text"]:
-                now = items.numbers(words(t))
-                ids.append(now)
-                rows.append(at + np.arange(len(now)) // PASSAGE)
-                at += -(-len(now) // PASSAGE)
-                held += len(now)
-                if held > 4 * PIECE:
-                    add(np.concatenate(ids), np.concatenate(rows))
-                    ids, rows, held = [], [], 0
-            if held:
-                add(np.concatenate(ids), np.concatenate(rows))
+            for _, ids, size in items.of_texts(b["text"], hasher):
+                passages = -(-size // PASSAGE)
+                before = np.cumsum(passages) - passages
+                within = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+                add(ids, np.repeat(before, size) + within // PASSAGE)
         z *= idf[:, None]
         hit = np.flatnonzero(np.abs(z).sum(axis=1))
         yield {"term": hit, "z": z[hit].tolist()}
@@ -148,7 +205,8 @@ def latent_rows(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 7) -
     good = val > 1e-9 * max(val.max(initial=0), 1e-12)
     root = z @ (vec[:, good] / np.sqrt(val[good])) if good.any() else np.zeros((v, 1))
     u, s, _ = np.linalg.svd(root, full_matrices=False)
-    lead = u[:, np.argsort(-s)[:RANK]]
+    order = np.argsort(-s)
+    lead = u[:, order[COMMON : COMMON + RANK] if len(order) > 2 * COMMON else order]
     return np.vstack([idf[:v, None] * lead, np.zeros((1, lead.shape[1]))]).astype(np.float32)
 
 
@@ -156,7 +214,7 @@ class Search:
     """Finds the leaks of one block of items in texts."""
 
     def __init__(self, items: Items, idf: np.ndarray, rows: np.ndarray):
-        self.items, self.rows = items, rows
+        self.items, self.rows, self.hasher = items, rows, WordHashes()
         numbers = [items.numbers(w) for w in items.words]
         folded = np.stack([rows[n].sum(axis=0) for n in numbers])
         folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
@@ -180,7 +238,7 @@ class Search:
             u = run[m : len(blocks) + m] - run[: len(blocks)]
             score = u @ q
             norm = np.sqrt(np.einsum("ij,ij->i", u, u))
-            i, j = np.nonzero(score >= np.maximum(COSINE * norm, 1e-3)[:, None])
+            i, j = np.divmod(np.flatnonzero((score >= np.maximum(COSINE * norm, 1e-3)[:, None]).ravel()), len(which))
             for at in range(0, len(i), 20_000):
                 a, b = i[at : at + 20_000], j[at : at + 20_000]
                 near = padded[(a * STRIDE)[:, None] + np.arange((m + 2) * STRIDE)]
@@ -201,31 +259,35 @@ class Search:
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float]]]:
         """For each text its leaked items: (item id, LCS share, cosine), best window of each."""
         out: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
-        parts, held = [], 0
+        none, parts, held = len(self.items.terms), [], 0
 
         def flush():
             joined = np.concatenate([p[2] for p in parts])
             ends = np.cumsum([len(p[2]) for p in parts]) // STRIDE
             starts, items, cosines = self.candidates(joined)
+            split: dict[int, list[bytes]] = {}
             for k, s, j, c in zip(np.searchsorted(ends, starts, "right").tolist(), starts.tolist(), items.tolist(), cosines.tolist()):
-                n, ws, ids = parts[k]
-                if share := self.verify(ws, (s - int(ends[k])) * STRIDE + len(ids), j):
+                n, offset, ids = parts[k]
+                if n not in split:
+                    split = {n: words(texts[n])}
+                if share := self.verify(split[n], offset + (s - int(ends[k])) * STRIDE + len(ids), j):
                     out[n][j] = max(out[n].get(j, (0.0, 0.0)), (share, c))
 
         step = PIECE - 2 * (self.longest + 6) * STRIDE if PIECE > 4 * (self.longest + 6) * STRIDE else PIECE
-        for n, t in enumerate(texts):
-            whole = words(t)
-            for at in range(0, len(whole), step):
-                ws = whole[at : at + PIECE]
-                ids = self.items.numbers(ws)
-                ids = np.concatenate([ids, np.full(-len(ids) % STRIDE, len(self.items.terms), np.int32)])
-                if held and held + len(ids) > PIECE:
-                    flush()
-                    parts, held = [], 0
-                parts.append((n, ws, ids))
-                held += len(ids)
-                if at + PIECE >= len(whole):
-                    break
+        for first, every, size in self.items.of_texts(texts, self.hasher):
+            begin = 0
+            for n, count in enumerate(size.tolist(), first):
+                for at in range(0, count, step):
+                    ids = every[begin + at : begin + min(count, at + PIECE)]
+                    ids = np.concatenate([ids, np.full(-len(ids) % STRIDE, none, np.int32)])
+                    if held and held + len(ids) > PIECE:
+                        flush()
+                        parts, held = [], 0
+                    parts.append((n, at, ids))
+                    held += len(ids)
+                    if at + PIECE >= count:
+                        break
+                begin += count
         if parts:
             flush()
         return [sorted((self.items.ids[j], s, c) for j, (s, c) in found.items()) for found in out]
