@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_BYTES = 4 << 20
+
 #: A-Z folded, every other ASCII sign that is no digit or letter a space, other bytes kept.
 _WORDS = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
 #: The same, with line ends kept.
@@ -64,6 +66,9 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
     spec = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    # long texts: a batch is bounded by its bytes, on both sides of the pipe, whatever the number of its rows
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
     arrow = to_arrow_schema(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
