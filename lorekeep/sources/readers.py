@@ -50,7 +50,7 @@ def chat_messages(spark: SparkSession, path: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, path: str, max_pages: int = 30) -> DataFrame:
     """Landed pages of a document search (page, hasMore, nextToken, items): items up to the first last page."""
-    spec = T._parse_datatype_string("page int, hasMore boolean, nextToken string, items array<struct<nodeId:string,name:string,createTime:string>>")
+    spec = schemas.parse("page int, hasMore boolean, nextToken string, items array<struct<nodeId:string,name:string,createTime:string>>")
     pages = _objects(spark, path, spec).where(F.col("page") < max_pages)
     ended = F.max(F.when(~F.coalesce("hasMore", F.lit(False)) | (F.coalesce("nextToken", F.lit("")) == ""), 1).otherwise(0)).over(W.orderBy("page").rowsBetween(W.unboundedPreceding, -1))
     return pages.withColumn("ended", F.coalesce(ended, F.lit(0))).where("ended = 0").select("page", F.explode("items").alias("i")).select("page", "i.*")
@@ -66,7 +66,7 @@ def source_files(spark: SparkSession, folder: str, repo: str, commit: str | None
     """Indexable source files of an exported tree: repo, commit_sha, file_path, text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^.*?" + "/" + folder.strip("/").split("/")[-1] + "/", "")
-    out = files.select(F.lit(repo).alias("repo"), F.lit(commit).cast("string").alias("commit_sha"), path.alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    out = files.select(F.lit(repo).alias("repo"), F.lit(commit).cast("string").alias("commit_sha"), path.alias("file_path"), F.decode("content", "UTF-8").alias("text"))
     return indexable(out)
 
 
@@ -89,7 +89,7 @@ def inbox(spark: SparkSession, folder: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Undo snapshots by creation; malformed ones are skipped."""
-    spec = T._parse_datatype_string("snapshot_id string, action_id string, kind string, created_at string, payload string, encrypted boolean")
+    spec = schemas.parse("snapshot_id string, action_id string, kind string, created_at string, payload string, encrypted boolean")
     return _objects(spark, folder, spec).orderBy("created_at", "snapshot_id")
 
 
