@@ -1,6 +1,6 @@
 """From raw documents to a training mix: five stages, each over all that its predecessor kept.
 
-toxicity (7) drops documents whose toxicity is likelier than not; near_duplicates (5) keeps one document of each SimHash
+toxicity (7) drops documents that are likely to be toxic; near_duplicates (5) keeps one document of each SimHash
 component; repeats (4) cuts every byte of a 200-byte string that occurs again, and keeps all rows, emptied ones included;
 decontamination (8) drops documents with a benchmark leak; mixture (6) says how often each document is taken so that
 sources meet their target shares. All but the last return the columns of documents.

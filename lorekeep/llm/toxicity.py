@@ -2,7 +2,7 @@
 
 Grades: 0 clean, 1 toxic, 2 severely toxic. P(grade >= k) = sigmoid(w.x - theta_k), one w for both ordered thresholds
 theta_1 < theta_2; the output is the expected severity P(>=1) + P(>=2), in 0..2, and a document is rejected if
-P(>=1) >= 0.5. x is a set: a document's distinct words and their prefixes of 4 to 6 characters, hashed. w's features are
+P(>=1) >= REJECT. x is a set: a document's distinct words and their PREFIXES, hashed. w's features are
 chosen by an L1 penalty (accelerated proximal gradient), so only telling ones weigh anything and long clean texts don't add
 up to a toxic one; their weights are then fitted with a slight ridge (L-BFGS).
 
@@ -29,12 +29,15 @@ from .common import map_batches, need, table
 TRAIN_ROWS = 16_000
 SEVERE = 3
 DIMS = 1 << 20
-PENALTY = 1e-4
+PENALTY = 1e-3
 STEPS = 250
-RIDGE = 2e-6
+#: A document is rejected from this probability of any toxicity on.
+REJECT = 0.3
+RIDGE = 1e-5
+PREFIXES = (2, 3, 4, 5, 6)
 CACHE = 1 << 18
 #: Features enter the model if their chi-square against the labels reaches this.
-TELLING = 12.0
+TELLING = 15.0
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -42,7 +45,7 @@ _words = re.compile(r"[^\W\d_]+").findall
 def word_features(word: str) -> list[int]:
     """Hashed ids of a word and its prefixes."""
     raw = word.encode("utf-8", "surrogatepass")
-    return [crc32(raw) % DIMS] + [crc32(word[:k].encode("utf-8", "surrogatepass"), k) % DIMS for k in (4, 5, 6) if len(word) > k]
+    return [crc32(raw) % DIMS] + [crc32(word[:k].encode("utf-8", "surrogatepass"), k) % DIMS for k in PREFIXES if len(word) > k]
 
 
 def features(text: str | None) -> list[int]:
@@ -199,7 +202,7 @@ def toxicity(df: DataFrame, model: tuple[dict[int, float], tuple[float, float]],
                 score.append(sum(found[f] for f in sorted(found)))
             s = np.array(score, float)
             p1, p2 = sig(s - t1), sig(s - t2)
-            yield {c: b[c] for c in names} | {"severity": (p1 + p2).tolist(), "p_toxic": p1.tolist(), "toxic": (p1 >= 0.5).tolist()}
+            yield {c: b[c] for c in names} | {"severity": (p1 + p2).tolist(), "p_toxic": p1.tolist(), "toxic": (p1 >= REJECT).tolist()}
 
     names = [c for c in df.columns if c not in ("severity", "p_toxic", "toxic")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
