@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import table  # noqa: F401  used by the operators' modules
+
 BATCH_BYTES = 4 << 20
 
 #: A-Z folded, every other ASCII sign that is no digit or letter a space, other bytes kept.
@@ -42,10 +44,6 @@ def joined_ascii_words(texts: list[str | None], size: int) -> Iterator[tuple[int
         yield first, b" ".join(parts), starts
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> None:
     """Checkpoints go to the folder the cluster names; a local one is used only where it names none."""
     sc = spark.sparkContext

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_license_scan": licenses.ORACLE_SQL,
+    "op4_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
 }

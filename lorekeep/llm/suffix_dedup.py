@@ -315,3 +315,20 @@ def cut_repeats(df: DataFrame, **params) -> DataFrame:
     out = _with_masks(packed, make, "text string", keep="others", **params)
     size = {"n_chars": F.length("text").cast(df.schema["n_chars"].dataType)} if "n_chars" in df.columns else {}
     return out.select(*[size.get(c, F.col(f"keep.`{c}`" if c != "text" else "text")).alias(c) for c in df.columns])
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, s, md5_number(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199)) AS s FROM d)),
+r AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS g FROM (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh FROM r)),
+span AS (SELECT rid, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY rid, g),
+piece AS (
+  SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS b FROM span
+  UNION ALL SELECT rid, max(b), NULL FROM span GROUP BY rid
+),
+kept AS (SELECT p.rid, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS h FROM piece p JOIN d ON d.rid = p.rid GROUP BY p.rid),
+n AS (SELECT rid, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM span GROUP BY rid)
+SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN kept ON kept.rid = d.rid
+"""
