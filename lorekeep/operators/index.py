@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_set, tokens
 
+#: A table of query terms is broadcast up to this many rows; beyond, joins shuffle.
+BROADCAST_ROWS = 200_000
+
 K1, B = 1.2, 0.75
 FIELDS = ("title", "body", "symbol")
 
@@ -37,23 +40,47 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(token_set("query")).alias("term"))
 
 
-def _matches(units: DataFrame, terms: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows: counted, and no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def sent(df: DataFrame, yes: bool) -> DataFrame:
+    return F.broadcast(df) if yes else df
+
+
+def _matches(units: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
     """ku_id, dl, term, tf for the terms that any query has; other tokens are dropped before the shuffle."""
     wanted = terms.select("term").distinct()
     each = units.select("ku_id", tokens(unit_text()).alias("t")).select("ku_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return each.join(wanted, "term", "left_semi").groupBy("term", "ku_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return each.join(sent(wanted, few), "term", "left_semi").groupBy("term", "ku_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(units: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, ku_id, score (lower is better): idf ln((N-df+.5)/(df+.5)), floored at 1e-6 if not positive."""
     terms = query_terms(queries)
-    found = _matches(units, terms)
+    few = small(terms)
+    found = _matches(units, terms, few)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = df.crossJoin(F.broadcast(corpus_stats(units))).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "avg_len")  # one row of statistics
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    scored = found.join(weight, "term").select("term", "ku_id", part.alias("part"))
-    return terms.join(scored, "term").groupBy("query_id", "ku_id").agg(F.round(-F.sum("part"), 9).alias("score"))  # rounded: the order of a sum decides no tie
+    scored = found.join(sent(weight, few), "term").select("term", "ku_id", part.alias("part"))
+    both = scored.join(sent(terms, few), "term")
+    return both.groupBy("query_id", "ku_id").agg(F.round(-F.sum("part"), 9).alias("score"))  # rounded: the order of a sum decides no tie
+
+
+def jaccard_hits(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, ku_id, relevance (Jaccard of the token sets) for every pair with a shared term.
+
+    Shared terms are counted in a join of terms; the sets themselves aren't shuffled.
+    """
+    terms = query_terms(queries)
+    few = small(terms)
+    asked = queries.select("query_id", F.size(token_set("query")).alias("qn"))
+    each = units.select("ku_id", token_set(unit_text()).alias("t")).select("ku_id", F.size("t").alias("un"), F.explode("t").alias("term"))
+    both = each.join(sent(terms, few), "term").groupBy("query_id", "ku_id").agg(F.count("*").alias("n"), F.first("un").alias("un"))
+    return both.join(sent(asked, few), "query_id").select("query_id", "ku_id", (F.col("n") / (F.col("qn") + F.col("un") - F.col("n"))).alias("relevance"))
 
 
 def distinct_term_hits(index: DataFrame, queries: DataFrame) -> DataFrame:

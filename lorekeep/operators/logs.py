@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-AUDIT_EVENTS = ("gate_decision", "confirm_issued", "confirm_verified", "executed", "denied", "draft", "ingest", "inbox", "cli")
-AUDIT_ACTORS = ("policygate", "executor", "inbox", "kdl", "cli", "store")
+#: Names that an audit record may have. A deployment adds its daemon's name to the actors.
+AUDIT_EVENTS = (
+    "classify", "gate_decision", "confirm_issued", "confirm_verified", "confirm_rejected", "shim_invoke", "shim_deny", "exec_result", "refresh_lock_acquire",
+    "refresh_lock_release", "scaffold", "kill_switch", "privacy_filter", "undo_snapshot", "cli",
+)
+AUDIT_ACTORS = ("executor", "shim", "policygate", "cli", "privacy", "store")
 
 
 def pods_of(pods: DataFrame, service: str) -> DataFrame:
@@ -32,10 +36,10 @@ def tail(lines: DataFrame, n: int, key: str = "pod", order: str = "ln") -> DataF
     return lines.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
 
 
-def audit_records(df: DataFrame, now: Column) -> DataFrame:
+def audit_records(df: DataFrame, now: Column, actors: tuple[str, ...] = AUDIT_ACTORS) -> DataFrame:
     """Audit rows as written: an unknown event becomes ``cli`` and an unknown actor ``store``, the given value kept in detail."""
     detail = F.coalesce("detail", F.create_map().cast("map<string,string>"))
-    bad_event, bad_actor = ~F.coalesce("event", F.lit("")).isin(*AUDIT_EVENTS), ~F.coalesce("actor", F.lit("")).isin(*AUDIT_ACTORS)
+    bad_event, bad_actor = ~F.coalesce("event", F.lit("")).isin(*AUDIT_EVENTS), ~F.coalesce("actor", F.lit("")).isin(*actors)
     extra = F.map_filter(F.create_map(F.lit("_invalid_event"), F.when(bad_event, F.col("event")), F.lit("_invalid_actor"), F.when(bad_actor, F.col("actor"))), lambda k, v: v.isNotNull())
     out = df.withColumn("detail", F.map_concat(detail, extra)).withColumn("event", F.when(bad_event, "cli").otherwise(F.col("event"))).withColumn("actor", F.when(bad_actor, "store").otherwise(F.col("actor")))
     return out.withColumn("ts", F.coalesce("ts", now)).withColumn("date", F.substring("ts", 1, 10))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..enums import ANSWER_PREFIX, AUTHORITY_DEFAULT, AUTHORITY_SCORE, COMMITMENT_MARKERS, FRESH_DEFAULT, FRESH_SCORE, settings
 from ..functions.taint import external_safe
-from ..functions.text import answer_hash, coverage, has_marker, jaccard, question_fingerprint, share_found, strip, token_set, tokens
-from .index import bm25, inverted, query_terms, unit_text
+from ..functions.text import answer_hash, coverage, has_marker, question_fingerprint, share_found, strip, token_set, tokens
+from .index import bm25, jaccard_hits, query_terms, unit_text
 
 
 def lookup(label: Column, table: dict[str, float], default: float) -> Column:
@@ -53,9 +53,7 @@ def lexical_hits(units: DataFrame, queries: DataFrame, top_n: int, scorer: str =
     bm25: the best max(4 top_n, 20) by score (ties by ku_id), scaled by min-max. jaccard: every unit with a shared term.
     """
     if scorer == "jaccard":
-        terms = query_terms(queries).join(inverted(units).select("term", "ku_id").distinct(), "term").select("query_id", "ku_id").distinct()
-        both = terms.join(queries.select("query_id", token_set("query").alias("qt")), "query_id").join(units.select("ku_id", token_set(unit_text()).alias("ut")), "ku_id")
-        return both.select("query_id", "ku_id", jaccard(F.col("qt"), F.col("ut")).alias("relevance"), F.lit(0).alias("lex_rank"))
+        return jaccard_hits(units, queries).withColumn("lex_rank", F.lit(0))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "ku_id"))
     top = bm25(units, queries).withColumn("lex_rank", rank).where(F.col("lex_rank") <= max(4 * top_n, 20))
     return top.select("query_id", "ku_id", minmax(-F.col("score"), "query_id").alias("relevance"), "lex_rank")

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unit_id
 from ..operators import ingest, retrieve, store
+from ..sources.tables import table
 
 NOW = "2024-01-01T00:00:00Z"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as units: labels give authority and taint, the id's remainders freshness."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")

@@ -9,7 +9,7 @@ from .enums import COMMITMENT_MARKERS
 from .functions import redaction, taint, text
 from .functions.commands import argv_hash, normalize
 from .operators import freshness, index, ingest, logs, ops, policy, retrieve, store, validate
-from .plans.knowledge import NOW, answered_questions, benchmark_queries, chat_threads, document_units, table
+from .plans.knowledge import answered_questions, benchmark_queries, chat_threads, document_units, table
 from .policy_data import default_policy
 
 BINARY = "cli"
@@ -313,6 +313,19 @@ def _rules_sql() -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{' '.join(x)}', {n}, '{level}')" for k, x, n, level in rows) + ") v(kind, prefix, o, level)"
 
 
+_CHAT_Q = "q AS (SELECT conv_id || '/' || turn AS query_id, text AS query FROM conversations WHERE role = 'user' AND conv_id % 50 = 0 AND trim(coalesce(text, ''), E' \\n\\t\\r') <> '')"
+_SELF_Q = "q AS (SELECT ku_id AS query_id, title AS query FROM ku WHERE doc_id % 50 = 0 AND trim(coalesce(title, ''), E' \\n\\t\\r') <> '')"
+_DRAFT = _STRIP.format(f"string_agg({_STRIP.format('body')}, chr(10) || chr(10) ORDER BY rank)")
+
+
+def _verdict_sql(q: str) -> str:
+    """CTEs up to r: query_id, n, refs, fused, reason."""
+    marked = " OR ".join(f"contains(lower(query), '{m}')" for m in COMMITMENT_MARKERS)
+    return f"""{_KU}, {q}, {_BM25}, {_RANKED},
+        v AS (SELECT query_id, count(*) AS n, string_agg('doc:' || doc_id, ',' ORDER BY rank) AS refs, arg_min(fused, rank) AS fused, arg_min(relevance, rank) AS rel, arg_min(lex, rank) AS lex, arg_min(freshness, rank) AS f, bool_or(freshness = 'FRESH') AS fresh FROM ranked GROUP BY query_id),
+        r AS (SELECT query_id, n, refs, fused, CASE WHEN {marked} THEN 'commitment_marker' WHEN n IS NULL THEN 'no_hit' WHEN f = 'STALE' AND NOT fresh THEN 'best_stale_no_fresh' WHEN rel < 0.35 AND lex < 0.15 THEN 'low_relevance' ELSE 'ok' END AS reason FROM q LEFT JOIN v USING (query_id))"""
+
+
 ORACLE_SQL = {
     "tokenize_stats": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, array_to_string(t[1:3], ' ') AS head FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)",
     "match_expressions": f"WITH {_Q}, e AS (SELECT query_id, query, pos, t FROM (SELECT query_id, query, unnest({_tok('query')}) AS t, generate_subscripts({_tok('query')}, 1) AS pos FROM q)), f AS (SELECT query_id, query, t, min(pos) AS pos FROM e GROUP BY ALL) SELECT query_id, string_agg('\"' || t || '\"', ' OR ' ORDER BY pos) AS expression, " + " OR ".join(f"contains(lower(any_value(query)), '{m}')" for m in COMMITMENT_MARKERS) + " AS marked FROM f GROUP BY query_id",
@@ -322,10 +335,10 @@ ORACLE_SQL = {
         j AS (SELECT query_id, ku_id, round(len(list_intersect(x.t, u.t))::DOUBLE / len(list_distinct(list_concat(x.t, u.t))), 9) AS relevance FROM x, u WHERE list_has_any(x.t, u.t))
         SELECT query_id, ku_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, ku_id) AS rank, relevance FROM j QUALIFY rank <= 20""",
     "ranked_evidence": f"WITH {_KU}, {_Q}, {_BM25}, {_RANKED} SELECT query_id, rank, ku_id, round(fused, 6) AS fused, round(lex, 6) AS lexical_overlap FROM ranked",
-    "verdicts": f"""WITH {_KU}, {_Q}, {_BM25}, {_RANKED},
-        v AS (SELECT query_id, count(*) AS n, string_agg('doc:' || doc_id, ',' ORDER BY rank) AS refs, arg_min(fused, rank) AS fused, arg_min(relevance, rank) AS rel, arg_min(lex, rank) AS lex, arg_min(freshness, rank) AS f, bool_or(freshness = 'FRESH') AS fresh FROM ranked GROUP BY query_id),
-        r AS (SELECT query_id, n, refs, fused, CASE WHEN {" OR ".join(f"contains(lower(query), '{m}')" for m in COMMITMENT_MARKERS)} THEN 'commitment_marker' WHEN n IS NULL THEN 'no_hit' WHEN f = 'STALE' AND NOT fresh THEN 'best_stale_no_fresh' WHEN rel < 0.35 AND lex < 0.15 THEN 'low_relevance' ELSE 'ok' END AS reason FROM q LEFT JOIN v USING (query_id))
-        SELECT query_id, CASE WHEN reason = 'ok' THEN 'ANSWERABLE' ELSE 'ABSTAIN' END AS decision, reason, CASE WHEN reason IN ('commitment_marker', 'no_hit') THEN 0.0 ELSE round(fused, 6) END AS confidence, coalesce(n, 0) AS n_citations, coalesce(refs, '') AS refs FROM r""",
+    "verdicts": f"WITH {_verdict_sql(_Q)} SELECT query_id, CASE WHEN reason = 'ok' THEN 'ANSWERABLE' ELSE 'ABSTAIN' END AS decision, reason, CASE WHEN reason IN ('commitment_marker', 'no_hit') THEN 0.0 ELSE round(fused, 6) END AS confidence, coalesce(n, 0) AS n_citations, coalesce(refs, '') AS refs FROM r",
+    "draft_previews": f"WITH {_verdict_sql(_Q)}, t AS (SELECT query_id, {_DRAFT} AS draft FROM ranked WHERE coalesce(body, '') <> '' GROUP BY query_id) SELECT query_id, coalesce(reason = 'ok' AND draft <> '', FALSE) AS would_answer, CASE WHEN reason = 'ok' AND draft <> '' THEN sha256(draft) ELSE '' END AS draft_sha, CASE WHEN reason <> 'ok' THEN reason WHEN coalesce(draft, '') = '' THEN 'low_coverage' ELSE '' END AS abstain_reason FROM r LEFT JOIN t USING (query_id)",
+    "acceptance_measures": f"WITH {_verdict_sql(_SELF_Q)}, t AS (SELECT query_id, {_DRAFT} AS draft FROM ranked WHERE coalesce(body, '') <> '' GROUP BY query_id), h AS (SELECT r.query_id, EXISTS (FROM ranked k WHERE k.query_id = r.query_id AND k.ku_id = r.query_id) AS hit, reason = 'ok' AND coalesce(draft, '') <> '' AS ok FROM r LEFT JOIN t ON t.query_id = r.query_id) SELECT 'DOC' AS stratum, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (hit AND ok) AS answered FROM h",
+    "triage_packages": f"WITH {_verdict_sql(_CHAT_Q)} SELECT query_id AS msg_id, CASE WHEN reason = 'ok' THEN 'ANSWERABLE' ELSE 'ABSTAIN' END AS decision, reason, coalesce(n, 0) AS n_citations, CASE WHEN reason = 'ok' THEN n ELSE 0 END AS n_kus FROM r",
     "contradiction_groups": f"""WITH {_KU}, g AS (SELECT array_to_string(list_sort(list_distinct({_tok('title')})), '|') AS f, sha256(regexp_replace({_STRIP.format('body')}, '\\s+', ' ', 'g')) AS h FROM ku)
         SELECT sha256(f) AS fingerprint, count(*) AS n, count(DISTINCT h) AS n_answers FROM g WHERE f <> '' GROUP BY f HAVING count(DISTINCT h) >= 2""",
     "qa_pairs": f"WITH {_PAIRS} SELECT thread_id, q_pos, a_pos, question, answer FROM p",

@@ -141,7 +141,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    rec = spark.createDataFrame([("2024-01-02T00:00:00.000Z", 1, "ingest", "a", "kdl", None, None, None, "r", {"k": "v"}, 1)], schemas.AUDIT)
+    rec = spark.createDataFrame([("2024-01-02T00:00:00.000Z", 1, "classify", "a", "cli", None, None, None, "r", {"k": "v"}, 1)], schemas.AUDIT)
     writers.append_audit(rec, str(tmp_path / "audit"), "2024-01-03T00:00:00.000Z")
     (tmp_path / "audit" / "date=2024-01-02" / "bad.json").write_text("{oops\n")
     back = readers.audit(spark, str(tmp_path / "audit"), "2024-01-02").collect()

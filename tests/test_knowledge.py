@@ -173,7 +173,7 @@ PY = "import os\n\nclass A:\n    def m(self):\n        '''doc'''\n        return
 
 def test_symbols():
     got = [(s["symbol"], s["kind"], s["line_start"], s["line_end"]) for s in code.symbols_of("x.py", PY)]
-    assert got == [("A", "class", 3, 6), ("m", "method", 4, 6), ("g", "async_function", 8, 9)]
+    assert got == [("A", "class", 3, 6), ("m", "method", 4, 6), ("g", "async function", 8, 9)]
     js = "export function run(a)\n{\n  if (a) { b() }\n}\nconst f = (x) => x\nclass C {}\n"
     assert [(s["symbol"], s["line_start"], s["line_end"]) for s in code.symbols_of("x.js", js)] == [("run", 1, 4), ("f", 5, 6), ("C", 6, 6)]
     assert [s["symbol"] for s in code.symbols_of("x.py", "def broken(:\n")] == ["broken"]
