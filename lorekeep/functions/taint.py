@@ -30,7 +30,7 @@ def strictest_of(array: Column) -> Column:
     return of_rank(F.coalesce(F.array_max(ranks), F.lit(0)))
 
 
-def coerce(label: Column, default: str = "INTERNAL") -> Column:
+def coerce(label: Column, default: str = "CLEAN") -> Column:
     """Upper-cased label, or the default if it is none of the three (unlike ``rank``, which takes it for SENSITIVE)."""
     up = F.upper(label)
     return F.when(up.isin(*TAINTS), up).otherwise(F.lit(default))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,10 +101,23 @@ def first_heading(x: Column | str, fallback: Column) -> Column:
     return F.when(found == "", fallback).otherwise(found)
 
 
-def slug(x: Column | str) -> Column:
-    """Lower-case slug of letters, digits and ideographs joined by hyphens (input is taken as already normalised)."""
-    kept = F.regexp_replace(F.lower(col(x)), r"(?U)[^\w\s-]", "")
-    return F.regexp_replace(F.regexp_replace(kept, r"(?U)[\s_-]+", "-"), "^-+|-+$", "")
+def compatible(x: Column) -> Column:
+    """Unicode compatibility composition; the JVM has no function for it."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return run(x)
+
+
+def slug(x: Column | str, separator: str = "-") -> Column:
+    """Anchor of a heading: letters, digits, underscores, hyphens and ideographs stay, white space becomes the separator."""
+    kept = F.regexp_replace(F.lower(strip(compatible(col(x)))), r"(?U)[^\w\-\s]", "")
+    sep = re.escape(separator)
+    one = F.regexp_replace(F.regexp_replace(kept, r"(?U)\s+", separator), f"(?:{sep}){{2,}}", separator)
+    bare = F.regexp_replace(one, f"^(?:{sep})+|(?:{sep})+$", "")
+    return F.when(bare == "", "section").otherwise(bare)
 
 
 def timestamp_text(x: Column, millis: bool = False) -> Column:

@@ -30,6 +30,11 @@ def inverted(units: DataFrame) -> DataFrame:
     return each.select("ku_id", "x.field", F.explode(token_set("x.text")).alias("term"))
 
 
+def refreshed(existing: DataFrame, changed: DataFrame) -> DataFrame:
+    """Postings with those of the changed units made anew."""
+    return existing.join(changed.select("ku_id").distinct(), "ku_id", "left_anti").select(*existing.columns).unionByName(postings(changed))
+
+
 def corpus_stats(units: DataFrame) -> DataFrame:
     """One row: n_docs, avg_len."""
     return units.select(F.size(tokens(unit_text())).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))

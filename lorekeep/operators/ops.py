@@ -48,6 +48,14 @@ def notice_line(base: str) -> Column:
     return F.format_string(f"· #%d [%s/%s]《%s》\n  {base}/issues/%d", "number", "line", "priority", F.substring("title", 1, 34), "number")
 
 
+def announcement(agent: str) -> Column:
+    """Fixed-form progress text of a task (title, target_branch, issue); free text never enters."""
+    title = F.coalesce(F.when(F.trim("title") != "", F.trim("title")), F.lit("(无标题)"))
+    ref = F.coalesce(F.concat(F.lit("feedback#"), F.col("issue").cast("string"), F.lit(" ")), F.lit(""))
+    target = F.when(F.coalesce("target_branch", F.lit("")) != "", F.concat(F.lit(" → "), "target_branch")).otherwise("")
+    return F.concat(F.lit(f"🤖 {agent} 正在处理 "), ref, F.lit("《"), title, F.lit("》\n· 任务已发布，执行中"), target, F.lit("\n（自动进度播报·非本人发言）"))
+
+
 def seen_after(seen: DataFrame, new: DataFrame, notified: bool) -> DataFrame:
     """Seen numbers after a patrol: the new ones count only if the notice went out."""
     return seen.select("number").union(new.select("number")).distinct() if notified else seen.select("number")

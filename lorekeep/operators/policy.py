@@ -128,3 +128,12 @@ def route(gated: DataFrame, verified: DataFrame | None = None) -> DataFrame:
 def shim_allows(level: Column, token_ok: Column) -> Column:
     """Only R0 runs without a valid gate token."""
     return (F.coalesce(level, F.lit("")) == "R0") | F.coalesce(token_ok, F.lit(False))
+
+
+def inverse_intents(snapshots: DataFrame, binary: str, now: str) -> DataFrame:
+    """For each snapshot (action_id, kind) the intent to undo it: a placeholder that goes through the gate like any other."""
+    none = F.lit(None).cast("string")
+    new_id = F.concat(F.lit("AI-"), F.regexp_replace(F.lit(now[:10]), "-", ""), F.lit("-"), F.substring(F.sha2(F.concat(F.lit("undo|"), "action_id"), 256), 1, 8))
+    label = F.struct(F.lit("maybe").alias("commit_class"), F.lit("INTERNAL").alias("taint"), F.lit(False).alias("public_ok"))
+    meta = F.create_map(F.lit("inverse_of"), F.col("action_id"), F.lit("restore_kind"), F.col("kind"), F.lit("best_effort"), F.lit("true"))
+    return snapshots.select(new_id.alias("action_id"), F.lit(now).alias("created_at"), F.lit("cli").alias("source"), F.array(F.lit(binary), F.lit("undo"), F.col("action_id")).alias("argv"), none.alias("cwd"), none.alias("stdin"), label.alias("semantic_labels"), meta.alias("meta"))

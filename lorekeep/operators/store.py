@@ -168,3 +168,8 @@ def encrypted(units: DataFrame, key: Column) -> DataFrame:
 def decrypted(units: DataFrame, key: Column) -> DataFrame:
     open_ = lambda c: F.aes_decrypt(c, key, F.lit("GCM")).cast("string")
     return units.withColumn("body", open_(F.col("body"))).withColumn("provenance", F.transform("provenance", lambda p: p.withField("quote", open_(p["quote"]))))
+
+
+def flags_as_numbers(df: DataFrame) -> DataFrame:
+    """Booleans as 0/1, as row-oriented stores keep them."""
+    return df.select(*[F.col(f.name).cast("int").alias(f.name) if f.dataType.simpleString() == "boolean" else F.col(f.name) for f in df.schema])

@@ -146,7 +146,7 @@ def taint_fold(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     declared = F.element_at(F.array(F.lit("clean"), F.lit("INTERNAL"), F.lit("odd")), (F.col("doc_id") % 3 + 1).cast("int"))
     found = F.when(F.col("toxic") == 1, "SENSITIVE").when(F.contains("text", F.lit("@")), "INTERNAL").otherwise("CLEAN")
-    return d.select("doc_id", taint.strictest(taint.coerce(declared), found).alias("taint"), taint.strictest(declared, found).alias("raw"))
+    return d.select("doc_id", taint.strictest(taint.coerce(declared, "INTERNAL"), found).alias("taint"), taint.strictest(declared, found).alias("raw"))
 
 
 def unit_inventory(spark, sf_dir):

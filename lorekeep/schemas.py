@@ -48,9 +48,10 @@ KNOWLEDGE_UNIT = parse(
     "owner string, serve_blocked boolean, derived_stale boolean, expires_at string, superseded_by string, last_verified_at string, created_at string, updated_at string"
 )
 CHAT_PAGE = parse(
-    "conversationMessagesList array<struct<openConversationId:string,title:string,singleChat:boolean,"
-    "messages:array<struct<openMessageId:string,senderId:string,sender:string,content:string,createTime:string>>>>, hasMore boolean, nextCursor string"
+    "result struct<conversationMessagesList:array<struct<openConversationId:string,singleChat:boolean,"
+    "messages:array<struct<openMessageId:string,senderOpenDingTalkId:string,sender:string,content:string,createTime:string>>>>,hasMore:boolean,nextCursor:string>"
 )
+DOC_PAGE = parse("page int, hasMore boolean, nextPageToken string, documents array<struct<nodeId:string,name:string,docUrl:string,contentType:string,extension:string,createTime:string,creatorUid:string>>")
 INTENT = parse(
     "action_id string, created_at string, source string, argv array<string>, cwd string, stdin string, "
     "semantic_labels struct<commit_class:string,taint:string,public_ok:boolean>, meta map<string,string>"

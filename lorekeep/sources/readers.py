@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,18 +41,24 @@ def merged_candidates(spark: SparkSession, folder: str, pattern: str = "doc-*.js
 
 def chat_messages(spark: SparkSession, path: str) -> DataFrame:
     """Chat search results as flat messages, with has_more and next_cursor of their page."""
-    pages = _objects(spark, path, schemas.CHAT_PAGE)
+    pages = _objects(spark, path, schemas.CHAT_PAGE).select("result.*")
     talks = pages.select("hasMore", "nextCursor", F.explode("conversationMessagesList").alias("t"))
-    m = talks.select("hasMore", "nextCursor", "t.openConversationId", "t.singleChat", "t.title", F.explode("t.messages").alias("m"))
-    return m.select(F.col("m.openMessageId").alias("msg_id"), F.col("openConversationId").alias("conversation_id"), F.col("title").alias("conversation"), F.coalesce("singleChat", F.lit(False)).alias("single_chat"), F.col("m.senderId").alias("sender_id"), F.col("m.sender").alias("sender_name"), F.col("m.content").alias("content"), F.col("m.createTime").alias("create_time"), F.col("hasMore").alias("has_more"), F.col("nextCursor").alias("next_cursor"))
+    m = talks.select("hasMore", "nextCursor", "t.openConversationId", "t.singleChat", F.explode("t.messages").alias("m"))
+    return m.select(F.col("openConversationId").alias("conversation_id"), F.coalesce("singleChat", F.lit(False)).alias("single_chat"), F.col("m.senderOpenDingTalkId").alias("sender_id"), F.col("m.sender").alias("sender_name"), F.col("m.content").alias("content"), F.col("m.createTime").alias("create_time"), F.col("m.openMessageId").alias("msg_id"), F.coalesce("hasMore", F.lit(False)).alias("has_more"), F.col("nextCursor").alias("next_cursor"))
 
 
 def doc_pages(spark: SparkSession, path: str, max_pages: int = 30) -> DataFrame:
-    """Landed pages of a document search (page, hasMore, nextToken, items): items up to the first last page."""
-    spec = schemas.parse("page int, hasMore boolean, nextToken string, items array<struct<nodeId:string,name:string,createTime:string>>")
-    pages = _objects(spark, path, spec).where(F.col("page") < max_pages)
-    ended = F.max(F.when(~F.coalesce("hasMore", F.lit(False)) | (F.coalesce("nextToken", F.lit("")) == ""), 1).otherwise(0)).over(W.orderBy("page").rowsBetween(W.unboundedPreceding, -1))
-    return pages.withColumn("ended", F.coalesce(ended, F.lit(0))).where("ended = 0").select("page", F.explode("items").alias("i")).select("page", "i.*")
+    """Documents of landed search pages, up to the first page that says it is the last or has no token."""
+    pages = _objects(spark, path, schemas.DOC_PAGE).where(F.col("page") < max_pages)
+    last = ~F.coalesce("hasMore", F.lit(False)) | (F.coalesce("nextPageToken", F.lit("")) == "")
+    stop = pages.where(last).agg(F.min("page").alias("stop"))  # one row
+    kept = pages.crossJoin(F.broadcast(stop)).where("stop IS NULL OR page <= stop")
+    return kept.select("page", F.explode("documents").alias("i")).select("page", "i.*")
+
+
+def code_units(units: DataFrame, repo: str) -> DataFrame:
+    """What the freshness check needs of a repository's code units: no bodies are read."""
+    return units.where((F.col("source_type") == "CODE") & (F.col("repo") == repo)).select("ku_id", "repo", "file_path", "symbol", "commit_sha", "content_hash", "authority", "source_type")
 
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:

@@ -11,6 +11,7 @@ from lorekeep.policy_data import default_policy
 from lorekeep.sources import readers, writers
 from lorekeep.streaming import inbox
 
+NOW = "2024-01-01T00:00:00Z"
 CASES = {
     "chat message list": ("R0", "AUTO"), "chat message list --all": ("R0", "AUTO"), "chat message list-direct": ("R2", "HUMAN_CONFIRM"), "chat message send x": ("R3", "HUMAN_CONFIRM"),
     "auth export": (None, "DENY"), "auth status": ("R3", "HUMAN_CONFIRM"), "todo create": ("R1", "HUMAN_CONFIRM"), "unknown": ("R2", "HUMAN_CONFIRM"), "": ("R2", "HUMAN_CONFIRM"),
@@ -119,7 +120,7 @@ def test_sources(spark, tmp_path):
     (docs / "doc-c.json").write_text(json.dumps({"title": "no list"}))
     assert [(r.file, r.pos, r.title) for r in readers.merged_candidates(spark, str(docs)).orderBy("pos").collect()] == [("doc-a.json", 0, "a"), ("doc-a.json", 1, "b")]
     assert readers.candidates(spark, str(docs / "doc-c.json")).first().title == "no list"
-    (tmp_path / "chat.json").write_text(json.dumps({"hasMore": True, "nextCursor": "n", "conversationMessagesList": [{"openConversationId": "c", "messages": [{"openMessageId": "m", "content": "hi"}]}]}))
+    (tmp_path / "chat.json").write_text(json.dumps({"result": {"hasMore": True, "nextCursor": "n", "conversationMessagesList": [{"openConversationId": "c", "messages": [{"openMessageId": "m", "content": "hi"}]}]}}))
     m = readers.chat_messages(spark, str(tmp_path / "chat.json")).first()
     assert (m.msg_id, m.conversation_id, m.single_chat, m.has_more) == ("m", "c", False, True)
     src = tmp_path / "src"
@@ -136,7 +137,7 @@ def test_sources(spark, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
     for k, more in ((0, True), (1, False), (2, True)):
-        (pages / f"{k}.json").write_text(json.dumps({"page": k, "hasMore": more, "nextToken": "t", "items": [{"nodeId": f"n{k}", "name": "x"}]}))
+        (pages / f"{k}.json").write_text(json.dumps({"page": k, "hasMore": more, "nextPageToken": "t", "documents": [{"nodeId": f"n{k}", "name": "x"}]}))
     assert [r.nodeId for r in readers.doc_pages(spark, str(pages)).orderBy("page").collect()] == ["n0", "n1"]
 
 
@@ -150,6 +151,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "edges")).count() == 1
 
 
+def test_undo_and_announcements(spark):
+    snaps = spark.createDataFrame([("AI-1", "doc")], "action_id string, kind string")
+    r = policy.inverse_intents(snaps, "cli", NOW).first()
+    assert r.argv == ["cli", "undo", "AI-1"] and r.meta["restore_kind"] == "doc" and r.semantic_labels.commit_class == "maybe"
+    assert validate.intent_errors(policy.inverse_intents(snaps, "cli", NOW), "cli").first().errors == []
+    t = spark.createDataFrame([(" Fix ", "main", 7), (None, None, None)], "title string, target_branch string, issue long")
+    got = [x[0] for x in t.select(ops.announcement("helper")).collect()]
+    assert "feedback#7 《Fix》" in got[0] and "→ main" in got[0] and "(无标题)" in got[1]
+
+
 def test_small_decisions(spark):
     p = spark.createDataFrame([("a", "200", "x", ""), ("b", "404", "elb", ""), ("c", "000", "", "")], "host string, code string, server string, router string")
     assert {r.host: r.verdict for r in logs.diagnose(p).collect()} == {"a": "reachable", "b": "gateway_route_missing", "c": "unreachable"}

@@ -49,12 +49,14 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("\u3000 x\ty \n", "intro\n # Title one \nrest", "we Will ship")], "a string, b string, c string")
     r = df.select(text.strip("a"), text.first_heading("b", F.lit("none")), text.has_marker("c", ("we will",)), text.match_expression("a"), text.slug("b")).first()
     assert tuple(r)[:4] == ("x\ty", "Title one", True, '"x" OR "y"')
+    slugs = spark.createDataFrame([(" Ａ b_c -- 知识! ",), ("!!",)], "t string").select(text.slug("t")).collect()
+    assert [x[0] for x in slugs] == ["a-b_c-知识", "section"]
     assert text.blank("a") is not None and spark.createDataFrame([(" \u00a0\n",)], "t string").select(text.blank("t")).first()[0]
 
 
 def test_taint(spark):
     df = spark.createDataFrame([("CLEAN", "INTERNAL"), ("CLEAN", "CLEAN"), ("odd", "CLEAN"), (None, "CLEAN")], "a string, b string")
-    got = [tuple(r) for r in df.select(taint.strictest(F.col("a"), F.col("b")), taint.coerce(F.col("a")), taint.external_safe(F.col("a"))).collect()]
+    got = [tuple(r) for r in df.select(taint.strictest(F.col("a"), F.col("b")), taint.coerce(F.col("a"), "INTERNAL"), taint.external_safe(F.col("a"))).collect()]
     assert got == [("INTERNAL", "CLEAN", True), ("CLEAN", "CLEAN", True), ("SENSITIVE", "INTERNAL", False), ("SENSITIVE", "INTERNAL", False)]
     none = spark.range(1).select(taint.strictest_of(F.array().cast("array<string>")), taint.strictest_of(F.lit(None).cast("array<string>"))).first()
     assert tuple(none) == ("CLEAN", "CLEAN")

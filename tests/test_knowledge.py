@@ -83,6 +83,13 @@ def test_distillers(spark):
     assert [p.kind for p in got[("PLAYBOOK", "Deploy")].provenance] == ["DOC_ID", "MAIL_ID"]
     assert got[("CODE", "a.py")].provenance[0].ref == "abc:a.py"
     assert distill.distiller("unknown") is distill.rule_based
+    given = raw(spark, ("QA", "Q: a\nA: b", {"msg_id": "m", "provenance": '[{"kind": "FILE", "ref": "f"}, {"kind": "FILE", "ref": " "}]'}))
+    assert [p.ref for p in distill.rule_based(given).first().provenance] == ["f"]
+    issues = spark.createDataFrame([(1, "t", "现象: x", "me", "2024", [("r", "f", "s")])], f"id long, title string, body string, assignee string, ts string, linked_symbols {schemas.LINKED}")
+    i = distill.issues_to_candidates(issues).first()
+    assert (i.title, i.body, i.owner, i.provenance[0].ref, i.provenance[0].captured_at, i.linked_symbols[0].symbol) == ("t", "症状: x", "me", "1", "2024", "s")
+    d = distill.documents_to_candidates(spark.createDataFrame([("d", "1. go")], "doc_id string, text string")).first()
+    assert (d.title, d.body, d.provenance[0].ref) == ("1. go", "1. go", "d")
 
 
 UNIT = "ku_id string, source_type string, title string, body string, taint string, authority string, freshness string, serve_blocked boolean, repo string, file_path string, symbol string, content_hash string, provenance array<struct<kind:string,ref:string,retrievable:boolean>>"
@@ -129,6 +136,7 @@ def test_symbol_beats_lexical_and_drafts(spark):
 def test_bm25_closed_form(spark):
     units = [unit("1", "x x y", ""), unit("2", "y z", ""), unit("3", "z z z", ""), unit("4", "w", "")]
     df = spark.createDataFrame(units, UNIT)
+    assert index.refreshed(index.postings(df), df.limit(1)).count() == index.postings(df).count()
     got = {r.ku_id: r.score for r in index.bm25(df, spark.createDataFrame([("q", "x")], "query_id string, query string")).collect()}
     import math
 
