@@ -49,10 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; each stage's result is written as Parquet in the shared folder and read again by the next."""
+    """The stages in order; each stage's result is written as Parquet in the shared folder and read again by the next,
+    then removed. The last one's stays, as the returned rows are read from it."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lorekeep"
-    docs, out = table(spark, sf_dir, "documents"), f"{shared}/corpus-{uuid.uuid4().hex}"
+    docs, out, before = table(spark, sf_dir, "documents"), f"{shared}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{out}/{name}"
     return docs
