@@ -21,13 +21,14 @@ def unit_text() -> Column:
 def postings(units: DataFrame) -> DataFrame:
     """term, ku_id, field, tf. A term is a token of ``functions.text.tokens`` (an underscore joins, it doesn't split)."""
     each = units.select("ku_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])).alias("x"))
-    return each.select("ku_id", "x.field", F.explode(tokens("x.text")).alias("term")).groupBy("term", "ku_id", "field").agg(F.count("*").alias("tf"))
+    terms = each.select("ku_id", "x.field", F.explode_outer(tokens("x.text")).alias("term")).where("term IS NOT NULL")
+    return terms.groupBy("term", "ku_id", "field").agg(F.count("*").alias("tf"))
 
 
 def inverted(units: DataFrame) -> DataFrame:
     """term, ku_id, field as a set: the fallback index."""
     each = units.select("ku_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])).alias("x"))
-    return each.select("ku_id", "x.field", F.explode(token_set("x.text")).alias("term"))
+    return each.select("ku_id", "x.field", F.explode_outer(token_set("x.text")).alias("term")).where("term IS NOT NULL")
 
 
 def refreshed(existing: DataFrame, changed: DataFrame) -> DataFrame:
@@ -57,7 +58,10 @@ def sent(df: DataFrame, yes: bool) -> DataFrame:
 def _matches(units: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
     """ku_id, dl, term, tf for the terms that any query has; other tokens are dropped before the shuffle."""
     wanted = terms.select("term").distinct()
-    each = units.select("ku_id", tokens(unit_text()).alias("t")).select("ku_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    # the length is taken before the explode: after it, every exploded row would carry the array along. The explode is an
+    # outer one: for an inner one, a filter on the array's size is pushed to the scan, and the tokens are made twice.
+    sized = units.select("ku_id", tokens(unit_text()).alias("t")).select("ku_id", F.size("t").alias("dl"), "t")
+    each = sized.select("ku_id", "dl", F.explode_outer("t").alias("term"))
     return each.join(sent(wanted, few), "term", "left_semi").groupBy("term", "ku_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -83,7 +87,8 @@ def jaccard_hits(units: DataFrame, queries: DataFrame) -> DataFrame:
     terms = query_terms(queries)
     few = small(terms)
     asked = queries.select("query_id", F.size(token_set("query")).alias("qn"))
-    each = units.select("ku_id", token_set(unit_text()).alias("t")).select("ku_id", F.size("t").alias("un"), F.explode("t").alias("term"))
+    sized = units.select("ku_id", token_set(unit_text()).alias("t")).select("ku_id", F.size("t").alias("un"), "t")
+    each = sized.select("ku_id", "un", F.explode_outer("t").alias("term"))
     both = each.join(sent(terms, few), "term").groupBy("query_id", "ku_id").agg(F.count("*").alias("n"), F.first("un").alias("un"))
     return both.join(sent(asked, few), "query_id").select("query_id", "ku_id", (F.col("n") / (F.col("qn") + F.col("un") - F.col("n"))).alias("relevance"))
 
