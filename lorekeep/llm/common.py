@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -59,6 +60,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of what has been cut: they are removed when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str | T.StructType) -> DataFrame:
     """``fn`` takes an iterator of {column: list} and yields the same for ``schema``; values cross in Arrow batches."""
     spec = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)

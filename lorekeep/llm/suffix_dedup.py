@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, table
+from .common import cut, free, map_batches, table
 
 LENGTH = 200
 GRAM = 64
@@ -222,6 +222,7 @@ def repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     every = anchors(df, length, gram, piece)
     many = every.groupBy("bucket").agg(F.sum("n").alias("c")).where("c > 1").select("bucket")
     held = cut(every.join(many, "bucket"))
+    free(df.sparkSession)
     segs = cut(held.groupBy("bucket", "segment").agg(F.sum("n").alias("c"), F.min("k").alias("k")))
     full = held.join(segs.where("c > 1").select("bucket", "segment"), ["bucket", "segment"]).select("k", "segment")
     # buckets with a run that isn't repeated as a whole: their runs, one of each segment, are compared by bytes
@@ -246,6 +247,7 @@ def repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     asked = df.select("k", "text").join(wanted, "k")
     spec = "k long, bucket long, segment long, partial boolean, hot boolean, offset int, bytes binary"
     sent = cut(map_batches(asked, contexts, spec))
+    free(df.sparkSession)  # the texts' shuffle among others
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = _resolve(sent.where("NOT hot").drop("hot").repartition(parts, "bucket").sortWithinPartitions("bucket"), length, gram)
     some = cold.unionByName(_windows(sent.where("hot"), length))
