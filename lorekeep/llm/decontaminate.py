@@ -3,11 +3,12 @@
 1. Terms are the benchmark's distinct words; their inverse frequencies are counted over all documents.
 2. Randomised SVD: every document is cut into passages of PASSAGE words, each a unit TF-IDF row of A. One distributed pass
    gives Z = A'(A G) for a random G, summed term by term; the driver takes the leading right singular directions from
-   (Z, G'Z), which are a few thousand rows. The first COMMON ones tell languages and very common words apart and put
-   any two passages of a language close together; they are left out, and the next RANK are the latent space.
-3. Every document's sliding windows, of each benchmark item's own length and every STRIDE words, are folded into the
-   latent space as differences of running sums. Windows whose cosine with an item reaches COSINE and that hold at least
-   OVERLAP of the item's term weight are candidates.
+   (Z, G'Z), which are a few thousand rows. The RANK leading ones are the latent space, each divided by its singular value
+   (the fold-in of latent semantic indexing): directions that many passages share, be it a language, common words or a
+   passage that is copied often, weigh less, and none is left out.
+3. Every document's sliding windows, of each benchmark item's own length and every STRIDE words, are candidates if they hold
+   at least OVERLAP of the item's term weight, whatever their cosine: the weights are summed exactly, for every window and
+   item. The windows are also folded into the latent space as differences of running sums; their cosine is reported.
 4. A candidate is a leak if the longest common subsequence of words covers LCS of the item; or if it covers LCS_LOW
    (a paraphrase) and the window also holds the item's answer, the words of its last sentence (ANSWER at least), in order.
 
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 from .common import ascii_words as words
 from .common import joined_ascii_words, map_batches, need, table
 
-COMMON, RANK, EXTRA = 8, 40, 8
+RANK, EXTRA = 48, 8
 PASSAGE, STRIDE = 40, 4
 COSINE, OVERLAP = 0.6, 0.5
 LCS, LCS_LOW, ANSWER = 0.75, 0.5, 4
 BLOCK = 2000
 PIECE = 1 << 15
+#: Fixed point of the term weights, and the most sums (windows by items) that are held at once.
+UNIT, SUMS = 256, 1 << 22
 
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
@@ -159,8 +162,9 @@ def inverse_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
 
 
 def latent_rows(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Terms (and a 0 row for other words) by RANK: idf times the leading right singular vectors of all TF-IDF passages."""
-    v, width = len(items.terms), min(COMMON + RANK + EXTRA, len(items.terms))
+    """Terms (and a 0 row for other words) by RANK: idf times the leading right singular vectors of all TF-IDF passages,
+    each over its singular value."""
+    v, width = len(items.terms), min(RANK + EXTRA, len(items.terms))
     g = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0]
     shared = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.vstack([g, np.zeros((1, width))]).astype(np.float32)))
 
@@ -205,8 +209,8 @@ def latent_rows(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 7) -
     good = val > 1e-9 * max(val.max(initial=0), 1e-12)
     root = z @ (vec[:, good] / np.sqrt(val[good])) if good.any() else np.zeros((v, 1))
     u, s, _ = np.linalg.svd(root, full_matrices=False)
-    order = np.argsort(-s)
-    lead = u[:, order[COMMON : COMMON + RANK] if len(order) > 2 * COMMON else order]
+    order = np.argsort(-s)[:RANK]
+    lead = u[:, order] * (s.max() / np.maximum(s[order], 1e-6 * max(s.max(), 1e-12)))
     return np.vstack([idf[:v, None] * lead, np.zeros((1, lead.shape[1]))]).astype(np.float32)
 
 
@@ -218,32 +222,47 @@ class Search:
         numbers = [items.numbers(w) for w in items.words]
         folded = np.stack([rows[n].sum(axis=0) for n in numbers])
         folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
-        self.weight = np.zeros((len(numbers), len(idf)), np.float32)
-        for j, n in enumerate(numbers):
-            self.weight[j, n] = idf[n]
-        self.total = np.array([max(float(idf[n].sum()), 1e-9) for n in numbers], np.float32)
         size = np.array([max(1, round(len(n) / STRIDE)) for n in numbers])
-        self.classes = [(int(m), np.flatnonzero(size == m), np.ascontiguousarray(folded[size == m].T)) for m in np.unique(size)]
+        self.order = np.argsort(size, kind="stable")  # items by size; columns of ``weight`` and ``folded``
+        self.size, self.folded = size[self.order], np.ascontiguousarray(folded[self.order].T)
+        # whole numbers, so that differences of running sums are exact
+        unit = np.round(idf * UNIT).astype(np.int32)
+        self.weight = np.zeros((len(idf), len(numbers)), np.int32)
+        for k, j in enumerate(self.order):
+            self.weight[numbers[j], k] = unit[numbers[j]]
+        self.least = np.array([max(1, int(np.ceil(OVERLAP * unit[numbers[j]].sum(dtype=np.int64)))) for j in self.order])
         self.longest = int(size.max())
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window start (in strides), item, cosine. ``ids``: a multiple of STRIDE long."""
-        blocks = self.rows[ids].reshape(-1, STRIDE, self.rows.shape[1]).sum(axis=1)
-        run = np.zeros((len(blocks) + self.longest + 1, blocks.shape[1]), np.float32)
-        np.cumsum(blocks, axis=0, out=run[1 : len(blocks) + 1])
-        run[len(blocks) + 1 :] = run[len(blocks)]
-        padded = np.concatenate([np.full(STRIDE, len(self.items.terms), np.int32), ids, np.full((self.longest + 1) * STRIDE, len(self.items.terms), np.int32)])
-        out = []
-        for m, which, q in self.classes:
-            u = run[m : len(blocks) + m] - run[: len(blocks)]
-            score = u @ q
-            norm = np.sqrt(np.einsum("ij,ij->i", u, u))
-            i, j = np.divmod(np.flatnonzero((score >= np.maximum(COSINE * norm, 1e-3)[:, None]).ravel()), len(which))
-            for at in range(0, len(i), 20_000):
-                a, b = i[at : at + 20_000], j[at : at + 20_000]
-                near = padded[(a * STRIDE)[:, None] + np.arange((m + 2) * STRIDE)]
-                ok = self.weight[which[b][:, None], near].sum(axis=1) >= OVERLAP * self.total[which[b]]
-                out.append((a[ok], which[b[ok]], score[a[ok], b[ok]] / norm[a[ok]]))
+        words = ids.reshape(-1, STRIDE)
+        n = len(words)
+        run = np.zeros((n + self.longest + 1, self.rows.shape[1]), np.float32)
+        np.cumsum(self.rows[ids].reshape(n, STRIDE, -1).sum(axis=1), axis=0, out=run[1 : n + 1])
+        run[n + 1 :] = run[n]
+        out, wide = [], max(1, SUMS // n)
+        for first in range(0, len(self.order), wide):
+            sizes, weight = self.size[first : first + wide], self.weight[:, first : first + wide]
+            each = weight[words[:, 0]]
+            for k in range(1, STRIDE):
+                each += weight[words[:, k]]
+            # held[k]: weight of the strides before k - 1; one stride before the text and those after it are empty
+            held = np.zeros((n + self.longest + 2, len(sizes)), np.int32)
+            np.cumsum(each, axis=0, out=held[2 : n + 2])
+            held[n + 2 :] = held[n + 1]
+            for m in np.unique(sizes).tolist():
+                a, b = np.searchsorted(sizes, [m, m + 1]).tolist()
+                near = held[m + 2 : m + 2 + n, a:b] - held[:n, a:b]  # a stride more on each side
+                i, j = np.nonzero(near >= self.least[first + a : first + b])
+                if not len(i):
+                    continue
+                j += first + a
+                for at in range(0, len(i), 20_000):
+                    x, y = i[at : at + 20_000], j[at : at + 20_000]
+                    u = run[x + m] - run[x]
+                    norm = np.sqrt(np.einsum("ij,ij->i", u, u))
+                    cosine = np.einsum("ij,ji->i", u, self.folded[:, y]) / np.maximum(norm, 1e-12)
+                    out.append((x, self.order[y], cosine))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
 
     def verify(self, ws: list[bytes], start: int, item: int) -> float:

@@ -262,3 +262,27 @@ def test_decontamination_empty(spark, world):
     assert decontaminate.leaks(docs(spark, ["a"]), none, ["doc_id"]).where(F.size("found") > 0).count() == 0
     some = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert decontaminate.leaks(docs(spark, []), some, ["doc_id"]).count() == 0
+
+
+def zipf(seed, size, slope):
+    """n -> n words of a skewed vocabulary."""
+    rng = random.Random(seed)
+    words, weights = [f"w{k}" for k in range(size)], np.cumsum([1 / (k + 1) ** slope for k in range(size)]).tolist()
+    return rng, lambda n: " ".join(rng.choices(words, cum_weights=weights, k=n))
+
+
+def found_items(spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: {x.item: x.lcs for x in r.found} for r in decontaminate.leaks(docs(spark, texts), bench, ["doc_id"]).collect()}
+
+
+def test_decontamination_hot_passage(spark):
+    """An item that a third of the documents hold is itself a leading direction; its copies elsewhere are found all the same."""
+    rng, say = zipf(1, 3000, 1.05)
+    items = [say(rng.randint(15, 50)) for _ in range(60)]
+    texts = [say(rng.randint(20, 300)) for _ in range(1500)]
+    texts = [items[0] + " " + t if k % 3 == 0 else t for k, t in enumerate(texts)]
+    probes = [say(rng.randint(4, 200)) + " " + items[j] + " " + say(rng.randint(4, 200)) for j in [0] * 100 + list(range(1, 60))]
+    got = found_items(spark, texts + probes, items)
+    assert [j for k, j in enumerate([0] * 100 + list(range(1, 60))) if j not in got[len(texts) + k]] == []
+    assert all(0 in got[k] for k in range(0, 1500, 3)) and not any(got[k] for k in range(1500) if k % 3)
