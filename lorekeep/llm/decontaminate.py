@@ -8,7 +8,9 @@
    passage that is copied often, weigh less, and none is left out.
 3. Every document's sliding windows, of each benchmark item's own length and every STRIDE words, are candidates if they hold
    at least OVERLAP of the item's term weight, whatever their cosine: the weights are summed exactly, for every window and
-   item. The windows are also folded into the latent space as differences of running sums; their cosine is reported.
+   item. The windows are also folded into the latent space as differences of running sums, and those whose cosine with an
+   item reaches COSINE are candidates too if they hold enough words of the item for LCS_LOW of it: the cosine adds
+   paraphrases in which the item's weighty words are changed, and never drops a window.
 4. A candidate is a leak if the longest common subsequence of words covers LCS of the item; or if it covers LCS_LOW
    (a paraphrase) and the window also holds the item's answer, the words of its last sentence (ANSWER at least), in order.
 
@@ -42,16 +44,39 @@ UNIT, SUMS = 256, 1 << 22
 
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
+    return lcs_at(bits(a), len(a), b)
+
+
+def bits(a: list) -> dict:
+    """Each word's places in ``a`` as a bit set."""
     at: dict = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return at
+
+
+def lcs_at(at: dict, n: int, b: list) -> int:
+    full = (1 << n) - 1
     s = full
-    for y in b:
-        if m := at.get(y, 0):
+    for m in map(at.get, b):
+        if m:
             u = s & m
             s = ((s + u) | (s - u)) & full
-    return len(a) - s.bit_count()
+    return n - s.bit_count()
+
+
+def running_sums(x: np.ndarray, out: np.ndarray) -> None:
+    """Sums of rows 0..k of ``x`` into row k of ``out``: within runs of 64 rows, all runs at once, then over the runs."""
+    n = len(x) // 64 * 64
+    if n:
+        runs, sums = x[:n].reshape(-1, 64, x.shape[1]), out[:n].reshape(-1, 64, x.shape[1])
+        sums[:, 0] = runs[:, 0]
+        for k in range(1, 64):
+            np.add(sums[:, k - 1], runs[:, k], out=sums[:, k])
+        sums[1:] += np.cumsum(sums[:-1, -1], axis=0, dtype=x.dtype)[:, None]
+    np.cumsum(x[n:], axis=0, out=out[n:])
+    if n:
+        out[n:] += out[n - 1]
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -221,16 +246,22 @@ class Search:
         self.items, self.rows, self.hasher = items, rows, WordHashes()
         numbers = [items.numbers(w) for w in items.words]
         folded = np.stack([rows[n].sum(axis=0) for n in numbers])
-        folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
+        long = np.linalg.norm(folded, axis=1)
+        folded /= np.maximum(long, 1e-12)[:, None]
         size = np.array([max(1, round(len(n) / STRIDE)) for n in numbers])
         self.order = np.argsort(size, kind="stable")  # items by size; columns of ``weight`` and ``folded``
         self.size, self.folded = size[self.order], np.ascontiguousarray(folded[self.order].T)
         # whole numbers, so that differences of running sums are exact
-        unit = np.round(idf * UNIT).astype(np.int32)
+        widest = (int(size.max()) + 2) * STRIDE
+        unit = np.round(idf * min(UNIT, (1 << 30) / (widest * max(float(idf.max()), 1.0)))).astype(np.int32)
         self.weight = np.zeros((len(idf), len(numbers)), np.int32)
         for k, j in enumerate(self.order):
             self.weight[numbers[j], k] = unit[numbers[j]]
-        self.least = np.array([max(1, int(np.ceil(OVERLAP * unit[numbers[j]].sum(dtype=np.int64)))) for j in self.order])
+        self.least = np.array([max(1, int(np.ceil(OVERLAP * unit[numbers[j]].sum(dtype=np.int64)))) for j in self.order], np.int32)
+        # running sums are off by rounding: a window of next to no latent weight, measured by the item's own, has no direction
+        self.floor = np.where(long > 1e-12, 1e-3 * long, np.inf)[self.order].astype(np.float32)
+        self.common = np.array([LCS_LOW * len(numbers[j]) for j in self.order])
+        self.places = [bits(w) for w in items.words]
         self.longest = int(size.max())
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,36 +271,45 @@ class Search:
         run = np.zeros((n + self.longest + 1, self.rows.shape[1]), np.float32)
         np.cumsum(self.rows[ids].reshape(n, STRIDE, -1).sum(axis=1), axis=0, out=run[1 : n + 1])
         run[n + 1 :] = run[n]
+        none = len(self.items.terms)
+        padded = np.concatenate([np.full(STRIDE, none, np.int32), ids, np.full((self.longest + 1) * STRIDE, none, np.int32)])
         out, wide = [], max(1, SUMS // n)
         for first in range(0, len(self.order), wide):
             sizes, weight = self.size[first : first + wide], self.weight[:, first : first + wide]
-            each = weight[words[:, 0]]
+            each = weight.take(words[:, 0], axis=0)
             for k in range(1, STRIDE):
-                each += weight[words[:, k]]
+                each += weight.take(words[:, k], axis=0)
             # held[k]: weight of the strides before k - 1; one stride before the text and those after it are empty
             held = np.zeros((n + self.longest + 2, len(sizes)), np.int32)
-            np.cumsum(each, axis=0, out=held[2 : n + 2])
+            running_sums(each, held[2 : n + 2])
             held[n + 2 :] = held[n + 1]
             for m in np.unique(sizes).tolist():
                 a, b = np.searchsorted(sizes, [m, m + 1]).tolist()
                 near = held[m + 2 : m + 2 + n, a:b] - held[:n, a:b]  # a stride more on each side
-                i, j = np.nonzero(near >= self.least[first + a : first + b])
-                if not len(i):
-                    continue
-                j += first + a
-                for at in range(0, len(i), 20_000):
-                    x, y = i[at : at + 20_000], j[at : at + 20_000]
-                    u = run[x + m] - run[x]
-                    norm = np.sqrt(np.einsum("ij,ij->i", u, u))
-                    cosine = np.einsum("ij,ji->i", u, self.folded[:, y]) / np.maximum(norm, 1e-12)
-                    out.append((x, self.order[y], cosine))
+                a, b = first + a, first + b
+                u = run[m : n + m] - run[:n]
+                norm = np.sqrt(np.einsum("ij,ij->i", u, u))
+                score = u @ self.folded[:, a:b]
+                exact = near >= self.least[a:b]
+                floor = self.floor[a:b]
+                i, j = np.divmod(np.flatnonzero(exact | (score >= np.maximum(COSINE * norm, floor.min())[:, None])), b - a)
+                most = max(1, SUMS // ((m + 2) * STRIDE))
+                for at in range(0, len(i), most):
+                    x, y = i[at : at + most], j[at : at + most]
+                    ok = exact[x, y]
+                    rest = np.flatnonzero(~ok)
+                    span = padded[(x[rest] * STRIDE)[:, None] + np.arange((m + 2) * STRIDE)]
+                    shared = (self.weight[span, a + y[rest, None]] > 0).sum(axis=1)
+                    ok[rest] = (shared >= self.common[a + y[rest]]) & (score[x[rest], y[rest]] >= floor[y[rest]])
+                    x, y = x[ok], y[ok]
+                    out.append((x, self.order[a + y], score[x, y] / np.maximum(norm[x], 1e-12)))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
 
     def verify(self, ws: list[bytes], start: int, item: int) -> float:
         """Share of the item that its longest common subsequence with the window covers; 0 if the checks fail."""
         want = self.items.words[item]
         window = ws[max(0, start - 2 * STRIDE) : start + len(want) + 3 * STRIDE]
-        share = lcs(want, window) / len(want)
+        share = lcs_at(self.places[item], len(want), window) / len(want)
         if share >= LCS:
             return share
         answer = self.items.answers[item]

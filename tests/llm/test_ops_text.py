@@ -286,3 +286,27 @@ def test_decontamination_hot_passage(spark):
     got = found_items(spark, texts + probes, items)
     assert [j for k, j in enumerate([0] * 100 + list(range(1, 60))) if j not in got[len(texts) + k]] == []
     assert all(0 in got[k] for k in range(0, 1500, 3)) and not any(got[k] for k in range(1500) if k % 3)
+
+
+def test_decontamination_rare_words(spark):
+    """Words found nowhere else have next to no latent weight in a large corpus; a copy is found at every offset of the grid."""
+    rng, say = zipf(2, 4000, 1.1)
+    items = [say(rng.randint(15, 50)) for _ in range(200)] + [" ".join(f"rare{n}x{k}" for k in range(30)) for n in range(24)]
+    texts = [say(150) for _ in range(8000)]
+    texts += [say(40 + n % 4) + " " + items[200 + n] + " " + say(30) for n in range(24)]
+    got = found_items(spark, texts, items)
+    assert [n for n in range(24) if got[8000 + n].get(200 + n) != 1.0] == []
+
+
+def test_search_is_free_of_scale():
+    """The latent rows' common factor has no say in what is found, be it by weight or by the cosine alone."""
+    items = decontaminate.Items([(0, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (1, "one two three four five six seven eight nine ten")])
+    idf = np.append(np.ones(len(items.terms)), 0.0)
+    idf[items.numbers([b"alpha", b"beta", b"gamma", b"delta"])] = 9.0  # the rest holds less than OVERLAP of the weight
+    rows = np.vstack([np.zeros((len(items.terms), 2)), np.zeros((1, 2))]).astype(np.float32)
+    for k, w in enumerate(items.words):
+        rows[items.numbers(w), k] = 1
+    texts = ["x y z one two three four five six seven eight nine ten x", "x x p q r s epsilon zeta eta theta iota kappa y"]
+    for scale in (1.0, 1e-5):
+        (a,), (b,) = decontaminate.Search(items, idf, rows * np.float32(scale)).leaks(texts)
+        assert a[:2] == (1, 1.0) and b[:2] == (0, 0.6) and min(a[2], b[2]) > 0.9
