@@ -12,7 +12,8 @@
    item reaches COSINE are candidates too if they hold enough words of the item for LCS_LOW of it: the cosine adds
    paraphrases in which the item's weighty words are changed, and never drops a window.
 4. A candidate is a leak if the longest common subsequence of words covers LCS of the item; or if it covers LCS_LOW
-   (a paraphrase) and the window also holds the item's answer, the words of its last sentence (ANSWER at least), in order.
+   (a paraphrase) and the window also holds the item's answer in order: the words of its last sentence, at least ANSWER and
+   at most the last ANSWER_MOST and half of the item's words, so that a paraphrase is not asked for most of the item.
 
 The benchmark is a stated query set: it is read in blocks of BLOCK items, so what is broadcast (a block's terms, their
 latent rows and its items) has a fixed bound; each further block costs two more passes over the documents.
@@ -36,7 +37,7 @@ from .common import joined_ascii_words, map_batches, need, table
 RANK, EXTRA = 48, 8
 PASSAGE, STRIDE = 40, 4
 COSINE, OVERLAP = 0.6, 0.5
-LCS, LCS_LOW, ANSWER = 0.75, 0.5, 4
+LCS, LCS_LOW, ANSWER, ANSWER_MOST = 0.75, 0.5, 4, 8
 BLOCK = 2000
 PIECE = 1 << 15
 #: Fixed point of the term weights, and the most sums (windows by items) that are held at once.
@@ -80,13 +81,13 @@ def running_sums(x: np.ndarray, out: np.ndarray) -> None:
 
 
 def answer_of(text: str) -> list[bytes]:
-    """Words of the last sentence, with the sentences before it until there are ANSWER words."""
+    """Words of the last sentence, with the sentences before it until there are ANSWER words; of a long one, its end."""
     got: list[bytes] = []
     for part in reversed(re.split(r"[.!?\n]+", text)):
         got = words(part) + got
         if len(got) >= ANSWER:
             break
-    return got
+    return got[-max(ANSWER, min(ANSWER_MOST, len(words(text)) // 2)) :]
 
 
 _BASE = 0x9E3779B97F4A7C15

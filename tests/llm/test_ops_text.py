@@ -310,3 +310,28 @@ def test_search_is_free_of_scale():
     for scale in (1.0, 1e-5):
         (a,), (b,) = decontaminate.Search(items, idf, rows * np.float32(scale)).leaks(texts)
         assert a[:2] == (1, 1.0) and b[:2] == (0, 0.6) and min(a[2], b[2]) > 0.9
+
+
+def test_decontamination_paraphrases(spark):
+    """Half to three quarters of an item with the end of its answer: of one sentence or with a long last one."""
+    rng, say = zipf(3, 2000, 0.7)
+    one = [say(n) + "." for n in range(12, 52, 4)]
+    long = ["Short start. " + say(n) + "!" for n in range(14, 54, 4)]
+    brief = [say(n) + ". " + say(5) for n in range(15, 55, 4)]
+    items, texts, want = one + long + brief, [say(100) for _ in range(200)], []
+    for j, t in enumerate(items):
+        ws = ascii_words(t)
+        for share in (0.55, 0.65, 0.72):
+            keep = max(int(np.ceil(0.5 * len(ws))), int(share * len(ws)))
+            tail = min(8, len(ws) // 2)
+            left = set(rng.sample(range(len(ws) - tail), keep - tail)) | set(range(len(ws) - tail, len(ws)))
+            changed = [w.decode() if k in left else f"new{k}" for k, w in enumerate(ws)]
+            want.append((len(texts), j, keep / len(ws)))
+            texts.append(say(30) + " " + " ".join(changed) + " " + say(20))
+            if j < 10:  # without the answer: clean
+                texts.append(say(30) + " " + " ".join(changed[:-tail]) + " " + say(20))
+    got = found_items(spark, texts, items)
+    assert [(j, share) for at, j, share in want if got[at].get(j, 0) < share - 1e-9] == []
+    assert not any(got[k] for k in range(len(texts)) if k not in {at for at, _, _ in want})
+    assert decontaminate.answer_of("one two three. Four five six seven") == b"four five six seven".split()
+    assert decontaminate.answer_of("a b c d e f g h i j k l m n o p q r s t") == b"m n o p q r s t".split()
