@@ -19,7 +19,8 @@ The benchmark is a stated query set: it is read in blocks of BLOCK items, so wha
 latent rows and its items) has a fixed bound; each further block costs two more passes over the documents.
 
 Null and blank texts have no words and no leak; items without words are ignored; equal items all report; items with
-null ids report as -1. Long texts are searched whole, in overlapping pieces. Repeated documents report alike; an empty
+null ids report as -1. Long texts are searched whole, in pieces that overlap by
+more than the longest item. Repeated documents report alike; an empty
 benchmark marks nothing; an empty table gives none; extra columns are ignored.
 """
 
@@ -333,19 +334,21 @@ class Search:
                 if share := self.verify(split[n], offset + (s - int(ends[k])) * STRIDE + len(ids), j):
                     out[n][j] = max(out[n].get(j, (0.0, 0.0)), (share, c))
 
-        step = PIECE - 2 * (self.longest + 6) * STRIDE if PIECE > 4 * (self.longest + 6) * STRIDE else PIECE
+        overlap = 2 * (self.longest + 6) * STRIDE
+        piece = max(PIECE, 2 * overlap)  # grows with the longest item, so that pieces always overlap by it
+        step = piece - overlap
         for first, every, size in self.items.of_texts(texts, self.hasher):
             begin = 0
             for n, count in enumerate(size.tolist(), first):
                 for at in range(0, count, step):
-                    ids = every[begin + at : begin + min(count, at + PIECE)]
+                    ids = every[begin + at : begin + min(count, at + piece)]
                     ids = np.concatenate([ids, np.full(-len(ids) % STRIDE, none, np.int32)])
-                    if held and held + len(ids) > PIECE:
+                    if held and held + len(ids) > piece:
                         flush()
                         parts, held = [], 0
                     parts.append((n, at, ids))
                     held += len(ids)
-                    if at + PIECE >= count:
+                    if at + piece >= count:
                         break
                 begin += count
         if parts:

@@ -335,3 +335,20 @@ def test_decontamination_paraphrases(spark):
     assert not any(got[k] for k in range(len(texts)) if k not in {at for at, _, _ in want})
     assert decontaminate.answer_of("one two three. Four five six seven") == b"four five six seven".split()
     assert decontaminate.answer_of("a b c d e f g h i j k l m n o p q r s t") == b"m n o p q r s t".split()
+
+
+def test_decontamination_borders_with_a_long_item(monkeypatch):
+    """A block with an item of more words than a piece holds: leaks of short ones are found across every border."""
+    monkeypatch.setattr(decontaminate, "PIECE", 256)
+    rng, say = zipf(4, 3000, 0.7)
+    short, long = [" ".join(f"s{j}x{k}" for k in range(40)) for j in range(12)], " ".join(f"l{k}" for k in range(200))
+    for rows in ([*enumerate(short)], [*enumerate(short), (99, long)]):
+        items = decontaminate.Items(rows)
+        idf = np.append(np.ones(len(items.terms)), 0.0)
+        latent = np.vstack([np.random.default_rng(5).standard_normal((len(items.terms), 8)), np.zeros((1, 8))]).astype(np.float32)
+        search = decontaminate.Search(items, idf, latent)
+        for before in range(0, 44, 3):  # words of the item before the border at 256
+            text = say(256 - before) + " " + short[before % 12] + " " + say(400)
+            assert [x[:2] for x in search.leaks([text])[0]] == [(before % 12, 1.0)]
+    text = say(1000) + " " + long + " " + short[3] + " " + say(900)
+    assert {x[:2] for x in search.leaks(["a b", text])[1]} == {(3, 1.0), (99, 1.0)}
