@@ -32,6 +32,11 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.regexp_extract("text", r"^\S+(?:\s+\S+){0,5}", 0).alias("query"))
 
 
+def benchmark_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+
+
 def chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as threads; the assistant is me."""
     c = table(spark, sf_dir, "conversations")
@@ -39,7 +44,7 @@ def chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: chats -> pairs -> candidates -> units -> review -> one verdict for every benchmark query."""
+    """The flagship: chats -> pairs -> candidates -> units -> review -> one verdict for every benchmark item, asked whole."""
     from .. import schemas
 
     pairs = ingest.pair_questions(chat_threads(spark, sf_dir), "assistant")
@@ -49,4 +54,4 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviewed, _ = store.promote_drafts(units.dropDuplicates(["ku_id"]), NOW)
     # the index, the statistics and the ranking all read the units, so they are built once; a lost block is built again
     reviewed = reviewed.persist(StorageLevel.MEMORY_AND_DISK)
-    return retrieve.serve(reviewed, benchmark_queries(spark, sf_dir)).drop("titles", "bodies")
+    return retrieve.serve(reviewed, benchmark_texts(spark, sf_dir)).drop("titles", "bodies")

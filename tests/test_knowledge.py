@@ -232,3 +232,16 @@ def test_admission_and_signals(spark):
     assert got == {"group_allowed", "non_group_conversation_type:'single'", "missing_conversation_id", "group_not_in_allowed_groups", "non_group_conversation_type:None"}
     s = ingest.to_signals(df, allowed).collect()
     assert [(r.taint, r.redacted_text, r.refs) for r in s] == [("INTERNAL", "mail [REDACTED:EMAIL]", ["r"])]
+
+
+def test_flagship_asks_the_whole_item(spark, tmp_path):
+    """A word beyond the sixth is asked, and an item may start with white space."""
+    from lorekeep import queries
+
+    turns = [(1, 0, "user", "how is the zeppelin moored"), (1, 1, "assistant", "the zeppelin is moored at the mast")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    items = [(1, "one two three four five six seven zeppelin moored"), (2, "\n zeppelin"), (3, "one two three four five six we will zeppelin"), (4, "one two")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.query_id: (r.reason, r.n_citations) for r in queries.flagship(spark, str(tmp_path)).collect()}
+    assert got["1"][0] != "no_hit" and got["1"][1] == 1 and got["2"][1] == 1
+    assert got["3"][0] == "commitment_marker" and got["4"] == ("no_hit", 0)
