@@ -7,7 +7,8 @@ token at places i and j at most min(|t| - i, |block| - j) more can follow (posit
 exactly. Two kinds of template share this join:
 
 * phrases: the block is a whole text and the threshold 1; a check of the word order then finds all places of the phrase;
-* notices: blocks are the text's lines and the threshold is CONTAINMENT.
+* notices: blocks are the text's lines and the threshold is CONTAINMENT. A notice may be wrapped, so every run of as many words
+  as the template has that spans line ends is a block too, if no line that it touches meets the template by itself.
 
 Templates are few and fixed, so their tokens' frequencies are small to broadcast; texts are read twice and never shuffled.
 Null texts are empty and have no words. Ties of frequency go by token. Repeated rows report alike; very long texts are
@@ -16,7 +17,7 @@ scanned whole; an empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,28 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
         return out
 
 
+def spans(words: list[bytes], line: list[int], tokens: frozenset[bytes], width: int, least: int, met: set[int]) -> dict[int, int]:
+    """Runs of ``width`` words over line ends with at least ``least`` of the tokens: line of the first word -> most tokens.
+
+    ``line``: of each word, ascending. Runs that touch a line of ``met`` are left out.
+    """
+    have, open_, out = Counter(), deque(), {}
+    for k, w in enumerate(words):
+        if w not in tokens:
+            continue
+        open_.append(k)
+        have[w] += 1
+        while open_[0] <= k - width:
+            first = words[open_.popleft()]
+            have[first] -= 1
+            if not have[first]:
+                del have[first]
+        a, b = line[open_[0]], line[k]
+        if len(have) >= least and a < b and met.isdisjoint(range(a, b + 1)):
+            out[a] = max(out.get(a, 0), len(have))
+    return out
+
+
 def line_counts(df: DataFrame, vocabulary: frozenset[bytes], text: str = "text") -> dict[bytes, int]:
     """In how many lines of all texts each token of the templates stands. Counted per task, then summed."""
 
@@ -105,7 +128,7 @@ def line_counts(df: DataFrame, vocabulary: frozenset[bytes], text: str = "text")
 
 
 def license_scan(df: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, threshold: float = CONTAINMENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks: the lines that met a notice.
+    """key, n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks: the lines that met a notice, or in which a wrapped one starts.
 
     score: the best containment met (1 for a phrase), else 0. blocks: array<struct<line, label, containment>>.
     """
@@ -119,13 +142,21 @@ def license_scan(df: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict
             for t in b[text]:
                 parts = ascii_word_lines(t)
                 words = [w for p in parts for w in p]
-                starts, base, blocks = [], set(), []
+                starts, base, blocks, single = [], set(), [], []
                 for r, _ in whole.match(words):
                     if got := places(words, whole.rows[r][3]):
                         starts += got
                         base.add(whole.rows[r][2])
                 for n, p in enumerate(parts):
-                    blocks += [{"line": n, "label": lines.rows[r][2], "containment": c} for r, c in lines.match(p)]
+                    for r, c in lines.match(p):
+                        blocks.append({"line": n, "label": lines.rows[r][2], "containment": c})
+                        single.append((n, r))
+                if len(parts) > 1 and (wide := lines.match(words)):
+                    line = [n for n, p in enumerate(parts) for _ in p]
+                    for r, _ in wide:
+                        ids, least, label, ws = lines.rows[r]
+                        met = {n for n, k in single if k == r}
+                        blocks += [{"line": n, "label": label, "containment": c / len(ids)} for n, c in spans(words, line, frozenset(ws), len(ws), least, met).items()]
                 labels = base | {x["label"] for x in blocks}
                 score = max([1.0 if base else 0.0, *(x["containment"] for x in blocks)])
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks))

@@ -352,3 +352,16 @@ def test_decontamination_borders_with_a_long_item(monkeypatch):
             assert [x[:2] for x in search.leaks([text])[0]] == [(before % 12, 1.0)]
     text = say(1000) + " " + long + " " + short[3] + " " + say(900)
     assert {x[:2] for x in search.leaks(["a b", text])[1]} == {(3, 1.0), (99, 1.0)}
+
+
+def test_wrapped_notices(spark):
+    mit = "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public\nLicense as published by"
+    narrow = "\n".join("redistribution and use in source and binary forms with or without modification are permitted".split())
+    far = "Permission is hereby granted, free of charge, to any person obtaining a copy\n" + "x " * 30 + "\nof this software and associated documentation files"
+    texts = ["intro\n\n" + mit, bsd + "\nend", gpl, narrow, far, "intro\nreleased under the MIT license\nend"]
+    got = {r.doc_id: r for r in licenses.license_scan(docs(spark, texts)).collect()}
+    assert [got[i].labels for i in range(6)] == ["notice-mit", "notice-bsd", "gpl,notice-gpl", "notice-bsd", "", "notice-mit"]
+    assert [got[i].score for i in range(6)] == [1.0, 1.0, 1.0, 1.0, 0.0, 1.0]
+    assert [[b.line for b in got[i].blocks] for i in (0, 1, 5)] == [[2], [0], [1]]
