@@ -4,7 +4,8 @@ A page is walked once into leaf blocks: runs of text between block-level tags, e
 features are its ancestors' tags and the words of their class, id and role, its own tag, and its text's length, share of
 linked text, punctuation and place. The field has two labels (main text or not) with a weight per feature and label pair
 of neighbours; it is trained by maximum likelihood (forward-backward, Adam, L2) on labelled pages, drawn by a seeded
-grammar of layouts, and decoded by Viterbi. Head, scripts, styles, comments of markup and form controls hold no text.
+grammar of layouts, and decoded by Viterbi. Head, scripts, styles, comments of markup, form
+controls, drawings (svg, which may close itself) and embedded media hold no text; formulas (math) are text of their line.
 
 Text: character references decoded (a reference cut off by the end of the page stays as it is), white space inside a
 block one space, blocks trimmed and joined by one space in page order. Nothing else is dropped or capped.
@@ -28,6 +29,8 @@ TRAIN_PAGES = 600
 EPOCHS = 150
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+# formulas stand in their line
+_INLINE |= frozenset("math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr mstyle mpadded mphantom mspace menclose merror maction mfenced semantics annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Tags that an opening tag closes first, as far up as the given limit tags.
@@ -36,7 +39,8 @@ _CLOSES = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _CLOSES.item
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|title|iframe|svg|math|object|canvas|audio|video|button)\b[^>]*(?:>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z)|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|select|title|iframe|svg|object|canvas|audio|video|button)(?=[\s/>]|\Z)"
+    r"(?:(?<=<svg)(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>|[^>]*(?:>.*?(?:</(?P=raw)(?=[\s/>]|\Z)[^>]*(?:>|\Z)|\Z)|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|</\Z|(?P<text>[^<]+|<)",
     re.S | re.I,

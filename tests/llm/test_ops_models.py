@@ -426,3 +426,13 @@ def test_pipeline_stages(spark, tmp_path):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"] and out.count() > 100
+
+
+def test_drawings_formulas_and_custom_elements():
+    read = lambda p: [b.text for b in html_extract.blocks(p)]
+    for own in ("<svg/>", "<svg class='a>b' />", "<math/>", "<svg><text>no</text></svg>", "<SVG a=1><svg-x/>no</SVG>"):
+        assert read(f"<p>a {own} b</p><p>c</p>") == ["a b", "c"]
+    assert read("<p>if <math display='block'><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> then</p><p>c</p>") == ["if x=2 then", "c"]
+    for tag in ("video-box", "template-part", "button-bar", "title-card"):
+        assert read(f"<{tag}><p>in</p></{tag}><p>c</p>") == ["in", "c"]
+    assert read("<video>no</video-box>no</video><p>a</p><button>no</button><p>b</p><svg") == ["a", "b"]
