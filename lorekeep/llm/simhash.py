@@ -9,7 +9,8 @@ so time stays linear in the list. A list yields a spanning star for each of its
 stars' components are joined by large-star/small-star rounds.
 
 Copies are collapsed first: one row per distinct fingerprint. Null, empty and blank texts have fingerprint 0 and link like
-any other. Ties: a component is named by its least doc_id. Repeated doc_ids are kept as rows. Extra columns are ignored.
+any other. Ties: a component is named by its least doc_id. Rows with a null doc_id link like any other and may join numbered
+rows; a component without any doc_id has a null name, and ``one_of_each`` keeps all rows with a null doc_id. Repeated doc_ids are kept as rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,17 +157,21 @@ def posting_links(postings: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, fp, component (least key reachable over links of at most 3 bits), for every row."""
+    """key, fp, component (least key reachable over links of at most 3 bits, null if none has a key), for every row.
+
+    The nodes of the components are the fingerprints themselves, so that one without a key links as well.
+    """
     fps = cut(fingerprints(df, text, key))
-    nodes = fps.groupBy("fp").agg(F.min(key).alias("node"))
+    nodes = fps.groupBy("fp").agg(F.min(key).alias("least"))
     byte = lambda i: F.shiftright("fp", 8 * i).bitwiseAND(F.lit(255))
     lists = [F.lit(k << 24) + F.shiftleft(byte(a), 16) + F.shiftleft(byte(b), 8) + byte(c) for k, (a, b, c) in enumerate(TRIPLES)]
-    postings = nodes.where("node IS NOT NULL").select(F.explode(F.array(*[x.cast("long") for x in lists])).alias("list"), "fp", "node")
+    postings = nodes.select(F.explode(F.array(*[x.cast("long") for x in lists])).alias("list"), "fp", F.col("fp").alias("node"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = posting_links(postings.repartition(parts, "list").sortWithinPartitions("list"))
     comp = components(links)
-    named = nodes.join(comp, nodes.node == comp.node, "left").select("fp", F.coalesce(comp.component, nodes.node).alias("component"))
-    return fps.join(named, "fp")
+    linked = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
+    names = linked.groupBy("root").agg(F.min("least").alias("component"))
+    return fps.join(linked.join(names, "root").select("fp", "component"), "fp")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

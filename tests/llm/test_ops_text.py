@@ -365,3 +365,13 @@ def test_wrapped_notices(spark):
     assert [got[i].labels for i in range(6)] == ["notice-mit", "notice-bsd", "gpl,notice-gpl", "notice-bsd", "", "notice-mit"]
     assert [got[i].score for i in range(6)] == [1.0, 1.0, 1.0, 1.0, 0.0, 1.0]
     assert [[b.line for b in got[i].blocks] for i in (0, 1, 5)] == [[2], [0], [1]]
+
+
+def test_near_duplicates_without_ids(spark, monkeypatch):
+    """A row without an id links and passes links on; a component takes its least id, or none."""
+    codes = {"a": 0, "b": 0b111, "c": 0b111111, "far": 0x0F0F0F0F0F0F0F0F, "near far": 0x0F0F0F0F0F0F0F0E, "alone": 0x70F0F0F0F0F0F0F0}
+    fps = lambda df, text, key: df.select(key, F.create_map(*[F.lit(x) for p in codes.items() for x in p])[F.col(text)].cast("long").alias("fp"))
+    monkeypatch.setattr(simhash, "fingerprints", fps)
+    df = docs(spark, ["c", "b", "a", "far", "near far", "alone"], [5, None, 9, None, None, 3])
+    got = {r.fp: r.component for r in simhash.near_duplicates(df).collect()}
+    assert got == {codes["a"]: 5, codes["b"]: 5, codes["c"]: 5, codes["far"]: None, codes["near far"]: None, codes["alone"]: 3}
