@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import os
+import re
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -45,25 +47,35 @@ def joined_ascii_words(texts: list[str | None], size: int) -> Iterator[tuple[int
         yield first, b" ".join(parts), starts
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; a local one is used only where it names none."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between stages: the one that the cluster names in spark.checkpoint.dir.
+
+    A folder of this machine's own is taken only where there is no cluster (master local) and none is named.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or "/tmp/checkpoints/lorekeep")
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
+        named = os.path.join(tempfile.gettempdir(), "lorekeep-checkpoints")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: survives lost executors and cuts the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """Materialise in the shared checkpoint folder: survives lost executors and cuts the lineage.
 
-def free(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of what has been cut: they are removed when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The shuffle files behind it are removed with the end of this one execution, as nothing reads them any more.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new execution, which takes the setting
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str | T.StructType) -> DataFrame:
@@ -71,7 +83,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
     spec = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    # long texts: a batch is bounded by its bytes, on both sides of the pipe, whatever the number of its rows
+    # long texts: a batch is bounded by its bytes, on both sides of the pipe, whatever the number of its rows; the setting
+    # is read when the plan runs, so it stays
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     arrow = to_arrow_schema(spec)

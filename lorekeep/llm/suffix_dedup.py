@@ -6,19 +6,22 @@ included. So only the suffix array's buckets of depth LENGTH with two members or
 1. Initial q-gram buckets. Each LENGTH-byte window has one q-gram of its own, the rightmost one with the least hash: its
    anchor. Equal windows have equal anchors at equal offsets, so windows whose anchors lie in different q-gram buckets are
    never compared. The windows that share an anchor are a run; a run's bytes are its segment. About one byte in 70 is an
-   anchor, and only (document, bucket, segment fingerprint) is shuffled, pre-aggregated, copies inside a document once.
-2. Buckets with one member drop out. Runs whose whole segment occurs again are repeated in all their windows.
-3. The others (at the ends of repeated passages) send their segments to their bucket's task. There a bucket, first split by
-   the anchor's offset, is refined by sorting on the bucket identifiers (q-gram hashes) at later offsets until LENGTH bytes
-   are covered; members left alone drop out, and each refinement starts from the buckets of the one before. Time and
-   memory are linear in the bucket. Buckets of over HOT members are not gathered: their windows' fingerprints are counted
-   by a pre-aggregated shuffle instead.
+   anchor, and only (row, bucket, segment fingerprint) is shuffled, pre-aggregated, copies inside a document once.
+2. Buckets with one member drop out. A run's fingerprint is the identifier of the run as a whole: runs that have it in
+   common are repeated in all their windows, however many copies there are, without meeting in one task.
+3. The others (at the ends of repeated passages) send their segments, one of each, to their bucket's task. There the bucket
+   is refined from depth GRAM to twice that and on to LENGTH: suffixes are sorted on their own bucket identifier and on that
+   of the suffix some bytes later, both of the depth before; the numbers that this gives are the identifiers that the next
+   depth reads, each of them twice. Suffixes left alone drop out. Memory is a fixed number of bytes per segment.
+   A bucket of over HOT distinct members is refined by the same doubling, but with hashes as identifiers and a pre-aggregated
+   shuffle as the sort, so that no task gathers it. Both ways give the same windows.
 4. Repeated runs and windows return to their documents, which mark, cut and hash their bytes.
 
 Fingerprints have 64 bits each; a wrong match needs an anchor's and a segment's to collide at once.
 Null texts are empty; texts under LENGTH bytes hold no such string and stay whole. Repeated rows are copies of each other
-(each counts as another place). Null doc_ids are rows like others. Very long texts are walked
-in pieces of PIECE bytes, so memory stays near a few times the text. An empty table gives an empty result.
+(each counts as another place). doc_id may be null, repeated and of any type: it is only carried along. Very long texts are
+walked in pieces of PIECE bytes, and one mask is held at a time, so memory stays near a few times the longest text. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free, map_batches, table
+from .common import cut, map_batches, table
 
 LENGTH = 200
 GRAM = 64
-HOT = 20_000
+HOT = 10_000
+#: Segments that a task gathers before it refines their buckets; the last bucket is gathered to its end.
+GATHER = 4000
 PIECE = 1 << 18
 _POS = np.uint64((1 << 20) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -135,35 +140,71 @@ def anchors(df: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
     return map_batches(df.select("k", "text"), run, "k long, bucket long, segment long, n int")
 
 
-def refine(bucket: np.ndarray, offset: np.ndarray, segs: list[bytes], length: int, gram: int) -> list[np.ndarray]:
-    """For each segment, its windows whose bytes are those of another segment's window at the same offset to the anchor."""
-    size = np.array([len(s) for s in segs])
-    base = np.cumsum(size) - size
-    ids = gram_hashes(np.frombuffer(b"".join(segs), np.uint8), gram)
-    count = size - length + 1
-    own = np.repeat(np.arange(len(segs)), count)
-    window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = base[own] + window
-    _, group = np.unique(bucket[own].astype(np.uint64) * _ODD[2] + (offset[own] - window).astype(np.uint64) * _ODD[3], return_inverse=True)
-    left = np.arange(len(own))
-    for o in [*range(0, length - gram, gram), length - gram]:
-        # group: the bucket each window is in so far; sort by the bucket identifier at the next offset
-        code = (group.astype(np.uint64) + np.uint64(1)) * _ODD[4] ^ ids[start[left] + o]
-        _, group, members = np.unique(code, return_inverse=True, return_counts=True)
-        stay = members[group] > 1
-        left, group = left[stay], group[stay]
-    out = [np.zeros(0, np.int64)] * len(segs)
-    who = own[left]
-    for i in np.unique(who):
-        out[i] = window[left[who == i]] if len(segs) < 64 else window[left[np.searchsorted(who, i) : np.searchsorted(who, i, "right")]]
+def depths(length: int, gram: int) -> list[int]:
+    """From which depth to which the buckets are refined: gram, twice that, and so on, LENGTH at last."""
+    out = [gram]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
     return out
 
 
-def _ranges(windows: np.ndarray) -> list[int]:
-    """[first, last, first, last, ...] of neighbouring window numbers."""
-    w = np.sort(windows)
-    cutat = np.flatnonzero(np.diff(w) > 1)
-    return np.stack([w[np.append(0, cutat + 1)], w[np.append(cutat, len(w) - 1)]], 1).ravel().tolist()
+class Buckets:
+    """Bucket identifiers of the suffixes of anchored segments, by depth and by the suffix's place beside the anchor.
+
+    ``column(0, s)`` numbers the suffixes that start s bytes from their anchor by initial bucket and q-gram. A deeper column
+    sorts on two identifiers of the depth before, the suffix's own and that of the suffix some bytes later, so each refined
+    identifier is used again, by the suffix that it belongs to and by the one before it. Suffixes that are alone, or reach
+    beyond their segment, have -1. Columns are made when asked for and dropped once no later window needs them, so what is
+    held at once is a fixed number of bytes per segment.
+    """
+
+    def __init__(self, bucket: np.ndarray, offset: np.ndarray, segs: list[bytes], length: int, gram: int):
+        self.size = np.fromiter(map(len, segs), np.int64, len(segs))
+        self.start = np.cumsum(self.size) - self.size + offset
+        self.offset, self.depths = offset, depths(length, gram)
+        self.grams = gram_hashes(np.frombuffer(b"".join(segs), np.uint8), gram)
+        self.of = np.unique(bucket, return_inverse=True)[1].astype(np.uint64) * _ODD[2]
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def column(self, level: int, s: int) -> np.ndarray:
+        got = self.held.get((level, s))
+        if got is None:
+            if level == 0:
+                inside = np.flatnonzero((self.offset + s >= 0) & (self.offset + s + self.depths[0] <= self.size))
+                code = self.grams[self.start[inside] + s] * _ODD[4] ^ self.of[inside]
+            else:
+                a, b = self.column(level - 1, s), self.column(level - 1, s + self.depths[level] - self.depths[level - 1])
+                inside = np.flatnonzero((a >= 0) & (b >= 0))
+                code = a[inside].astype(np.int64) << 32 | b[inside]
+            got = np.full(len(self.size), -1, np.int32)
+            if len(inside):
+                _, number, members = np.unique(code, return_inverse=True, return_counts=True)
+                got[inside] = np.where(members[number] > 1, number, -1)
+            self.held[level, s] = got
+        return got
+
+    def drop(self, s: int) -> None:
+        for key in [k for k in self.held if k[1] <= s]:
+            del self.held[key]
+
+
+def refine(bucket: np.ndarray, offset: np.ndarray, segs: list[bytes], length: int, gram: int) -> list[list[int]]:
+    """[first, last, first, last, ...] of each segment's windows that are another segment's at the same place beside the anchor.
+
+    ``offset``: of the anchor in its segment. A window holds its anchor, so it starts at most length - gram before it.
+    """
+    ids, reach = Buckets(bucket, offset, segs, length, gram), length - gram
+    hit = np.zeros((len(segs), reach + 3), np.int8)
+    for s in range(-reach, 1):
+        hit[:, s + reach + 1] = ids.column(len(ids.depths) - 1, s) >= 0
+        ids.drop(s)
+    step = np.diff(hit, axis=1)
+    who, first = np.nonzero(step == 1)
+    last = np.nonzero(step == -1)[1] - 1
+    shift = offset[who] - reach
+    pairs = np.stack([first + shift, last + shift], 1)
+    bounds = np.searchsorted(who, np.arange(len(segs) + 1))
+    return [pairs[a:b].ravel().tolist() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _resolve(contexts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -179,13 +220,13 @@ def _resolve(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             if not n:
                 return None
             got = refine(np.array(part["bucket"], np.int64), np.array(part["offset"], np.int64), part["bytes"], length, gram)
-            some = [i for i, w in enumerate(got) if len(w) and part["partial"][i]]
-            return {"k": [part["k"][i] for i in some], "segment": [part["segment"][i] for i in some], "ranges": [_ranges(got[i]) for i in some]}
+            some = [i for i, w in enumerate(got) if w and part["partial"][i]]
+            return {"k": [part["k"][i] for i in some], "segment": [part["segment"][i] for i in some], "ranges": [got[i] for i in some]}
 
         for b in batches:
             for c in held:
                 held[c] += b[c]
-            if len(held["k"]) >= 4000:
+            if len(held["k"]) >= GATHER:
                 last, n = held["bucket"][-1], len(held["bucket"])
                 while n and held["bucket"][n - 1] == last:
                     n -= 1
@@ -197,37 +238,46 @@ def _resolve(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return map_batches(contexts, run, "k long, segment long, ranges array<int>")
 
 
-def _windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for hot buckets, by counting every window's fingerprint in a pre-aggregated shuffle."""
+def _spread(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for hot buckets: a window's identifiers of every depth are made where its segment lies, by the same doubling,
+    as hashes instead of numbers; the last one is counted by a pre-aggregated shuffle, so no task gathers a bucket."""
 
     def run(batches):
-        digest = xxhash.xxh64_intdigest
+        steps = depths(length, gram)
         for b in batches:
-            for k, s, p, o, x in zip(b["k"], b["segment"], b["partial"], b["offset"], b["bytes"]):
-                n = len(x) - length + 1
-                f = np.array([digest(x[i : i + length]) for i in range(n)], np.uint64).view(np.int64)
-                yield {"k": [k] * n, "segment": [s] * n, "partial": [p] * n, "window": list(range(n)), "f": f}
-
-    each = map_batches(contexts.select("k", "segment", "partial", "offset", "bytes"), run, "k long, segment long, partial boolean, window int, f long")
-    many = each.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
-    got = each.where("partial").join(many, "f").groupBy("k", "segment").agg(F.sort_array(F.collect_set("window")).alias("w"))
+            for k, g, s, p, o, x in zip(b["k"], b["bucket"], b["segment"], b["partial"], b["offset"], b["bytes"]):
+                ids = gram_hashes(np.frombuffer(x, np.uint8), gram) ^ np.uint64(g & (1 << 64) - 1)
+                for d, deeper in zip(steps, steps[1:]):
+                    ids = (ids[: len(ids) - (deeper - d)] * _ODD[2] ^ ids[deeper - d :]) * _ODD[3]
+                    ids ^= ids >> np.uint64(32)
+                n = len(ids)
+                yield {"k": [k] * n, "segment": [s] * n, "partial": [p] * n, "window": list(range(n)), "place": [w - o for w in range(n)], "id": ids.view(np.int64)}
+
+    each = map_batches(contexts.select("k", "bucket", "segment", "partial", "offset", "bytes"), run, "k long, segment long, partial boolean, window int, place int, id long")
+    many = each.groupBy("id", "place").agg(F.count("*").alias("c")).where("c > 1").select("id", "place")
+    got = each.where("partial").join(many, ["id", "place"]).groupBy("k", "segment").agg(F.sort_array(F.collect_set("window")).alias("w"))
     return got.select("k", "segment", F.flatten(F.transform("w", lambda w: F.array(w, w))).alias("ranges"))
 
 
+def _routed(df: DataFrame, length: int) -> Column:
+    """Where a row's findings are sent. Findings hold for any row with the segment, so rows that share this number lose
+    nothing; it follows from text and doc_id, so only equal rows share it, and rows too short to be found spread freely."""
+    return F.when(F.octet_length("text") >= length, F.xxhash64(F.col("doc_id").cast("string"), "text")).otherwise(F.monotonically_increasing_id())
+
+
 def repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, piece: int = PIECE) -> DataFrame:
-    """k, found array<struct<segment, ranges>>: by document, segments whose windows recur (all, or the ranges given).
+    """k, whole array<long>, part array<struct<segment, ranges>>: segments all of whose windows recur, and those of others.
 
-    ``df``: k long (not null), text.
+    ``df``: k long (the row's number as in ``_routed``), text.
     """
-    every = anchors(df, length, gram, piece)
-    many = every.groupBy("bucket").agg(F.sum("n").alias("c")).where("c > 1").select("bucket")
-    held = cut(every.join(many, "bucket"))
-    free(df.sparkSession)
-    segs = cut(held.groupBy("bucket", "segment").agg(F.sum("n").alias("c"), F.min("k").alias("k")))
-    full = held.join(segs.where("c > 1").select("bucket", "segment"), ["bucket", "segment"]).select("k", "segment")
+    df = df.where(F.octet_length("text") >= length)
+    every = cut(anchors(df, length, gram, piece))
+    segs = every.groupBy("bucket", "segment").agg(F.sum("n").alias("c"), F.min("k").alias("k"))
+    sizes = segs.groupBy("bucket").agg(F.sum("c").alias("places"), F.count("*").alias("members"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("open"))
+    segs = cut(segs.join(sizes.where("places > 1"), "bucket"))
+    full = every.join(segs.where("c > 1").select("bucket", "segment"), ["bucket", "segment"]).select("k", "segment")
     # buckets with a run that isn't repeated as a whole: their runs, one of each segment, are compared by bytes
-    sizes = segs.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("open"))
-    todo = segs.join(sizes.where("members > 1 AND open > 0"), "bucket")
+    todo = segs.where("members > 1 AND open > 0")
     wanted = todo.groupBy("k").agg(F.collect_list(F.struct("segment", (F.col("c") == 1).alias("partial"), (F.col("members") > hot).alias("hot"))).alias("want"))
 
     def contexts(batches):
@@ -247,42 +297,48 @@ def repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     asked = df.select("k", "text").join(wanted, "k")
     spec = "k long, bucket long, segment long, partial boolean, hot boolean, offset int, bytes binary"
     sent = cut(map_batches(asked, contexts, spec))
-    free(df.sparkSession)  # the texts' shuffle among others
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = _resolve(sent.where("NOT hot").drop("hot").repartition(parts, "bucket").sortWithinPartitions("bucket"), length, gram)
-    some = cold.unionByName(_windows(sent.where("hot"), length))
-    found = full.select("k", "segment", F.lit(None).cast("array<int>").alias("ranges")).unionByName(some)
-    return found.groupBy("k").agg(F.collect_set(F.struct("segment", "ranges")).alias("found"))
+    some = cold.unionByName(_spread(sent.where("hot"), length, gram))
+    found = full.select("k", F.col("segment").alias("whole"), F.lit(None).cast("struct<segment:bigint,ranges:array<int>>").alias("part"))
+    found = found.unionByName(some.select("k", F.lit(None).cast("long").alias("whole"), F.struct("segment", "ranges").alias("part")))
+    return found.groupBy("k").agg(F.collect_set("whole").alias("whole"), F.collect_list("part").alias("part"))
 
 
-def removed_bytes(text: bytes, found: list[dict] | None, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> np.ndarray:
+def removed_bytes(text: bytes, whole: list[int] | None, part: list[dict] | None, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> np.ndarray:
     """Mask of the removed bytes of one text."""
-    step = np.zeros(len(text) + 1, np.int32)
-    if found:
-        by = {f["segment"]: f["ranges"] for f in found}
-        for _, offsets, raw, runs in walk([text], length, gram, piece):
-            for a, z, t, s in zip(runs.first.tolist(), runs.last.tolist(), runs.text.tolist(), segments(raw, runs, length).tolist()):
-                if s in by:
-                    # a lone text is never joined to another, so the part starts at 0 of its joined bytes
-                    for i, j in [(0, z - a)] if by[s] is None else zip(by[s][::2], by[s][1::2]):
-                        step[offsets[t] + a + i] += 1
-                        step[offsets[t] + a + j + length] -= 1
-    return np.cumsum(step[:-1]) > 0
-
-
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col("text"))
-
-
-def _with_masks(df: DataFrame, make: Callable[[list, list], dict], schema: str, keep: str = "doc_id", **params) -> DataFrame:
-    rows = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(keep).alias("keep"), "text")
-    joined = rows.join(repeats(_keyed(df), **params), "k", "left").select("keep", "text", "found")
+    if not whole and not part:
+        return np.zeros(len(text), bool)
+    # how many found windows open less close at a byte; no more than ``length`` lie over one byte
+    step = np.zeros(len(text) + 1, np.int16 if length < 1 << 14 else np.int32)
+    by = dict.fromkeys(whole or ()) | {f["segment"]: f["ranges"] for f in part or ()}
+    for _, offsets, raw, runs in walk([text], length, gram, piece):
+        for a, z, t, s in zip(runs.first.tolist(), runs.last.tolist(), runs.text.tolist(), segments(raw, runs, length).tolist()):
+            if s in by:
+                # a lone text is never joined to another, so the part starts at 0 of its joined bytes
+                for i, j in [(0, z - a)] if by[s] is None else zip(by[s][::2], by[s][1::2]):
+                    step[offsets[t] + a + i] += 1
+                    step[offsets[t] + a + j + length] -= 1
+    np.cumsum(step, out=step)
+    return step[:-1] > 0
+
+
+def _with_masks(df: DataFrame, make: Callable[[bytes, np.ndarray], dict], schema: str, keep: str = "doc_id", **params) -> DataFrame:
+    """``keep`` and what ``make`` gives for each text and its mask; one text's mask is held at a time."""
+    length = params.get("length", LENGTH)
+    rows = df.select(_routed(df, length).alias("k"), F.col(keep).alias("keep"), "text")
+    joined = rows.join(repeats(df.select(_routed(df, length).alias("k"), "text"), **params), "k", "left").select("keep", "text", "whole", "part")
     at = {c: params[c] for c in ("length", "gram", "piece") if c in params}
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            texts = [_bytes(t) for t in b["text"]]
-            yield {"keep": b["keep"]} | make(texts, [removed_bytes(t, f, **at) for t, f in zip(texts, b["found"])])
+            out: dict[str, list] = {c: [] for c in names}
+            for t, whole, part in zip(b["text"], b["whole"], b["part"]):
+                raw = _bytes(t)
+                for c, v in make(raw, removed_bytes(raw, whole, part, **at)).items():
+                    out[c].append(v)
+            yield {"keep": b["keep"]} | out
 
     return map_batches(joined, run, f"keep {rows.schema['keep'].dataType.simpleString()}, {schema}")
 
@@ -290,10 +346,10 @@ def _with_masks(df: DataFrame, make: Callable[[list, list], dict], schema: str,
 def dedup_report(df: DataFrame, **params) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``df`` (doc_id, text)."""
 
-    def make(texts, masks):
-        edges = [np.diff(m.astype(np.int8), prepend=0) for m in masks]
-        kept = [hashlib.sha256(np.frombuffer(t, np.uint8)[~m].tobytes() if m.any() else t).hexdigest() for t, m in zip(texts, masks)]
-        return {"n_bytes": [len(t) for t in texts], "n_removed": [int(m.sum()) for m in masks], "n_spans": [int((e > 0).sum()) for e in edges], "kept_sha256": kept}
+    def make(raw, mask):
+        kept = np.frombuffer(raw, np.uint8)[~mask].tobytes() if mask.any() else raw
+        spans = int(mask[:1].sum()) + np.count_nonzero(mask[1:] & ~mask[:-1])
+        return {"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
     out = _with_masks(df, make, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", **params)
     return out.withColumnRenamed("keep", "doc_id")
@@ -311,8 +367,8 @@ def cut_repeats(df: DataFrame, **params) -> DataFrame:
     others = [c for c in df.columns if c not in ("text", "n_chars")]
     packed = df.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"))
 
-    def make(texts, masks):
-        return {"text": [np.frombuffer(t, np.uint8)[~m].tobytes().decode("utf-8", "ignore") if m.any() else t.decode("utf-8", "surrogatepass") for t, m in zip(texts, masks)]}
+    def make(raw, mask):
+        return {"text": np.frombuffer(raw, np.uint8)[~mask].tobytes().decode("utf-8", "ignore") if mask.any() else raw.decode("utf-8", "surrogatepass")}
 
     out = _with_masks(packed, make, "text string", keep="others", **params)
     size = {"n_chars": F.length("text").cast(df.schema["n_chars"].dataType)} if "n_chars" in df.columns else {}

@@ -176,7 +176,7 @@ def plain_dedup(texts, length):
     return out
 
 
-@pytest.mark.parametrize("kw", [{"length": 20, "gram": 8}, {"length": 20, "gram": 8, "hot": 2, "piece": 128}, {"length": 50, "gram": 16, "piece": 100}])
+@pytest.mark.parametrize("kw", [{"length": 20, "gram": 8}, {"length": 20, "gram": 8, "hot": 1, "piece": 128}, {"length": 20, "gram": 8, "hot": 1 << 40}, {"length": 50, "gram": 16, "piece": 100}])
 def test_suffix_dedup(spark, kw):
     rng = random.Random(7)
     base = ["".join(rng.choice("abé ") for _ in range(rng.randint(10, 400))) for _ in range(12)]
