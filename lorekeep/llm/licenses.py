@@ -7,8 +7,8 @@ token at places i and j at most min(|t| - i, |block| - j) more can follow (posit
 exactly. Two kinds of template share this join:
 
 * phrases: the block is a whole text and the threshold 1; a check of the word order then finds all places of the phrase;
-* notices: blocks are the text's lines and the threshold is CONTAINMENT. A notice may be wrapped, so every run of as many words
-  as the template has that spans line ends is a block too, if no line that it touches meets the template by itself.
+* notices: blocks are the text's lines and, as a notice may be wrapped, all runs of as many words as the template has,
+  whatever lines they lie in; the threshold is CONTAINMENT.
 
 Templates are few and fixed, so their tokens' frequencies are small to broadcast; texts are read twice and never shuffled.
 Null texts are empty and have no words. Ties of frequency go by token. Repeated rows report alike; very long texts are
@@ -90,12 +90,9 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
         return out
 
 
-def spans(words: list[bytes], line: list[int], tokens: frozenset[bytes], width: int, least: int, met: set[int]) -> dict[int, int]:
-    """Runs of ``width`` words over line ends with at least ``least`` of the tokens: line of the first word -> most tokens.
-
-    ``line``: of each word, ascending. Runs that touch a line of ``met`` are left out.
-    """
-    have, open_, out = Counter(), deque(), {}
+def spans(words: list[bytes], tokens: frozenset[bytes], width: int, least: int) -> list[tuple[int, int, int]]:
+    """Runs of at most ``width`` words, from a token to a token, with at least ``least`` of them: first word, last word, how many."""
+    have, open_, out = Counter(), deque(), []
     for k, w in enumerate(words):
         if w not in tokens:
             continue
@@ -106,9 +103,8 @@ def spans(words: list[bytes], line: list[int], tokens: frozenset[bytes], width:
             have[first] -= 1
             if not have[first]:
                 del have[first]
-        a, b = line[open_[0]], line[k]
-        if len(have) >= least and a < b and met.isdisjoint(range(a, b + 1)):
-            out[a] = max(out.get(a, 0), len(have))
+        if len(have) >= least:
+            out.append((open_[0], k, len(have)))
     return out
 
 
@@ -151,14 +147,19 @@ def license_scan(df: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict
                     for r, c in lines.match(p):
                         blocks.append({"line": n, "label": lines.rows[r][2], "containment": c})
                         single.append((n, r))
+                best = max((x["containment"] for x in blocks), default=0.0)
                 if len(parts) > 1 and (wide := lines.match(words)):
                     line = [n for n, p in enumerate(parts) for _ in p]
                     for r, _ in wide:
                         ids, least, label, ws = lines.rows[r]
-                        met = {n for n, k in single if k == r}
-                        blocks += [{"line": n, "label": label, "containment": c / len(ids)} for n, c in spans(words, line, frozenset(ws), len(ws), least, met).items()]
+                        met, runs = {n for n, k in single if k == r}, {}
+                        for i, j, c in spans(words, frozenset(ws), len(ws), least):
+                            best = max(best, c / len(ids))
+                            if met.isdisjoint(range(line[i], line[j] + 1)):  # not what a line has reported by itself
+                                runs[line[i]] = max(runs.get(line[i], 0), c)
+                        blocks += [{"line": n, "label": label, "containment": c / len(ids)} for n, c in runs.items()]
                 labels = base | {x["label"] for x in blocks}
-                score = max([1.0 if base else 0.0, *(x["containment"] for x in blocks)])
+                score = 1.0 if base else best
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks))
             yield {key: b[key]} | dict(zip(out_names, zip(*rows)))
 
@@ -175,7 +176,7 @@ def _sql() -> str:
     fold = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     quoted = lambda ws: "[" + ", ".join(f"'{w.decode()}'" for w in ws) + "]"
     phrase = " UNION ALL ".join(f"SELECT '{label}' AS label, {quoted(ascii_words(p))} AS ws" for p, label in PHRASES.items())
-    notice = " UNION ALL ".join(f"SELECT '{label}' AS label, {quoted(sorted(set(ascii_words(t))))} AS ws" for t, label in NOTICES.items())
+    notice = " UNION ALL ".join(f"SELECT '{label}' AS label, {quoted(sorted(set(ascii_words(t))))} AS ws, {len(ascii_words(t))} AS width" for t, label in NOTICES.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {fold} AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{word}') AS words FROM d),
@@ -188,8 +189,11 @@ met AS (
   SELECT rid, label, len(list_intersect(ws, lw))::DOUBLE / len(ws) AS c FROM line, notice
   WHERE len(list_intersect(ws, lw)) >= ceil({CONTAINMENT} * len(ws) - 1e-9)
 ),
+near AS (SELECT rid, label, ws, width, words FROM w, notice WHERE len(list_intersect(ws, words)) >= ceil({CONTAINMENT} * len(ws) - 1e-9)),
+run AS (SELECT rid, label, len(list_intersect(ws, words[i + 1 : i + width]))::DOUBLE / len(ws) AS c, len(ws) AS n FROM (SELECT *, unnest(range(greatest(1, len(words) - width + 1))) AS i FROM near)),
+spanned AS (SELECT rid, label, c FROM run WHERE c * n >= ceil({CONTAINMENT} * n - 1e-9) - 1e-6),
 base AS (SELECT rid, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY rid),
-every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score FROM (SELECT rid, label, 1.0::DOUBLE AS c FROM hit UNION ALL SELECT * FROM met) GROUP BY rid)
+every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score FROM (SELECT rid, label, 1.0::DOUBLE AS c FROM hit UNION ALL SELECT * FROM met UNION ALL SELECT * FROM spanned) GROUP BY rid)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
        coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, coalesce(every.score, 0.0)::DOUBLE AS score
 FROM w LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)

@@ -32,14 +32,13 @@ def plain_scan(text):
         starts += hits
         base |= {label} if hits else set()
     labels, score = set(base), 1.0 if base else 0.0
-    for line in (text or "").split("\n"):
-        have = set(ascii_words(line))
-        for t, label in licenses.NOTICES.items():
-            want = set(ascii_words(t))
-            c = len(want & have) / len(want)
-            if c >= licenses.CONTAINMENT:
-                labels.add(label)
-                score = max(score, c)
+    for t, label in licenses.NOTICES.items():
+        want, n = set(ascii_words(t)), len(ascii_words(t))
+        blocks = [ascii_words(line) for line in (text or "").split("\n")] + [words[i : i + n] for i in range(max(1, len(words) - n + 1))]
+        c = max(len(want.intersection(x)) for x in blocks) / len(want)
+        if c >= licenses.CONTAINMENT:
+            labels.add(label)
+            score = max(score, c)
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
 
 
@@ -52,6 +51,8 @@ def test_license_scan(spark):
         if rng.random() < 0.6:
             ws.pop(rng.randrange(len(ws)))
         texts.append("intro\n" + ", ".join(ws) + "\nend")
+        at = rng.randrange(len(ws))
+        texts.append("intro\n" + " ".join(ws[:at]) + "\n * " + " ".join(ws[at:]) + rng.choice(["\nend", " and more\n\n" + " ".join(ws)]))
     got = {r.doc_id: tuple(r)[1:8] for r in licenses.license_scan(docs(spark, texts)).collect()}
     assert got == {i: plain_scan(t) for i, t in enumerate(texts)}
     assert licenses.license_scan(docs(spark, [])).count() == 0
@@ -108,37 +109,52 @@ def test_fingerprint():
         assert simhash.fingerprint(t) == plain_fingerprint(t)
 
 
-@pytest.mark.parametrize("split, flip", [(64, 2500), (2, 3)])
-def test_posting_lists_lose_no_link(spark, monkeypatch, split, flip):
-    """Random centres with neighbours at 0 to 5 bits; short limits force every way through a list."""
-    monkeypatch.setattr(simhash, "SPLIT_LIST", split)
-    monkeypatch.setattr(simhash, "FLIP_LIST", flip)
+def test_planes():
+    from itertools import combinations
+
+    assert len(simhash.PLANES) == 14
+    for shared in combinations(range(8), simhash.SHARED):
+        assert any(set(p) <= set(shared) for p in simhash.PLANES)
+
+
+@pytest.mark.parametrize("long", [2, 7, 1 << 30])
+def test_posting_lists_lose_no_link(spark, monkeypatch, long):
+    """Random centres with neighbours at 0 to 5 bits; short limits force every way through a list, over several tasks."""
+    monkeypatch.setattr(simhash, "LONG", long)
     rng = random.Random(5)
     fps = []
     for _ in range(40):
         c = rng.getrandbits(64)
         fps += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for _ in range(6)]
         fps += [c ^ sum(1 << b for b in rng.sample(range(8), rng.randrange(6))) for _ in range(6)]
+    c = rng.getrandbits(64)
+    fps += [c ^ sum(1 << b for b in rng.sample(range(20, 44), rng.randrange(7))) for _ in range(60)]  # one crowded list
     fps = sorted(set(fps))
-    arr, label = np.array(fps, np.uint64), {i: i for i in range(len(fps))}
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    label = {f: f for f in fps}
 
     def find(i):
         while label[i] != i:
             i = label[i]
         return i
 
-    for k, triple in enumerate(simhash.TRIPLES):
-        lists = {}
-        for i, f in enumerate(fps):
-            lists.setdefault(tuple(f >> 8 * b & 255 for b in triple), []).append(i)
-        for members in lists.values():
-            a, b = simhash._links(arr[members], k)
-            for i, j in zip(a.tolist(), b.tolist()):
-                p, q = members[i], members[j]
-                assert (fps[p] ^ fps[q]).bit_count() <= 64
-                p, q = find(p), find(q)
-                label[max(p, q)] = min(p, q)
-    assert {i: find(i) for i in label} == plain_components(list(range(len(fps))), fps)
+    for r in simhash.links_of(nodes).collect():
+        u, v = r.u % (1 << 64), r.v % (1 << 64)
+        p, q = find(u), find(v)
+        label[max(p, q)] = min(p, q)
+    assert {f: find(f) for f in fps} == plain_components(fps, fps)
+
+
+def test_star_members_are_linked():
+    """A star joins only what a chain of links joins."""
+    rng = random.Random(8)
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(4))) for c in [rng.getrandbits(64) for _ in range(4)] for _ in range(40)})
+    arr = np.array(fps, np.uint64)
+    want = plain_components(list(range(len(fps))), fps)
+    for fifth in (None, (3, 4, 5, 6, 7)):
+        for group in {f >> 24 for f in fps}:
+            own = np.array([i for i, f in enumerate(fps) if f >> 24 == group])
+            assert {int(own[i]): int(own[j]) for i, j in enumerate(simhash.stars(arr[own], fifth))} == {i: want[i] for i in own.tolist()}
 
 
 def test_near_duplicates(spark):
