@@ -87,16 +87,17 @@ def vote(model: dict, x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
         if not len(rows) or not k:
             continue
         near = (v[rows] / norm[rows, None]) @ model["vectors"].T
-        # rounded, so that the order of sums does not decide between equal neighbours
-        near = np.round(near, 5)
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, 1), 0) ** 8
+        # whole numbers, so that the order of sums does not decide between equal neighbours; then the earlier row is nearer
+        near = np.rint(near * 1e5).astype(np.int64)
+        best = np.argpartition(np.arange(near.shape[1]) - near * near.shape[1], k - 1, axis=1)[:, :k]
+        weight = (np.maximum(np.take_along_axis(near, best, 1), 0) / 1e5) ** 8
         out[rows] = (weight * model["labels"][best]).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-12)
     return np.clip(np.round(out, 6), 0, 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fits on at most ``sample`` rows (by a hash of doc_id) whose id isn't held out."""
+    """Fits on at most ``sample`` rows (by a hash of doc_id) whose id isn't held out. Their term rows, whose number and width are
+    fixed, come to the driver."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(crc % 3 != 1)
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -106,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for b in batches:
             yield {"doc_id": b["doc_id"], "quality": b["quality"], "x": [terms(t).tobytes() for t in b["text"]]}
 
-    got = map_batches(each.select("doc_id", "quality", "text"), run, "doc_id long, quality int, x binary").toArrow()
+    got = map_batches(each.select("doc_id", "quality", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x binary").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["doc_id"][i].as_py(), got["x"][i].as_py()))
     x = np.stack([np.frombuffer(got["x"][i].as_py(), np.float32) for i in order]) if order else np.zeros((0, TERMS), np.float32)
     return fit(x, np.array([float(got["quality"][i].as_py() > 0) for i in order]))

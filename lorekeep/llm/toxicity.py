@@ -6,9 +6,11 @@ P(>=1) >= REJECT. x is a set: a document's distinct words and their PREFIXES, ha
 chosen by an L1 penalty (accelerated proximal gradient), so only telling ones weigh anything and long clean texts don't add
 up to a toxic one; their weights are then fitted with a slight ridge (L-BFGS).
 
-Labels give toxic 0/1; a toxic training document is graded 2 if it holds SEVERE or more of the terms that the training
-rows themselves show to be toxic (log-odds). Training reads at most TRAIN_ROWS labelled rows, chosen by a hash of their
-doc_id; scoring reads every row and whole texts.
+Labels give toxic 0/1; a toxic training document is graded 2 if it holds SEVERE or more distinct words that the training
+rows themselves show to be toxic (log-odds over ODDS, in at least SEEN toxic rows). Prefixes are features, but are not
+counted for the grade. Training reads at most TRAIN_ROWS labelled rows, chosen by a hash of their doc_id. Their features
+are counted by a pre-aggregated shuffle; only the telling ones, at most DIMS, and what rows hold of them come to the
+driver. Scoring reads every row and whole texts.
 
 Null and empty texts score as the bare thresholds say (clean). Labelled rows without text, labels with null ids and nulls
 in toxic are ignored; a doc_id labelled twice is toxic if either label says so. Without labelled rows of both kinds all
@@ -18,16 +20,18 @@ severities are 0. Repeated rows score alike; an empty table gives none; extra co
 from __future__ import annotations
 
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, need, table
+from .common import cut, map_batches, need, table
 
 TRAIN_ROWS = 16_000
-SEVERE = 3
+#: Distinct toxic words of a severely toxic text; a word is toxic from these log-odds and toxic rows on.
+SEVERE, ODDS, SEEN = 5, 3.0, 5
 DIMS = 1 << 20
 PENALTY = 1e-3
 STEPS = 250
@@ -52,45 +56,47 @@ def features(text: str | None) -> list[int]:
     return sorted({f for w in set(_words((text or "").lower())) for f in word_features(w)})
 
 
-def _grades(rows: list[np.ndarray], toxic: np.ndarray, dims: int) -> np.ndarray:
-    ids = np.concatenate(rows)
-    hit = np.bincount(ids, np.repeat(toxic, [len(r) for r in rows]), dims)
-    seen = np.bincount(ids, minlength=dims)
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    odds = np.log((hit + 0.5) / (n1 - hit + 0.5)) - np.log((seen - hit + 0.5) / (n0 - seen + hit + 0.5))
-    terms = (odds > 3) & (hit >= 5)
-    many = np.array([terms[r].sum() >= SEVERE for r in rows])
-    return np.where(toxic > 0, 1 + many, 0)
+def word_ids(text: str | None) -> list[int]:
+    """Hashed ids of the distinct words alone."""
+    return sorted({crc32(w.encode("utf-8", "surrogatepass")) % DIMS for w in set(_words((text or "").lower()))})
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[dict[int, float], tuple[float, float]]:
-    """Non-zero weights by feature, and the two thresholds."""
-    if not len(rows) or toxic.min() == toxic.max():
-        return {}, (50.0, 60.0)
-    size = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    n, n1 = len(rows), toxic.sum()
-    seen, hit = np.bincount(flat, minlength=DIMS), np.bincount(flat, np.repeat(toxic, size), DIMS)
-    even = seen * n1 / n
-    names = np.flatnonzero((seen >= 3) & ((hit - even) ** 2 * n / np.maximum(even * (n - n1), 1e-9) >= TELLING))
-    d, new = len(names), np.full(DIMS, -1)
-    new[names] = np.arange(d)
-    col = new[flat]
-    row, col = np.repeat(np.arange(n), size)[col >= 0], col[col >= 0]
-    grade = _grades(rows, toxic, DIMS)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    def slope(w, t):
-        s = np.bincount(row, w[col], n)
-        p1, p2 = sig(s - t[0]), sig(s - t[1])
-        q1, q2 = p1 * (1 - p1), p2 * (1 - p2)
-        mid = np.maximum(p1 - p2, 1e-12)
-        # derivatives of -log P(grade) by s and by each threshold
-        by_s = np.select([grade == 0, grade == 2], [p1, p2 - 1], -(q1 - q2) / mid)
-        by_1 = np.select([grade == 0, grade == 2], [-p1, 0], q1 / mid)
-        by_2 = np.select([grade == 0, grade == 2], [0, 1 - p2], -q2 / mid)
-        return np.bincount(col, by_s[row], d) / n, np.array([by_1.mean(), by_2.mean()])
+def log_odds(hit, seen, toxic: int, clean: int):
+    """Of toxic against clean rows that hold a feature; hit: toxic rows with it, seen: all rows with it."""
+    return np.log((hit + 0.5) / (toxic - hit + 0.5)) - np.log((seen - hit + 0.5) / (clean - seen + hit + 0.5))
+
+
+def grades(toxic: np.ndarray, toxic_words: np.ndarray) -> np.ndarray:
+    """0, 1, 2 from the label and the number of distinct toxic words."""
+    return np.where(toxic > 0, 1 + (toxic_words >= SEVERE), 0)
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def ordinal_loss(w: np.ndarray, t, row: np.ndarray, col: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean of -log P(grade), and its slopes by the weights and by the two thresholds. Row ``row[i]`` holds feature ``col[i]``."""
+    n = len(grade)
+    s = np.bincount(row, w[col], n)
+    p1, p2 = sigmoid(s - t[0]), sigmoid(s - t[1])
+    q1, q2 = p1 * (1 - p1), p2 * (1 - p2)
+    mid = np.maximum(p1 - p2, 1e-12)
+    case = [grade == 0, grade == 2]
+    cost = -np.log(np.maximum(np.select(case, [1 - p1, p2], mid), 1e-12)).mean()
+    by_s = np.select(case, [p1, p2 - 1], -(q1 - q2) / mid)
+    by_1, by_2 = np.select(case, [-p1, 0], q1 / mid), np.select(case, [0, 1 - p2], -q2 / mid)
+    return cost, np.bincount(col, by_s[row], len(w)) / n, np.array([by_1.mean(), by_2.mean()])
 
+
+def fit(rows: list[np.ndarray], grade: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[dict[int, float], tuple[float, float]]:
+    """Non-zero weights by feature, and the two thresholds. rows: the telling features of each training text."""
+    if not len(rows) or grade.min() == grade.max():
+        return {}, (50.0, 60.0)
+    n, size = len(rows), np.array([len(r) for r in rows])
+    names, col = np.unique(np.concatenate(rows).astype(np.int64), return_inverse=True)
+    row, d = np.repeat(np.arange(n), size), len(names)
+    slope = lambda w, t: ordinal_loss(w, t, row, col, grade)[1:]
     v = np.ones(d)  # the largest eigenvalue of X'X/n bounds the curvature
     for _ in range(20):
         v = np.bincount(col, np.bincount(row, v[col], n)[row], d) / n
@@ -118,11 +124,8 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, penalty: float = PENALTY, ste
 
     def loss(x):
         v, t = x[:d], np.array([x[d], x[d] + np.exp(np.clip(x[d + 1], -5, 5))])
-        s = np.bincount(row, v[col], n)
-        p1, p2 = sig(s - t[0]), sig(s - t[1])
-        cost = -np.log(np.maximum(np.select([grade == 0, grade == 2], [1 - p1, p2], p1 - p2), 1e-12)).mean() + RIDGE * (v @ v) / 2
-        g, gt = slope(v, t)
-        return cost, np.concatenate([g + RIDGE * v, [gt.sum(), gt[1] * (t[1] - t[0])]])
+        cost, g, gt = ordinal_loss(v, t, row, col, grade)
+        return cost + RIDGE * (v @ v) / 2, np.concatenate([g + RIDGE * v, [gt.sum(), gt[1] * (t[1] - t[0])]])
 
     x = _minimise(loss, np.concatenate([w[stay], [t[0], np.log(t[1] - t[0])]]))
     return {int(k): float(v) for k, v in zip(names[stay], x[:d])}, (float(x[d]), float(x[d] + np.exp(np.clip(x[d + 1], -5, 5))))
@@ -160,23 +163,42 @@ def _minimise(loss, x: np.ndarray, rounds: int = 200, memory: int = 10) -> np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[int, float], tuple[float, float]]:
-    """Fits on at most ``rows`` labelled documents. The bounded label sample is broadcast; features come to the driver."""
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fits on at most ``rows`` labelled documents; the bounded label sample is broadcast."""
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    each = need(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    sample = cut(need(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+
+    def count(batches):
+        seen, hit = Counter(), Counter()
+        for b in batches:
+            for t, y in zip(b["text"], b["toxic"]):
+                seen.update(f := features(t))
+                if y:
+                    hit.update(f)
+        yield {"f": list(seen), "seen": list(seen.values()), "hit": [hit[f] for f in seen]}
+
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return fit([], np.zeros(0))
+    even = F.col("seen") * toxic / n
+    square = (F.col("hit") - even) ** 2 * n / F.greatest(even * (n - toxic), F.lit(1e-9))
+    counted = map_batches(sample, count, "f int, seen long, hit long").groupBy("f").agg(F.sum("seen").alias("seen"), F.sum("hit").alias("hit"))
+    got = counted.where((F.col("seen") >= 3) & (square >= TELLING)).toArrow()
+    names, seen, hit = (got[c].to_numpy() for c in ("f", "seen", "hit"))
+    bad = names[(log_odds(hit, seen, toxic, n - toxic) > ODDS) & (hit >= SEEN)]
+    shared = docs.sparkSession.sparkContext.broadcast((frozenset(names.tolist()), frozenset(bad.tolist())))
 
     def run(batches):
+        telling, bad = shared.value
         for b in batches:
-            yield {"toxic": b["toxic"], "ids": [features(t) for t in b["text"]]}
+            yield {"toxic": b["toxic"], "words": [len(bad.intersection(word_ids(t))) for t in b["text"]], "ids": [sorted(telling.intersection(features(t))) for t in b["text"]]}
 
-    got = map_batches(each.select("text", "toxic"), run, "toxic int, ids array<int>").toArrow()
-    if not got.num_rows:
-        return fit([], np.zeros(0))
-    ids, toxic = got["ids"].combine_chunks(), np.array(got["toxic"].to_pylist())
+    got = map_batches(sample, run, "toxic int, words int, ids array<int>").toArrow()
+    ids, toxic, words = got["ids"].combine_chunks(), got["toxic"].to_numpy(), got["words"].to_numpy()
     flat, ends = ids.flatten().to_numpy(), np.array(ids.offsets)
     each = [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
-    order = sorted(range(len(each)), key=lambda i: (crc32(each[i].tobytes()), toxic[i]))  # so that a rerun sums alike
-    return fit([each[i] for i in order], (toxic[order] > 0).astype(float))
+    order = sorted(range(len(each)), key=lambda i: (crc32(each[i].tobytes()), toxic[i], words[i]))  # so that a rerun sums alike
+    return fit([each[i] for i in order], grades(toxic, words)[order])
 
 
 def toxicity(df: DataFrame, model: tuple[dict[int, float], tuple[float, float]], text: str = "text") -> DataFrame:
@@ -186,7 +208,6 @@ def toxicity(df: DataFrame, model: tuple[dict[int, float], tuple[float, float]],
 
     def run(batches):
         get, cache = shared.value.get, {}
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         for b in batches:
             score = []
             for t in b[text]:
@@ -201,7 +222,7 @@ def toxicity(df: DataFrame, model: tuple[dict[int, float], tuple[float, float]],
                         found.update(pair)
                 score.append(sum(found[f] for f in sorted(found)))
             s = np.array(score, float)
-            p1, p2 = sig(s - t1), sig(s - t2)
+            p1, p2 = sigmoid(s - t1), sigmoid(s - t2)
             yield {c: b[c] for c in names} | {"severity": (p1 + p2).tolist(), "p_toxic": p1.tolist(), "toxic": (p1 >= REJECT).tolist()}
 
     names = [c for c in df.columns if c not in ("severity", "p_toxic", "toxic")]
