@@ -4,8 +4,8 @@ A page is walked once into leaf blocks: runs of text between block-level tags, e
 features are its ancestors' tags and the words of their class, id and role, its own tag, and its text's length, share of
 linked text, punctuation and place. The field has two labels (main text or not) with a weight per feature and label pair
 of neighbours; it is trained by maximum likelihood (forward-backward, Adam, L2) on labelled pages, drawn by a seeded
-grammar of layouts, and decoded by Viterbi. Head, scripts, styles, comments of markup, form
-controls, drawings (svg, which may close itself) and embedded media hold no text; formulas (math) are text of their line.
+grammar of layouts, and decoded by Viterbi. Page titles, scripts, styles, comments of markup, frames, buttons, choices, text
+fields and inert templates hold no text. Formulas, words in drawings and the fallback of embedded media are text of their line.
 
 Text: character references decoded (a reference cut off by the end of the page stays as it is), white space inside a
 block one space, blocks trimmed and joined by one space in page order. Nothing else is dropped or capped.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +32,23 @@ EPOCHS = 150
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 # formulas stand in their line
 _INLINE |= frozenset("math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr mstyle mpadded mphantom mspace menclose merror maction mfenced semantics annotation annotation-xml".split())
+# fallback text of embedded media, and words in drawings, stand where they are
+_INLINE |= frozenset("svg g path circle ellipse rect line polyline polygon text tspan textpath defs use symbol desc marker lineargradient radialgradient stop clippath mask pattern filter foreignobject object canvas audio video picture noscript button option optgroup".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Tags that an opening tag closes first, as far up as the given limit tags.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _CLOSES.items()}
 
+#: Buttons, choices and inert templates hold no text. One that isn't closed before the next of its kind or before a part of
+#: the page begins or ends is just a stray tag: it swallows nothing.
+_STOP = r"<(?:(?P=part)|/?(?:p|h[1-6]|article|section|main|form|table|ul|ol|nav|header|footer|aside|body|html))(?=[\s/>])"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|title|iframe|svg|object|canvas|audio|video|button)(?=[\s/>]|\Z)"
-    r"(?:(?<=<svg)(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>|[^>]*(?:>.*?(?:</(?P=raw)(?=[\s/>]|\Z)[^>]*(?:>|\Z)|\Z)|\Z))"
+    # text up to the closing tag or the end of the page, whatever it looks like
+    r"|<(?P<raw>script|style|textarea|title|iframe|noembed|noframes|xmp)(?=[\s/>]|\Z)[^>]*(?:>.*?(?:</(?P=raw)(?=[\s/>]|\Z)[^>]*(?:>|\Z)|\Z)|\Z)"
+    r"|<(?P<part>button|select|datalist)(?=[\s/>])[^>]*>(?:(?!" + _STOP + r").)*?</(?P=part)\s*>"
+    r"|<template(?=[\s/>])[^>]*>(?:(?!<template[\s/>]).)*?</template\s*>|<option(?=[\s/>])[^>]*>[^<]*"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|</\Z|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -83,7 +91,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() in ("button", "select", "textarea"):
+            if m["part"] or m["raw"] and m["raw"].lower() == "textarea":
                 parts.append(" ")
             continue
         tag = tag.lower()
@@ -224,7 +232,9 @@ def main_text(page: str | None, model: tuple[dict[str, float], np.ndarray]) -> s
     return " ".join(b.text for b, y in zip(found, decode(found, *model)) if y)
 
 
+@lru_cache(maxsize=2)
 def default_model(pages: int = TRAIN_PAGES) -> tuple[dict[str, float], np.ndarray]:
+    """Fitted once in a driver; the same pages give the same weights."""
     from .labelled_pages import page
 
     return train([page(k) for k in range(pages)])

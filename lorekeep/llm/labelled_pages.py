@@ -54,7 +54,7 @@ def _links(r: random.Random, n: int, label: str = "") -> str:
 
 def _box(r: random.Random, names: list[str], tags: list[str], inner: str) -> str:
     tag = r.choice(tags)
-    name = r.choice(names)
+    name = r.choice(names) if r.random() < 0.9 or tags == ["div"] else _word(r)
     attr = r.choice([f' class="{name}"', f' id="{name.split()[0]}"', f' class="box {name}"'])
     return f'<{tag}{attr if tag in ("div", "section", "p") or r.random() < 0.5 else ""} data-main="0">{inner}</{tag}>'
 
@@ -103,14 +103,18 @@ def page(seed: int) -> str:
             body.append("</p>" + r.choice([ad, side, form])())
     inner = "".join(body)
     style = r.random()
-    if style < 0.55:
+    if style < 0.45:
         main = f'<article data-main="1">{inner}</article>'
-    elif style < 0.75:
+    elif style < 0.58:
         main = f'<main data-main="1">{inner}</main>'
-    elif style < 0.97:
+    elif style < 0.74:
         main = f'<div {r.choice(["class", "id"])}="{r.choice(_CONTENT)}" data-main="1">{inner}</div>'
-    else:
-        main = f'<div data-main="1">{inner}</div>'
+    elif style < 0.82:  # sections, with and without a name or role
+        main = f'<{r.choice(["div", "section"])}{r.choice(["", " role=main"])}><section data-main="1">{inner}</section></{"div"}>'
+    elif style < 0.88:
+        main = f'<table><tr><td class="{_word(r)}" data-main="0">{_links(r, 4)}</td><td data-main="1">{inner}</td></tr></table>'
+    else:  # a name that says nothing, or none
+        main = f'<div{r.choice(["", f" class={_word(r)}", f" id={_word(r)}"])} data-main="1">{inner}</div>'
     if r.random() < 0.3:
         main = f"<main>{main}</main>" if r.random() < 0.5 else f'<div class="wrapper">{main}</div>'
     parts.append(main)
