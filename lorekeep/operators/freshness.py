@@ -13,16 +13,18 @@ def current_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("repo", "file_path", "symbol").agg(F.min_by("content_hash", F.struct("line_start", "line_end")).alias("content_hash"))
 
 
-def verified(units: DataFrame, snapshot: DataFrame) -> DataFrame:
+def verified(units: DataFrame, snapshot: DataFrame, code_only: bool = False) -> DataFrame:
     """Units with ``freshness`` checked: EXPIRED if the symbol is gone, STALE if its hash differs, else FRESH.
 
-    Other source types keep theirs, as do units of a repository the snapshot doesn't hold.
+    Other source types are UNKNOWN, or with ``code_only`` not looked at and keep theirs. Code of a repository that the
+    snapshot doesn't hold keeps its own.
     """
     now = snapshot.select("repo", "file_path", "symbol", F.col("content_hash").alias("__now"))
     repos = snapshot.select("repo").distinct().withColumn("__known", F.lit(True))
     out = units.join(now, ["repo", "file_path", "symbol"], "left").join(repos, "repo", "left")
     state = F.when(F.col("__now").isNull(), "EXPIRED").when(F.coalesce("content_hash", F.lit("")).isin("") | (F.col("content_hash") == F.col("__now")), "FRESH").otherwise("STALE")
-    fresh = F.when((F.col("source_type") == "CODE") & F.coalesce("__known", F.lit(False)), state).otherwise(F.col("freshness"))
+    fresh = F.when((F.col("source_type") == "CODE") & F.coalesce("__known", F.lit(False)), state)
+    fresh = fresh.when((F.col("source_type") != "CODE") & F.lit(not code_only), "UNKNOWN").otherwise(F.col("freshness"))
     return out.withColumn("freshness", fresh).select(*units.columns)
 
 

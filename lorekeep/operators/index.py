@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_set, tokens
 
-#: A table of query terms is broadcast up to this many rows; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
+#: A table of query terms is broadcast up to this many bytes; beyond, joins shuffle.
+BROADCAST_BYTES = 16 << 20
 
 K1, B = 1.2, 0.75
 FIELDS = ("title", "body", "symbol")
@@ -31,14 +31,30 @@ def inverted(units: DataFrame) -> DataFrame:
     return each.select("ku_id", "x.field", F.explode_outer(token_set("x.text")).alias("term")).where("term IS NOT NULL")
 
 
-def refreshed(existing: DataFrame, changed: DataFrame) -> DataFrame:
-    """Postings with those of the changed units made anew."""
-    return existing.join(changed.select("ku_id").distinct(), "ku_id", "left_anti").select(*existing.columns).unionByName(postings(changed))
+def lexical_index(units: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """term, ku_id, tf, dl: the stored index that rankings read. dl is the unit's length in tokens.
+
+    Each unit also has a row without a term, so that the corpus' statistics come from the index. With ``terms`` (term,
+    distinct and few enough to broadcast) other terms are left out before the shuffle; the statistics are whole all the same.
+    """
+    # the length is taken before the explode: after it, every exploded row would carry the array along
+    sized = units.select("ku_id", tokens(unit_text()).alias("t")).select("ku_id", F.size("t").alias("dl"), "t")
+    none = F.array(F.lit(None).cast("string"))
+    each = sized.select("ku_id", "dl", F.explode(F.concat("t", none)).alias("term"))
+    if terms is not None:
+        asked = terms.select("term", F.lit(True).alias("__asked"))
+        each = each.join(F.broadcast(asked), "term", "left").where("__asked OR term IS NULL")
+    return each.groupBy("term", "ku_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def refreshed(existing: DataFrame, changed: DataFrame, make=postings) -> DataFrame:
+    """An index (``make``: postings or lexical_index) with the rows of the changed units made anew."""
+    return existing.join(changed.select("ku_id").distinct(), "ku_id", "left_anti").select(*existing.columns).unionByName(make(changed))
 
 
-def corpus_stats(units: DataFrame) -> DataFrame:
-    """One row: n_docs, avg_len."""
-    return units.select(F.size(tokens(unit_text())).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """One row: n_docs, avg_len; from a lexical index."""
+    return index.where("term IS NULL").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -46,33 +62,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(token_set("query")).alias("term"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows: counted, and no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def small(terms: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether all of query_id and term fit into ``limit`` bytes; one aggregation over the queries."""
+    return terms.agg(F.coalesce(F.sum(F.octet_length("term") + F.octet_length(F.col("query_id").cast("string")) + 32), F.lit(0))).first()[0] <= limit
 
 
 def sent(df: DataFrame, yes: bool) -> DataFrame:
     return F.broadcast(df) if yes else df
 
 
-def _matches(units: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """ku_id, dl, term, tf for the terms that any query has; other tokens are dropped before the shuffle."""
-    wanted = terms.select("term").distinct()
-    # the length is taken before the explode: after it, every exploded row would carry the array along. The explode is an
-    # outer one: for an inner one, a filter on the array's size is pushed to the scan, and the tokens are made twice.
-    sized = units.select("ku_id", tokens(unit_text()).alias("t")).select("ku_id", F.size("t").alias("dl"), "t")
-    each = sized.select("ku_id", "dl", F.explode_outer("t").alias("term"))
-    return each.join(sent(wanted, few), "term", "left_semi").groupBy("term", "ku_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def bm25(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, ku_id, score (lower is better): idf ln((N-df+.5)/(df+.5)), floored at 1e-6 if not positive."""
+def bm25(index: DataFrame, queries: DataFrame, few: bool | None = None) -> DataFrame:
+    """query_id, ku_id, score (lower is better) from a lexical index: idf ln((N-df+.5)/(df+.5)), floored at 1e-6 if not
+    positive. Only the postings of terms that are asked for are read further than the statistics."""
     terms = query_terms(queries)
-    few = small(terms)
-    found = _matches(units, terms, few)
+    few = small(terms) if few is None else few
+    found = index.join(sent(terms.select("term").distinct(), few), "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = df.crossJoin(F.broadcast(corpus_stats(units))).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "avg_len")  # one row of statistics
+    weight = df.crossJoin(F.broadcast(corpus_stats(index))).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "avg_len")  # one row of statistics
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
     scored = found.join(sent(weight, few), "term").select("term", "ku_id", part.alias("part"))
     both = scored.join(sent(terms, few), "term")

@@ -18,7 +18,7 @@ def serve_blocked(provenance: Column, freshness: Column, authority: Column, evid
     return F.coalesce(F.size(provenance), F.lit(0)).__le__(0) | (freshness == "EXPIRED") | (authority == "DRAFT") | evidence_broken | F.coalesce(broken, F.lit(False))
 
 
-def build_units(candidates: DataFrame, now: str, default_taint: str = "INTERNAL", redactor=redaction.redact) -> DataFrame:
+def build_units(candidates: DataFrame, now: str, default_taint: str = "INTERNAL") -> DataFrame:
     """Valid candidates -> units: redacted, labelled by the strictest of declared, found and quoted, always a DRAFT.
 
     ``now`` is the clock (RFC 3339 text). Structural columns stay for CODE only; titles, kinds and refs aren't redacted.
@@ -27,17 +27,19 @@ def build_units(candidates: DataFrame, now: str, default_taint: str = "INTERNAL"
     code = F.col("st") == "CODE"
     only = lambda c: F.when(code, F.col(c))
     df = candidates.withColumn("st", F.upper("source_type")).withColumn("usable", usable_provenance(F.col("provenance")))
-    df = df.withColumn("rid", F.monotonically_increasing_id()).withColumn("rb", redactor(F.col("body"), code))
-    # quotes are redacted as rows of their own, then nested again in order
-    quotes = df.select("rid", "st", F.posexplode("usable").alias("pos", "p")).withColumn("rq", redactor(F.coalesce("p.quote", F.lit("")), code))
-    own = taint.coerce(F.col("p.quote_taint"))
-    entry = F.struct(
-        "pos", F.upper("p.kind").alias("kind"), F.col("p.ref").alias("ref"), F.col("rq.text").alias("quote"),
-        taint.strictest(own, F.col("rq.max_taint")).alias("quote_taint"), F.coalesce("p.captured_at", F.lit(now)).alias("captured_at"), F.lit(True).alias("retrievable"),
-    )
-    nested = quotes.groupBy("rid").agg(F.sort_array(F.collect_list(entry)).alias("prov"), F.max(F.size("rq.hits") > 0).alias("quote_fired"))
-    df = df.join(nested, "rid", "left")
-    prov = F.transform("prov", lambda p: p.dropFields("pos"))
+    # quotes are redacted in their place, so a reference can't come to lie with another unit
+    df = df.withColumn("rb", redaction.redact(F.col("body"), code)).withColumn("rq", redaction.redact_each(F.transform("usable", lambda p: p["quote"]), code))
+
+    def entry(p: Column, i: Column) -> Column:
+        red = F.get("rq", i)
+        return F.struct(
+            F.upper(p["kind"]).alias("kind"), p["ref"].alias("ref"), red["text"].alias("quote"),
+            taint.strictest(taint.coerce(p["quote_taint"]), red["max_taint"]).alias("quote_taint"), F.coalesce(p["captured_at"], F.lit(now)).alias("captured_at"), F.lit(True).alias("retrievable"),
+        )
+
+    prov = F.transform("usable", entry)
+    df = df.withColumn("prov", F.when(F.size("usable") > 0, prov)).withColumn("quote_fired", F.exists("rq", lambda r: r["fired"]))
+    prov = F.col("prov")
     labels = F.concat(F.array(taint.coerce(F.col("declared_taint"), default_taint), F.col("rb.max_taint")), F.transform("prov", lambda p: p["quote_taint"]))
     fresh = F.when(code & F.upper("freshness").isin(*FRESHNESS), F.upper("freshness")).otherwise("UNKNOWN")
     none = F.lit(None).cast("string")

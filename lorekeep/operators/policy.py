@@ -44,6 +44,16 @@ def rule_table(spark: SparkSession, policy: dict) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, prefix string, n int, level string")
 
 
+def rule_map(policy: dict) -> Column:
+    """prefix -> struct<order, kind, prefix, level>, of equal prefixes the strongest kind."""
+    rows = [(2000 + 2, "never", "\n".join(p), None) for p in policy["never"]]
+    rows += [(1000 + len(e["match"]), "white", "\n".join(e["match"]), "R0") for e in policy.get("r0_whitelist", [])]
+    rows += [(len(r["prefix"]), "rule", "\n".join(r["prefix"]), r["level"]) for r in policy.get("rules", [])]
+    best = {row[2]: row for row in sorted(rows, key=lambda r: r[0])}
+    value = lambda o, k, p, v: F.struct(F.lit(o).alias("order"), F.lit(k).alias("kind"), F.lit(p).alias("prefix"), F.lit(v).cast("string").alias("level"))
+    return F.create_map(*[x for row in best.values() for x in (F.lit(row[2]), value(*row))])
+
+
 def _level(policy: dict, level: Column, key: str) -> Column:
     out = F.lit(False)
     for name, spec in policy["levels"].items():
@@ -51,20 +61,19 @@ def _level(policy: dict, level: Column, key: str) -> Column:
     return out
 
 
-def classify(df: DataFrame, policy: dict, names: tuple[str, ...], key: str = "action_id") -> DataFrame:
-    """Adds normalized, level, decision, never and matched_prefix to rows with ``key`` (unique) and ``argv``.
+def classify(df: DataFrame, policy: dict, names: tuple[str, ...]) -> DataFrame:
+    """Adds normalized, level, decision, never and matched_prefix to rows with ``argv``.
 
-    A never pair wins, then the longest whitelist prefix, then the longest rule, else the deny level. A command's prefixes
-    are exploded, at most as many as the longest rule has words, and joined to the rules by equality.
+    A never pair wins, then the longest whitelist prefix, then the longest rule, else the deny level. Each row looks its own
+    prefixes up, at most as many as the longest rule has words, in a literal map of the policy: no key, no shuffle, so rows
+    that share an id are judged each by its own command.
     """
-    rules = rule_table(df.sparkSession, policy)
+    rules = rule_map(policy)
     longest = max([2, *(len(r["prefix"]) for r in policy.get("rules", [])), *(len(e["match"]) for e in policy.get("r0_whitelist", []))])
     out = df.withColumn("normalized", normalize(F.col("argv"), names))
-    size = F.size("normalized")
-    prefixes = out.where(size > 0).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(longest))), lambda k: F.array_join(F.slice("normalized", F.lit(1), k), "\n"))).alias("prefix"))
-    order = F.when(F.col("kind") == "never", 2000).when(F.col("kind") == "white", 1000).otherwise(0) + F.col("n")
-    best = prefixes.join(F.broadcast(rules), "prefix").groupBy(key).agg(F.max_by(F.struct("kind", "prefix", "level"), order).alias("hit"))
-    joined = out.join(best, key, "left")
+    prefix_of = lambda k: F.array_join(F.slice("normalized", F.lit(1), k), "\n")
+    found = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("normalized"), F.lit(longest)))), lambda k: F.try_element_at(rules, prefix_of(k)))
+    joined = out.withColumn("hit", F.array_max(F.filter(found, lambda h: h.isNotNull())))
     never = F.coalesce(F.col("hit.kind") == "never", F.lit(False))
     level = F.when(~never, F.coalesce("hit.level", F.lit(policy["defaults"]["deny_level"])))
     decision = F.when(never, "DENY").when(_level(policy, level, "auto"), "AUTO").otherwise("HUMAN_CONFIRM")
@@ -100,27 +109,33 @@ def issue_tokens(intents: DataFrame, key: bytes, now: int, ttl: int, names: tupl
 
 
 def verify_tokens(presented: DataFrame, records: DataFrame, key: bytes, now: int, names: tuple[str, ...]) -> DataFrame:
-    """action_id, ok, reason: missing, used, expired, hash, hmac or ok. ``consumed`` marks the accepted ones as used."""
-    ours = presented.select("action_id", argv_hash(normalize(F.col("argv"), names)).alias("h")).dropDuplicates(["action_id"])
-    both = ours.join(records, "action_id", "left")
+    """action_id, h, ok, reason: missing, used, expired, hash, hmac or ok. ``consumed`` marks the accepted ones as used.
+
+    Each distinct command (``h``: its hash) that is presented for an id gets a verdict; equal ones are one. Of several
+    records of an id the one issued last counts.
+    """
+    ours = presented.select("action_id", argv_hash(normalize(F.col("argv"), names)).alias("h")).distinct()
+    last = records.groupBy("action_id").agg(F.max(F.struct("issued_at", "used", "ttl_seconds", "argv_norm_sha256", "token")).alias("r"))
+    both = ours.join(last, "action_id", "left").select("action_id", "h", "r.*")
     good = confirm_token(key, F.col("action_id"), F.col("h"), F.col("issued_at"), F.col("ttl_seconds"))
     reason = (
         F.when(F.col("token").isNull(), "missing").when(F.col("used"), "used").when(F.lit(now) > F.col("issued_at") + F.col("ttl_seconds"), "expired")
         .when(F.col("h") != F.col("argv_norm_sha256"), "hash_mismatch").when(F.col("good") != F.col("token"), "hmac_mismatch").otherwise("ok")
     )
-    return both.withColumn("good", good).select("action_id", reason.alias("reason")).withColumn("ok", F.col("reason") == "ok")
+    return both.withColumn("good", good).select("action_id", "h", reason.alias("reason")).withColumn("ok", F.col("reason") == "ok")
 
 
 def consumed(records: DataFrame, verified: DataFrame) -> DataFrame:
     """Records after verification: an accepted token is used."""
-    hit = verified.where("ok").select("action_id", F.lit(True).alias("__u"))
+    hit = verified.where("ok").select("action_id", F.lit(True).alias("__u")).distinct()
     return records.join(hit, "action_id", "left").withColumn("used", F.col("used") | F.coalesce("__u", F.lit(False))).drop("__u")
 
 
 def route(gated: DataFrame, verified: DataFrame | None = None) -> DataFrame:
-    """Adds status (denied, draft, execute) and folder (failed, done): what happens to a gated intent."""
-    ok = verified.where("ok").select("action_id", F.lit(True).alias("__ok")) if verified is not None else None
-    out = gated.join(ok, "action_id", "left") if ok is not None else gated.withColumn("__ok", F.lit(None).cast("boolean"))
+    """Adds status (denied, draft, execute) and folder (failed, done): what happens to a gated intent. A verdict frees the
+    command that it was given for, no other one of that id."""
+    ok = verified.where("ok").select("action_id", F.col("h").alias("argv_norm_sha256"), F.lit(True).alias("__ok")).distinct() if verified is not None else None
+    out = gated.join(ok, ["action_id", "argv_norm_sha256"], "left") if ok is not None else gated.withColumn("__ok", F.lit(None).cast("boolean"))
     status = F.when(F.col("decision") == "DENY", "denied").when((F.col("decision") == "HUMAN_CONFIRM") & ~F.coalesce("__ok", F.lit(False)), "draft").otherwise("execute")
     return out.withColumn("status", status).withColumn("folder", F.when(status == "denied", "failed").otherwise("done")).drop("__ok")
 

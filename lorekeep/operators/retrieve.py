@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..enums import ANSWER_PREFIX, AUTHORITY_DEFAULT, AUTHORITY_SCORE, COMMITMENT_MARKERS, FRESH_DEFAULT, FRESH_SCORE, settings
 from ..functions.taint import external_safe
 from ..functions.text import answer_hash, coverage, has_marker, question_fingerprint, share_found, strip, token_set, tokens
-from .index import bm25, jaccard_hits, query_terms, unit_text
+from ..sources.shared import cut
+from .index import bm25, jaccard_hits, lexical_index, query_terms, small, unit_text
 
 
 def lookup(label: Column, table: dict[str, float], default: float) -> Column:
@@ -47,15 +48,21 @@ def symbol_search(units: DataFrame, symbol: str, repo: str | None = None, file_p
     return out.select("ku_id", "repo", "file_path", "symbol").distinct()
 
 
-def lexical_hits(units: DataFrame, queries: DataFrame, top_n: int, scorer: str = "bm25") -> DataFrame:
+def lexical_hits(units: DataFrame, queries: DataFrame, top_n: int, scorer: str = "bm25", index: DataFrame | None = None) -> DataFrame:
     """query_id, ku_id, relevance, lex_rank.
 
-    bm25: the best max(4 top_n, 20) by score (ties by ku_id), scaled by min-max. jaccard: every unit with a shared term.
+    bm25: the best max(4 top_n, 20) by score (ties by ku_id), scaled by min-max; the window's limit is applied per task
+    before the shuffle. jaccard: every unit with a shared term. ``index``: a stored lexical index; without one, the units'
+    tokens are made once, for the terms asked for, and kept in the shared folder while the ranking reads them.
     """
     if scorer == "jaccard":
         return jaccard_hits(units, queries).withColumn("lex_rank", F.lit(0))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "ku_id"))
-    top = bm25(units, queries).withColumn("lex_rank", rank).where(F.col("lex_rank") <= max(4 * top_n, 20))
+    terms = query_terms(queries)
+    few = small(terms)
+    if index is None:
+        index = cut(lexical_index(units, terms.select("term").distinct() if few else None))
+    top = bm25(index, queries, few).withColumn("lex_rank", rank).where(F.col("lex_rank") <= max(4 * top_n, 20))
     return top.select("query_id", "ku_id", minmax(-F.col("score"), "query_id").alias("relevance"), "lex_rank")
 
 
@@ -70,7 +77,7 @@ def evidence_broken() -> Column:
     return F.coalesce("evidence_broken", F.lit(False)) | (F.coalesce(F.size("provenance"), F.lit(0)) <= 0) | ~F.coalesce(first, F.lit(True))
 
 
-def retrieve(units: DataFrame, queries: DataFrame, s: dict | None = None, external: bool = False, repos: list[str] | None = None, scorer: str = "bm25", snapshot: DataFrame | None = None) -> DataFrame:
+def retrieve(units: DataFrame, queries: DataFrame, s: dict | None = None, external: bool = False, repos: list[str] | None = None, scorer: str = "bm25", snapshot: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """Ranked candidates: query_id, rank, ku_id, via, relevance, lexical_overlap, fused and the unit's columns.
 
     Symbol hits come first and win over lexical ones of the same unit; gates run after the lexical top-k, so what
@@ -79,7 +86,7 @@ def retrieve(units: DataFrame, queries: DataFrame, s: dict | None = None, extern
     """
     s = settings(s)
     l1 = symbol_hits(units, queries, repos).select("query_id", "ku_id", F.lit(1.0).alias("relevance"), F.lit(0).alias("lex_rank"), F.lit("symbol").alias("via"))
-    l2 = lexical_hits(units, queries, s["top_n"], scorer).withColumn("via", F.lit("fts" if scorer == "bm25" else "inverted"))
+    l2 = lexical_hits(units, queries, s["top_n"], scorer, index).withColumn("via", F.lit("fts" if scorer == "bm25" else "inverted"))
     hits = l2.join(l1, ["query_id", "ku_id"], "left_anti").unionByName(l1)
     rows = hits.join(units, "ku_id").join(queries.select("query_id", token_set("query").alias("qt")), "query_id")
     if repos:
@@ -87,7 +94,7 @@ def retrieve(units: DataFrame, queries: DataFrame, s: dict | None = None, extern
     if snapshot is not None:
         from .freshness import verified
 
-        rows = verified(rows, snapshot)
+        rows = verified(rows, snapshot, code_only=True)
         rows = rows.withColumn("serve_blocked", F.col("serve_blocked") | (F.col("freshness") == "EXPIRED"))
     lex = F.when(F.col("via") == "symbol", 1.0).otherwise(share_found(F.col("qt"), token_set(unit_text())))
     rows = rows.where(passes_gates(external)).withColumn("lexical_overlap", lex).withColumn("fused", fused(s, F.col("freshness"), F.col("authority"), F.col("relevance")))
@@ -109,7 +116,7 @@ def citation() -> Column:
     return F.struct("ku_id", "source_type", "authority", "freshness", F.coalesce(first["kind"], F.lit("")).alias("prov_kind"), F.coalesce(first["ref"], F.lit("")).alias("prov_ref"), F.col("fused").alias("score"))
 
 
-def serve(units: DataFrame, queries: DataFrame, s: dict | None = None, external: bool = False, repos: list[str] | None = None, scorer: str = "bm25", snapshot: DataFrame | None = None) -> DataFrame:
+def serve(units: DataFrame, queries: DataFrame, s: dict | None = None, external: bool = False, repos: list[str] | None = None, scorer: str = "bm25", snapshot: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """One verdict a query: query_id, query, decision, reason, confidence, citations, titles, bodies (of the cited units).
 
     Reasons in order: commitment_marker (such queries never reach the index), no_hit, all_draft, all_expired,
@@ -117,7 +124,7 @@ def serve(units: DataFrame, queries: DataFrame, s: dict | None = None, external:
     """
     s = settings(s)
     marked = queries.withColumn("marked", has_marker("query", COMMITMENT_MARKERS))
-    found = retrieve(units, marked.where("NOT marked").select("query_id", "query"), s, external, repos, scorer, snapshot)
+    found = retrieve(units, marked.where("NOT marked").select("query_id", "query"), s, external, repos, scorer, snapshot, index)
     flags = found.withColumn("broken", evidence_broken() if "evidence_broken" in found.columns else evidence_broken_plain())
     row = F.struct("rank", "relevance", "lexical_overlap", "fused", "freshness", "broken", F.col("title"), F.col("body"), citation().alias("citation"))
     per = flags.groupBy("query_id").agg(

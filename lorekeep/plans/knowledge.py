@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import unit_id
 from ..operators import ingest, retrieve, store
+from ..sources.shared import cut
 from ..sources.tables import table
 
 NOW = "2024-01-01T00:00:00Z"
@@ -28,11 +28,6 @@ def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six words of every benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.regexp_extract("text", r"^\S+(?:\s+\S+){0,5}", 0).alias("query"))
-
-
-def benchmark_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text of every benchmark item."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
 
@@ -51,7 +46,7 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = ingest.pairs_to_candidates(pairs)
     full = cands.select(*[(F.col(f.name) if f.name in cands.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CANDIDATE])
     units, _ = ingest.ingest(full, NOW)
-    reviewed, _ = store.promote_drafts(units.dropDuplicates(["ku_id"]), NOW)
-    # the index, the statistics and the ranking all read the units, so they are built once; a lost block is built again
-    reviewed = reviewed.persist(StorageLevel.MEMORY_AND_DISK)
-    return retrieve.serve(reviewed, benchmark_texts(spark, sf_dir)).drop("titles", "bodies")
+    one = store.last_of_each(units, ["ku_id"], "body")  # of units with one id the greatest body, whatever the order
+    reviewed, _ = store.promote_drafts(one, NOW)
+    # the index and the ranking both read the units, so they are built once
+    return retrieve.serve(cut(reviewed), benchmark_queries(spark, sf_dir)).drop("titles", "bodies")

@@ -30,7 +30,7 @@ _KU = """ku AS (
     CASE d.doc_id % 7 WHEN 0 THEN 'STALE' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'EXPIRED' ELSE 'FRESH' END AS freshness
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
-_Q = r"q AS (SELECT item_id::VARCHAR AS query_id, regexp_extract(text, '^\S+(?:\s+\S+){0,5}') AS query FROM benchmark)"
+_Q = "q AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark)"
 _BM25 = f"""
 tok AS (SELECT ku_id, {_tok("title || '  ' || body")} AS t FROM ku),
 qt AS (SELECT DISTINCT query_id, unnest({_tok("query")}) AS term FROM q),
@@ -176,7 +176,7 @@ def authority_transitions(spark, sf_dir):
 
 def freshness_verify(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    units = d.select(F.col("source").alias("repo"), F.lit("f").alias("file_path"), F.col("doc_id").cast("string").alias("symbol"), F.sha2("text", 256).alias("content_hash"), F.when(F.col("doc_id") % 11 == 0, "QA").otherwise("CODE").alias("source_type"), F.lit("UNKNOWN").alias("freshness"), "doc_id")
+    units = d.select(F.col("source").alias("repo"), F.lit("f").alias("file_path"), F.col("doc_id").cast("string").alias("symbol"), F.sha2("text", 256).alias("content_hash"), F.when(F.col("doc_id") % 11 == 0, "QA").otherwise("CODE").alias("source_type"), F.when(F.col("doc_id") % 11 == 0, "FRESH").otherwise("UNKNOWN").alias("freshness"), "doc_id")
     snapshot = d.where("doc_id % 5 <> 0").select(F.col("source").alias("repo"), F.lit("f").alias("file_path"), F.col("doc_id").cast("string").alias("symbol"), F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
     return freshness.verified(units, snapshot).select("doc_id", "freshness")
 
@@ -213,7 +213,7 @@ def confirm_outcomes(spark, sf_dir):
     i, m, key = _intents(spark, sf_dir), lambda k: F.col("action_id") % k, b"secret"
     rec = policy.issue_tokens(i.where(m(6) != 0), key, 1000, 300, (BINARY,)).withColumn("used", m(6) == 1).withColumn("issued_at", F.when(m(6) == 2, F.lit(1).cast("long")).otherwise(F.col("issued_at")))
     shown = i.withColumn("argv", F.when(m(6) == 3, F.array(F.lit(BINARY), F.lit("other"))).otherwise(F.col("argv")))
-    return policy.verify_tokens(shown, rec.withColumn("token", F.when(m(6) == 4, "forged").otherwise(F.col("token"))), key, 1200, (BINARY,))
+    return policy.verify_tokens(shown, rec.withColumn("token", F.when(m(6) == 4, "forged").otherwise(F.col("token"))), key, 1200, (BINARY,)).drop("h")
 
 
 def patrol_new(spark, sf_dir):

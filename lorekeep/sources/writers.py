@@ -9,8 +9,9 @@ from ..operators.logs import audit_records
 
 
 def write_units(units: DataFrame, path: str) -> None:
-    """Partitioned by source type, sorted by id within files for tight min/max statistics."""
-    units.repartition("source_type").sortWithinPartitions("ku_id").write.mode("overwrite").partitionBy("source_type").parquet(path)
+    """Partitioned by source type, sorted by id within files for tight min/max statistics. A type's units are dealt by their
+    id as well, so the tasks are as many as the shuffle has, not one for each type."""
+    units.repartition("source_type", "ku_id").sortWithinPartitions("ku_id").write.mode("overwrite").partitionBy("source_type").parquet(path)
 
 
 def write_edges(edges: DataFrame, path: str) -> None:

@@ -38,6 +38,20 @@ def test_classify(spark):
     assert got == CASES
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row is judged by its own command, and a verdict frees the command that it was given for."""
+    argv = {"chat message list": "AUTO", "doc delete x": "HUMAN_CONFIRM"}
+    df = spark.createDataFrame([("same", ["cli", *k.split()]) for k in argv], "action_id string, argv array<string>")
+    assert {" ".join(r.argv[1:]): r.decision for r in policy.classify(df, default_policy(), ("cli",)).collect()} == argv
+    key, two = b"k", intents(spark, {"action_id": "a", "argv": ["cli", "mail", "send"]}, {"action_id": "a", "argv": ["cli", "doc", "delete", "x"]})
+    rec = policy.issue_tokens(two.where("argv[1] = 'mail'"), key, 100, 300, ("cli",))
+    old = policy.issue_tokens(two.where("argv[1] = 'doc'"), key, 50, 300, ("cli",))
+    done = policy.verify_tokens(two.union(two), rec.union(old), key, 200, ("cli",))
+    assert sorted(r.reason for r in done.collect()) == ["hash_mismatch", "ok"]
+    routed = policy.route(policy.gate(two, default_policy(), "cli"), done)
+    assert {r.argv[1]: r.status for r in routed.collect()} == {"mail": "execute", "doc": "draft"}
+
+
 def test_gate(spark):
     read = ["cli", "chat", "message", "list"]
     df = intents(spark, {"action_id": "a", "argv": read}, {"action_id": "b", "argv": read, "semantic_labels": ("yes", "CLEAN", False)}, {"action_id": "c", "argv": read, "semantic_labels": ("no", "SENSITIVE", False)}, {"action_id": "d", "argv": ["sh"]}, {"action_id": "e", "argv": ["cli", "mail", "send"]})

@@ -74,6 +74,32 @@ SECRETS = {
 }
 
 
+def test_redaction_by_brute_force():
+    """Random texts of tokens that overlap: a match is kept if no character of it is taken."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["AKIA" + "Q" * 16, "eyJab.cd.ef", "Bearer abcdefghijklmnop", "ftp://u:p@host.corp/x", "13812345678", "a.b@c.lan", "10.0.0.1", "x.internal", "aB3$dE6&gH9*kL2!mN5@pQ", "词", " ", ",", "=", "-", "@", "://", "\n"]
+    for _ in range(1500):
+        text, code = "".join(rng.choice(parts) for _ in range(rng.randrange(12))), rng.random() < 0.3
+        taken, hits = [False] * len(text), []
+        found = [(m.span(), n, lab) for n, p, lab in redaction.DETECTORS for m in re.finditer(p, text)]
+        if not code:
+            tokens = [m for m in re.finditer(redaction.ENTROPY_TOKEN, text) if len(m[0]) >= 20 and not re.search(redaction.ENTROPY_CJK, m[0]) and redaction._bits(m[0]) >= 4.0]
+            found += [(m.span(), "high_entropy", "SENSITIVE") for m in tokens]
+        for (a, b), name, label in found:
+            if not any(taken[a:b]):
+                taken[a:b] = [True] * (b - a)
+                hits.append((a, b, name, label))
+        got = redaction.find(text, not code)
+        assert [(h["start"], h["end"], h["category"], h["taint"]) for h in got["hits"]] == sorted(hits)
+        want = text
+        for a, b, name, _ in sorted(hits, reverse=True):
+            want = want[:a] + f"[REDACTED:{name.upper()}]" + want[b:]
+        assert got["text"] == want
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(k,) for k in SECRETS], "t string").select("t", redaction.redact("t").alias("r"))
     assert {r.t: (r.r.text, r.r.max_taint) for r in df.collect()} == SECRETS

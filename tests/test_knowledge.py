@@ -137,7 +137,13 @@ def test_bm25_closed_form(spark):
     units = [unit("1", "x x y", ""), unit("2", "y z", ""), unit("3", "z z z", ""), unit("4", "w", "")]
     df = spark.createDataFrame(units, UNIT)
     assert index.refreshed(index.postings(df), df.limit(1)).count() == index.postings(df).count()
-    got = {r.ku_id: r.score for r in index.bm25(df, spark.createDataFrame([("q", "x")], "query_id string, query string")).collect()}
+    asked = spark.createDataFrame([("q", "x")], "query_id string, query string")
+    stored = index.lexical_index(df)
+    got = {r.ku_id: r.score for r in index.bm25(stored, asked).collect()}
+    fewer = index.lexical_index(df, index.query_terms(asked).select("term"))
+    assert fewer.count() == 5 and {r.ku_id: r.score for r in index.bm25(fewer, asked, few=False).collect()} == got
+    again = index.refreshed(stored, df.where("ku_id > '2'"), index.lexical_index)
+    assert sorted(map(str, again.collect())) == sorted(map(str, stored.collect()))
     import math
 
     idf, avg = math.log(3.5 / 1.5), 9 / 4
@@ -245,3 +251,33 @@ def test_flagship_asks_the_whole_item(spark, tmp_path):
     got = {r.query_id: (r.reason, r.n_citations) for r in queries.flagship(spark, str(tmp_path)).collect()}
     assert got["1"][0] != "no_hit" and got["1"][1] == 1 and got["2"][1] == 1
     assert got["3"][0] == "commitment_marker" and got["4"] == ("no_hit", 0)
+
+
+def test_provenance_stays_with_its_unit(spark):
+    """Many units with several references each, dealt over partitions: every quote stays with its own unit, redacted."""
+    rows = [("PLAYBOOK", f"t{i}", f"body {i}", [("DOC_ID", f"d{i}-{j}", f"q{i}-{j} a{j}@b.com" if j % 2 else None, None, None) for j in range(i % 4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "source_type string, title string, body string, provenance array<struct<kind:string,ref:string,quote:string,quote_taint:string,captured_at:string>>")
+    full = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CANDIDATE])
+    for parts in (1, 7):
+        units, report = ingest.ingest(full.repartition(parts, "title"), NOW)
+        got = {r.title: r for r in units.collect()}
+        assert len(got) == 150 and {r.drop_reason: r.n for r in report.collect()} == {"ok": 150, "no_provenance": 50}
+        for i in range(200):
+            if i % 4:
+                want = [(f"d{i}-{j}", f"q{i}-{j} [REDACTED:EMAIL]" if j % 2 else "", "INTERNAL" if j % 2 else "CLEAN") for j in range(i % 4)]
+                assert [(p.ref, p.quote, p.quote_taint) for p in got[f"t{i}"].provenance] == want and got[f"t{i}"].redaction_fired == (i % 4 > 1)
+
+
+@pytest.mark.parametrize("text, start, want", [("fn a() {\n  x {\n }\n}\nend", 1, 4), ("fn a()\n{\n}\nb", 1, 3), ("fn a()\n\n\n\n{\n}", 1, 1), ("fn a() }\n{ {\n}\n}", 1, 3), ("fn a() {\n", 1, 1), ("a\nfn b() { { }\n} c {\n}", 2, 4), ("x", 1, 1), ("f }\ny", 1, 2)])
+def test_block_ends(text, start, want):
+    """Against counting braces line by line."""
+    lines = text.splitlines()
+    assert code.Braces(lines).end(start) == want
+
+
+def test_issue_sections_edges(spark):
+    texts = [None, "", "症状:\n", "症状：\n\n根因\nx\n y \nfix:\n", "## Symptom\nfirst\nsymptom:\nsecond", "noise\n现象: seen\nroot cause: why\nfix: how", "根因\n  \nroot-cause: inline", "原因分析\r\na\r\nb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", distill.issue_sections(F.col("t")).alias("s"))
+    got = {r.i: tuple(r.s) for r in df.collect()}
+    none = (None, None, None)
+    assert got == {0: none, 1: none, 2: none, 3: ("", "x\n y", None), 4: ("first", None, None), 5: ("seen", "why", "how"), 6: (None, "root-cause: inline", None), 7: (None, "a\nb", None)}
