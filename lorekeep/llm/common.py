@@ -1,18 +1,16 @@
-"""Shared helpers: reading tables, walking Arrow batches, cutting lineage."""
+"""Shared helpers: reading tables, walking Arrow batches."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import table  # noqa: F401  used by the operators' modules
+from ..sources.shared import cut, shared_dir  # noqa: F401  used by the operators' modules
+from ..sources.tables import table  # noqa: F401
 
 BATCH_BYTES = 4 << 20
 
@@ -47,37 +45,6 @@ def joined_ascii_words(texts: list[str | None], size: int) -> Iterator[tuple[int
         yield first, b" ".join(parts), starts
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and tables between stages: the one that the cluster names in spark.checkpoint.dir.
-
-    A folder of this machine's own is taken only where there is no cluster (master local) and none is named.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
-        named = os.path.join(tempfile.gettempdir(), "lorekeep-checkpoints")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: survives lost executors and cuts the lineage.
-
-    The shuffle files behind it are removed with the end of this one execution, as nothing reads them any more.
-    """
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    shared_dir(spark)
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a new execution, which takes the setting
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str | T.StructType) -> DataFrame:
     """``fn`` takes an iterator of {column: list} and yields the same for ``schema``; values cross in Arrow batches."""
     spec = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
