@@ -10,6 +10,7 @@ from .functions import redaction, taint, text
 from .functions.commands import argv_hash, normalize
 from .operators import freshness, index, ingest, logs, ops, policy, retrieve, store, validate
 from .plans.knowledge import answered_questions, benchmark_queries, chat_threads, document_units, table
+from .plans import records
 from .policy_data import default_policy
 
 BINARY = "cli"
@@ -370,3 +371,6 @@ ORACLE_SQL = {
     "numbered_references": "SELECT doc_id AS pos, CASE WHEN doc_id % 4 > 0 THEN source || '#k' || (row_number() OVER (ORDER BY source, doc_id) - 1) ELSE '' END AS ref FROM documents",
     "command_hashes": f"SELECT event_id AS action_id, sha256(array_to_string({_NORM}, chr(10))) AS argv_sha FROM {_INTENT}",
 }
+
+QUERIES |= records.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL
