@@ -15,8 +15,10 @@
    (a paraphrase) and the window also holds the item's answer in order: the words of its last sentence, at least ANSWER and
    at most the last ANSWER_MOST and half of the item's words, so that a paraphrase is not asked for most of the item.
 
-The benchmark is a stated query set: it is read in blocks of BLOCK items, so what is broadcast (a block's terms, their
-latent rows and its items) has a fixed bound; each further block costs two more passes over the documents.
+The benchmark is a stated query set. Frequencies and latent space are those of all its terms, from one pass each, whatever
+the number of items; the windows are searched for blocks of at most BLOCK items and WORDS words, each a pass, and how items
+fall into blocks has no say in what is found. What is broadcast is bounded: 12 bytes for each of at most TERMS terms (a
+benchmark with more distinct words is taken in parts), FEATURES latent features, and a block's items.
 
 Null and blank texts have no words and no leak; items without words are ignored; equal items all report; items with
 null ids report as -1. Long texts are searched whole, in pieces that overlap by
@@ -26,6 +28,7 @@ benchmark marks nothing; an empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -39,7 +42,10 @@ RANK, EXTRA = 48, 8
 PASSAGE, STRIDE = 40, 4
 COSINE, OVERLAP = 0.6, 0.5
 LCS, LCS_LOW, ANSWER, ANSWER_MOST = 0.75, 0.5, 4, 8
-BLOCK = 2000
+#: Items and words of a block, terms of a vocabulary, latent features, and items whose weights are held side by side.
+BLOCK, WORDS = 2000, 100_000
+TERMS, FEATURES = 1 << 21, 1 << 16
+WIDE = 256
 PIECE = 1 << 15
 #: Fixed point of the term weights, and the most sums (windows by items) that are held at once.
 UNIT, SUMS = 256, 1 << 22
@@ -122,28 +128,23 @@ class WordHashes:
         return start, (total[end] - total[start]) * self.down[start] * _MIX
 
 
-class Items:
-    """A block of benchmark items, with their terms and the terms' hashes."""
+class Vocabulary:
+    """Terms by the hashes of their words, numbered in the hashes' order; 12 bytes a term and a table of fixed size."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        rows = [(i, t, w) for i, t in rows if (w := words(t))]
-        self.ids = [i for i, _, _ in rows]
-        self.words = [w for _, _, w in rows]
-        self.answers = [answer_of(t) for _, t, _ in rows]
-        terms = sorted({w for ws in self.words for w in ws})
-        hashes = WordHashes()(b" ".join(terms))[1]
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]  # terms are numbered by their hash
-        self.terms = {terms[k]: n for n, k in enumerate(order.tolist())}
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
         # slot of the top bits -> first term there; slots with more terms are looked up in the sorted hashes
-        self.bits = max(16, (64 * len(terms)).bit_length())
+        self.bits = min(22, max(16, (64 * len(self.hashes)).bit_length()))
         slot = (self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.slots[slot[::-1]] = np.arange(len(terms), dtype=np.int32)[::-1]
+        self.slots[slot[::-1]] = np.arange(len(self.hashes), dtype=np.int32)[::-1]
         self.crowded = np.bincount(slot, minlength=1 << self.bits) > 1
 
+    def __len__(self) -> int:
+        return len(self.hashes)
+
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
-        """Term numbers; other words get len(terms)."""
+        """Term numbers; other words get len(self)."""
         none = np.int32(len(self.hashes))
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.slots[slot]
@@ -153,9 +154,6 @@ class Items:
             out[rest] = np.where(self.hashes[k] == hashes[rest], k, none)
         return out
 
-    def numbers(self, ws: list[bytes]) -> np.ndarray:
-        return np.array([self.terms.get(w, len(self.terms)) for w in ws], np.int32)
-
     def of_texts(self, texts: list[str | None], hasher: WordHashes):
         """Yields (index of the first text, term numbers of joined texts, number of words of each text)."""
         for first, raw, starts in joined_ascii_words(texts, 8 * PIECE):
@@ -164,64 +162,90 @@ class Items:
             yield first, self.look_up(hashes), np.diff(bounds)
 
 
-def inverse_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
+class Items(Vocabulary):
+    """A block of benchmark items with their terms."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        rows = [(i, t, w) for i, t in rows if (w := words(t))]
+        self.ids = [i for i, _, _ in rows]
+        self.words = [w for _, _, w in rows]
+        self.answers = [answer_of(t) for _, t, _ in rows]
+        terms = sorted({w for ws in self.words for w in ws})
+        hashes = WordHashes()(b" ".join(terms))[1]
+        super().__init__(hashes)
+        self.terms = dict(zip(terms, np.searchsorted(self.hashes, hashes).tolist()))
+
+    def numbers(self, ws: list[bytes]) -> np.ndarray:
+        return np.array([self.terms.get(w, len(self)) for w in ws], np.int32)
+
+
+def inverse_frequencies(docs: DataFrame, terms: Vocabulary) -> np.ndarray:
     """ln(1 + documents / documents with the term), per term and a 0 for other words. One pass, pre-aggregated by task."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        items, n, hasher = shared.value, 0, WordHashes()
-        seen = np.zeros(len(items.terms) + 1, np.int64)
+        terms, n, hasher = shared.value, 0, WordHashes()
+        v = len(terms)
+        seen, many = np.zeros(v + 1, np.int64), max(1, min(500, (1 << 22) // (v + 1)))
         for b in batches:
             n += len(b["text"])
-            for _, ids, size in items.of_texts(b["text"], hasher):
-                for at in range(0, len(size), 500):
-                    part = size[at : at + 500]
-                    here = np.zeros((len(part), len(seen)), bool)
-                    begin = int(size[:at].sum())
-                    here[np.repeat(np.arange(len(part)), part), ids[begin : begin + int(part.sum())]] = True
-                    seen += here.sum(axis=0)
+            for _, ids, size in terms.of_texts(b["text"], hasher):
+                ends = np.concatenate([[0], np.cumsum(size)])
+                for at in range(0, len(size), many):
+                    part = size[at : at + many]
+                    own = ids[ends[at] : ends[at + len(part)]]
+                    here = np.zeros((len(part), v + 1), bool)
+                    here[np.repeat(np.arange(len(part)), part), own] = True
+                    if len(part) > 1:
+                        seen += here.sum(axis=0)
+                    else:
+                        seen[np.flatnonzero(here[0])] += 1
         hit = np.flatnonzero(seen[:-1])
         yield {"term": [-1, *hit.tolist()], "n": [n, *seen[hit].tolist()]}
 
     got = dict(map_batches(need(docs, "text"), run, "term int, n long").groupBy("term").agg(F.sum("n")).collect())
-    n = np.array([got.get(k, 0) for k in range(len(items.terms))], float)
+    n = np.array([got.get(k, 0) for k in range(len(terms))], float)
     return np.append(np.log1p(got.get(-1, 0) / np.maximum(n, 1)), 0.0)
 
 
-def latent_rows(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Terms (and a 0 row for other words) by RANK: idf times the leading right singular vectors of all TF-IDF passages,
-    each over its singular value."""
-    v, width = len(items.terms), min(RANK + EXTRA, len(items.terms))
+def latent_rows(docs: DataFrame, terms: Vocabulary, idf: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Features (a term's number modulo FEATURES; so each term its own, up to FEATURES terms) by RANK: the leading right
+    singular vectors of all TF-IDF passages, each over its singular value."""
+    v = min(len(terms), FEATURES)
+    width = min(RANK + EXTRA, v)
     g = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0]
-    shared = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.vstack([g, np.zeros((1, width))]).astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((terms, idf.astype(np.float32), g.astype(np.float32)))
 
     def run(batches):
-        items, idf, g = shared.value
-        v = len(items.terms)
-        weighed, z = idf[:, None] * g, np.zeros((v + 1, g.shape[1]))
+        terms, idf, g = shared.value
+        own = len(terms) <= len(g)  # then a feature's weight is one term's, and can be applied to the sums
+        weighed = idf[:-1, None] * g if own else None
+        z = np.zeros(g.shape)
 
         def add(ids: np.ndarray, row: np.ndarray):
-            keep = ids < v
+            keep = ids < len(terms)
             ids, row = ids[keep], row[keep]
             if not len(ids):
                 return
             first = np.flatnonzero(np.diff(row, prepend=-1))
             which = np.cumsum(np.diff(row, prepend=row[0]) > 0)
             norm = np.sqrt(np.maximum(np.add.reduceat(idf[ids] ** 2, first), 1e-12))
-            y = np.add.reduceat(weighed[ids], first, axis=0) / (norm**2)[:, None]
-            order = np.argsort(ids.astype(np.int16) if v < 32000 else ids, kind="stable")
-            ids = ids[order]
-            begin = np.flatnonzero(np.diff(ids, prepend=-1))
-            z[ids[begin]] += np.add.reduceat(y[which[order]], begin, axis=0)
+            ids_ = ids if own else ids % len(g)
+            y = np.add.reduceat(weighed[ids] if own else idf[ids, None] * g[ids_], first, axis=0) / (norm**2)[:, None]
+            order = np.argsort(ids_.astype(np.int16) if len(g) < 32000 else ids_, kind="stable")
+            begin = np.flatnonzero(np.diff(ids_[order], prepend=-1))
+            each = y[which[order]] if own else y[which[order]] * idf[ids[order], None]
+            z[ids_[order][begin]] += np.add.reduceat(each, begin, axis=0)
 
         hasher = WordHashes()
         for b in batches:
-            for _, ids, size in items.of_texts(b["text"], hasher):
+            for _, ids, size in terms.of_texts(b["text"], hasher):
                 passages = -(-size // PASSAGE)
                 before = np.cumsum(passages) - passages
                 within = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
                 add(ids, np.repeat(before, size) + within // PASSAGE)
-        z *= idf[:, None]
+        if own:
+            z *= idf[:-1, None]
         hit = np.flatnonzero(np.abs(z).sum(axis=1))
         yield {"term": hit, "z": z[hit].tolist()}
 
@@ -237,8 +261,14 @@ def latent_rows(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 7) -
     root = z @ (vec[:, good] / np.sqrt(val[good])) if good.any() else np.zeros((v, 1))
     u, s, _ = np.linalg.svd(root, full_matrices=False)
     order = np.argsort(-s)[:RANK]
-    lead = u[:, order] * (s.max() / np.maximum(s[order], 1e-6 * max(s.max(), 1e-12)))
-    return np.vstack([idf[:v, None] * lead, np.zeros((1, lead.shape[1]))]).astype(np.float32)
+    return (u[:, order] * (s.max() / np.maximum(s[order], 1e-6 * max(s.max(), 1e-12)))).astype(np.float32)
+
+
+def of_block(items: Items, terms: Vocabulary, idf: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block's part of the statistics: its terms' idf and latent rows, and a 0 for other words."""
+    k = terms.look_up(items.hashes)
+    rows = idf[k, None] * lead[k % len(lead)]
+    return np.append(idf[k], 0.0), np.vstack([rows, np.zeros((1, rows.shape[1]))]).astype(np.float32)
 
 
 class Search:
@@ -256,9 +286,17 @@ class Search:
         # whole numbers, so that differences of running sums are exact
         widest = (int(size.max()) + 2) * STRIDE
         unit = np.round(idf * min(UNIT, (1 << 30) / (widest * max(float(idf.max()), 1.0)))).astype(np.int32)
-        self.weight = np.zeros((len(idf), len(numbers)), np.int32)
-        for k, j in enumerate(self.order):
-            self.weight[numbers[j], k] = unit[numbers[j]]
+        # WIDE items at a time: which of their terms a word is, and that term's weight in each of them
+        self.parts = []
+        for first in range(0, len(numbers), WIDE):
+            some = [np.unique(numbers[j]) for j in self.order[first : first + WIDE]]
+            terms = np.unique(np.concatenate(some))
+            local = np.full(len(idf), len(terms), np.int32)
+            local[terms] = np.arange(len(terms))
+            weight = np.zeros((len(terms) + 1, len(some)), np.int32)
+            for k, own in enumerate(some):
+                weight[local[own], k] = unit[own]
+            self.parts.append((first, local, weight))
         self.least = np.array([max(1, int(np.ceil(OVERLAP * unit[numbers[j]].sum(dtype=np.int64)))) for j in self.order], np.int32)
         # running sums are off by rounding: a window of next to no latent weight, measured by the item's own, has no direction
         self.floor = np.where(long > 1e-12, 1e-3 * long, np.inf)[self.order].astype(np.float32)
@@ -276,35 +314,38 @@ class Search:
         none = len(self.items.terms)
         padded = np.concatenate([np.full(STRIDE, none, np.int32), ids, np.full((self.longest + 1) * STRIDE, none, np.int32)])
         out, wide = [], max(1, SUMS // n)
-        for first in range(0, len(self.order), wide):
-            sizes, weight = self.size[first : first + wide], self.weight[:, first : first + wide]
-            each = weight.take(words[:, 0], axis=0)
-            for k in range(1, STRIDE):
-                each += weight.take(words[:, k], axis=0)
-            # held[k]: weight of the strides before k - 1; one stride before the text and those after it are empty
-            held = np.zeros((n + self.longest + 2, len(sizes)), np.int32)
-            running_sums(each, held[2 : n + 2])
-            held[n + 2 :] = held[n + 1]
-            for m in np.unique(sizes).tolist():
-                a, b = np.searchsorted(sizes, [m, m + 1]).tolist()
-                near = held[m + 2 : m + 2 + n, a:b] - held[:n, a:b]  # a stride more on each side
-                a, b = first + a, first + b
-                u = run[m : n + m] - run[:n]
-                norm = np.sqrt(np.einsum("ij,ij->i", u, u))
-                score = u @ self.folded[:, a:b]
-                exact = near >= self.least[a:b]
-                floor = self.floor[a:b]
-                i, j = np.divmod(np.flatnonzero(exact | (score >= np.maximum(COSINE * norm, floor.min())[:, None])), b - a)
-                most = max(1, SUMS // ((m + 2) * STRIDE))
-                for at in range(0, len(i), most):
-                    x, y = i[at : at + most], j[at : at + most]
-                    ok = exact[x, y]
-                    rest = np.flatnonzero(~ok)
-                    span = padded[(x[rest] * STRIDE)[:, None] + np.arange((m + 2) * STRIDE)]
-                    shared = (self.weight[span, a + y[rest, None]] > 0).sum(axis=1)
-                    ok[rest] = (shared >= self.common[a + y[rest]]) & (score[x[rest], y[rest]] >= floor[y[rest]])
-                    x, y = x[ok], y[ok]
-                    out.append((x, self.order[a + y], score[x, y] / np.maximum(norm[x], 1e-12)))
+        for begin, local, weights in self.parts:
+            here, beside = local[words], local[padded]
+            for first in range(0, weights.shape[1], wide):
+                weight = weights[:, first : first + wide]
+                sizes = self.size[begin + first : begin + first + weight.shape[1]]
+                each = weight.take(here[:, 0], axis=0)
+                for k in range(1, STRIDE):
+                    each += weight.take(here[:, k], axis=0)
+                # held[k]: weight of the strides before k - 1; one stride before the text and those after it are empty
+                held = np.zeros((n + self.longest + 2, len(sizes)), np.int32)
+                running_sums(each, held[2 : n + 2])
+                held[n + 2 :] = held[n + 1]
+                for m in np.unique(sizes).tolist():
+                    a, b = np.searchsorted(sizes, [m, m + 1]).tolist()
+                    near = held[m + 2 : m + 2 + n, a:b] - held[:n, a:b]  # a stride more on each side
+                    shift = begin + first + a
+                    u = run[m : n + m] - run[:n]
+                    norm = np.sqrt(np.einsum("ij,ij->i", u, u))
+                    score = u @ self.folded[:, shift : begin + first + b]
+                    exact = near >= self.least[shift : begin + first + b]
+                    floor = self.floor[shift : begin + first + b]
+                    i, j = np.divmod(np.flatnonzero(exact | (score >= np.maximum(COSINE * norm, floor.min())[:, None])), b - a)
+                    most = max(1, SUMS // ((m + 2) * STRIDE))
+                    for at in range(0, len(i), most):
+                        x, y = i[at : at + most], j[at : at + most]
+                        ok = exact[x, y]
+                        rest = np.flatnonzero(~ok)
+                        span = beside[(x[rest] * STRIDE)[:, None] + np.arange((m + 2) * STRIDE)]
+                        shared = (weight[span, a + y[rest, None]] > 0).sum(axis=1)
+                        ok[rest] = (shared >= self.common[shift + y[rest]]) & (score[x[rest], y[rest]] >= floor[y[rest]])
+                        x, y = x[ok], y[ok]
+                        out.append((x, self.order[shift + y], score[x, y] / np.maximum(norm[x], 1e-12)))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
 
     def verify(self, ws: list[bytes], start: int, item: int) -> float:
@@ -357,35 +398,54 @@ class Search:
 
 
 def item_blocks(benchmark: DataFrame, size: int = BLOCK):
-    """Blocks of at most ``size`` items; only one is held at a time."""
+    """Blocks of at most ``size`` items and, but for a longer single item, WORDS words; only one is held at a time."""
     rows: list[tuple[int, str]] = []
+    held = 0
     for i, t in benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)), "text").orderBy("item_id", "text").toLocalIterator():
-        rows.append((i, t or ""))
-        if len(rows) == size:
+        n = len(words(t))
+        if rows and (len(rows) == size or held + n > WORDS):
             yield Items(rows)
-            rows = []
+            rows, held = [], 0
+        rows.append((i, t or ""))
+        held += n
     if rows:
         yield Items(rows)
 
 
+def vocabularies(benchmark: DataFrame, size: int = BLOCK) -> list[tuple[int, Vocabulary]]:
+    """(blocks, their vocabulary): the whole benchmark's in one, unless it has more than TERMS terms."""
+    out, hashes, blocks = [], np.zeros(0, np.uint64), 0
+    for items in item_blocks(benchmark, size):
+        both = np.union1d(hashes, items.hashes)
+        if blocks and len(both) > TERMS:
+            out.append((blocks, Vocabulary(hashes)))
+            both, blocks = np.unique(items.hashes), 0
+        hashes, blocks = both, blocks + 1
+    return [*out, (blocks, Vocabulary(hashes))] if blocks else out
+
+
 def leaks(df: DataFrame, benchmark: DataFrame, carry: list[str], block: int = BLOCK) -> DataFrame:
     """``carry`` columns, text and found array<struct<item, lcs, cosine>> for every row of ``df``."""
     out = df.select(*[F.col(f"`{c}`") for c in carry], "text", F.array().cast("array<struct<item:long,lcs:double,cosine:double>>").alias("found"))
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    sc = df.sparkSession.sparkContext
-    for items in item_blocks(benchmark, block):
-        if not items.words:
+    sc, blocks = df.sparkSession.sparkContext, item_blocks(benchmark, block)
+    for count, terms in vocabularies(benchmark, block):
+        if not len(terms):
             continue
-        idf = inverse_frequencies(df, items)
-        shared = sc.broadcast((items, idf, latent_rows(df, items, idf)))
-
-        def run(batches, shared=shared):
-            search = Search(*shared.value)
-            for b in batches:
-                now = [[dict(zip(("item", "lcs", "cosine"), x)) for x in f] for f in search.leaks(b["text"])]
-                yield b | {"found": [a + n for a, n in zip(b["found"], now)]}
-
-        out = map_batches(out, run, spec)
+        idf = inverse_frequencies(df, terms)
+        lead = latent_rows(df, terms, idf)
+        for items in itertools.islice(blocks, count):
+            if not items.words:
+                continue
+            shared = sc.broadcast((items, *of_block(items, terms, idf, lead)))
+
+            def run(batches, shared=shared):
+                search = Search(*shared.value)
+                for b in batches:
+                    now = [[dict(zip(("item", "lcs", "cosine"), x)) for x in f] for f in search.leaks(b["text"])]
+                    yield b | {"found": [a + n for a, n in zip(b["found"], now)]}
+
+            out = map_batches(out, run, spec)
     return out
 
 

@@ -268,7 +268,7 @@ def test_decontamination(spark, world):
     assert sum(k in got[n + len(items) + k] for k in range(len(items))) >= 28, "light paraphrases"
     assert not any(got[i] for i in range(len(texts) - 3, len(texts)))
     blocks = {r.doc_id: [x.item for x in r.found] for r in decontaminate.leaks(docs(spark, texts), bench, ["doc_id"], block=16).collect()}
-    assert all(k in blocks[n + k] for k in range(len(items)))
+    assert blocks == got, "blocks have no say"
     kept = decontaminate.drop_contaminated(docs(spark, texts), bench)
     assert kept.columns == docs(spark, []).columns and {r.doc_id for r in kept.select("doc_id").collect()} >= set(range(n))
 
@@ -353,6 +353,48 @@ def test_decontamination_paraphrases(spark):
     assert decontaminate.answer_of("a b c d e f g h i j k l m n o p q r s t") == b"m n o p q r s t".split()
 
 
+def test_decontamination_by_brute_force(spark, world):
+    """Every window of every text against every item by a plain LCS; no candidate search."""
+    rng, say, items, clean = world
+    texts = clean[:25]
+    for j, t in enumerate(items):
+        ws = ascii_words(t)
+        for share in (0.1, 0.2, 0.3):
+            gone = set(rng.sample(range(len(ws)), int(share * len(ws))))
+            texts.append(say(rng.randint(0, 60)) + " " + " ".join(f"new{k}" if k in gone else w.decode() for k, w in enumerate(ws)) + " " + say(rng.randint(0, 60)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: {x.item: x.lcs for x in r.found} for r in decontaminate.leaks(docs(spark, texts), bench, ["doc_id"]).collect()}
+    plain = {}
+    for i, t in enumerate(texts):
+        ws = ascii_words(t)
+        for j, item in enumerate(items):
+            want = ascii_words(item)
+            if len(set(ws) & set(want)) >= 0.5 * len(set(want)) - 2:
+                best = max(decontaminate.lcs(want, ws[at : at + len(want) + 12]) for at in range(0, max(1, len(ws)), 1)) / len(want)
+                if best >= decontaminate.LCS:
+                    plain[i, j] = best
+    missed = [(i, j) for (i, j), share in plain.items() if share >= decontaminate.LCS + 0.03 and j not in got[i]]
+    assert not missed and len(plain) > 60
+    recall = [sum(j in got[25 + 3 * j + k] for j in range(len(items))) / len(items) for k in range(3)]
+    assert recall[0] == 1 and recall[1] >= 0.95, recall  # 10, 20 and 30 % of the words replaced
+    print("recall by share replaced", recall)
+
+
+@pytest.mark.parametrize("features", [8, 1 << 16])
+def test_decontamination_bounds(spark, world, monkeypatch, features):
+    """Few features, small vocabularies and narrow parts bound memory; verbatim leaks are found all the same."""
+    rng, say, items, clean = world
+    texts = clean[:20] + [say(30) + " " + t + " " + say(20) for t in items]
+    monkeypatch.setattr(decontaminate, "FEATURES", features)
+    monkeypatch.setattr(decontaminate, "TERMS", 300)
+    monkeypatch.setattr(decontaminate, "WORDS", 120)
+    monkeypatch.setattr(decontaminate, "WIDE", 2)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert len(decontaminate.vocabularies(bench)) > 1
+    got = {r.doc_id: {x.item for x in r.found} for r in decontaminate.leaks(docs(spark, texts), bench, ["doc_id"], block=7).collect()}
+    assert all(j in got[20 + j] for j in range(len(items))) and not any(got[i] for i in range(20))
+
+
 def test_decontamination_borders_with_a_long_item(monkeypatch):
     """A block with an item of more words than a piece holds: leaks of short ones are found across every border."""
     monkeypatch.setattr(decontaminate, "PIECE", 256)
