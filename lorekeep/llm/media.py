@@ -7,12 +7,14 @@ each with a first scan of all bits but the last and a refinement scan of the las
 
 Reading. The decoder takes any Huffman-coded progressive JPEG of 8 bits with 1 or 3 components (DC and AC, first and
 refinement scans, bands, successive approximation, runs of empty blocks, restart intervals, any sampling of 1 and 2). Scans are
-accumulated in coefficient arrays; numpy transforms all blocks at once, chroma is upsampled by repetition, and the
+accumulated in coefficient arrays; numpy transforms the blocks strip by strip, chroma is upsampled by repetition, and the
 result is a full-resolution uint8 RGB tensor. Two frequent patterns are decoded in bulk: scans of symbols of one fixed length,
 and the correction bits of a run of blocks. Everything else goes symbol by symbol.
 
 Null texts are empty; the least payload is one unit of spaces. Equal texts give equal files and features. Repeated rows
-are stored each; very long texts make larger images (up to 65,520 pixels a side, over 5 GB); extra columns are ignored.
+are stored each; very long texts make larger images (up to 65,520 pixels a side). Bits, transforms and colours are expanded
+a bounded number of blocks at a time, so what grows with a text is about 12 times its bytes: itself, its file and the
+coefficients, which as 32-bit numbers are four of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -29,6 +32,8 @@ from .common import map_batches, need, table
 
 UNIT = 192
 MCU = 384
+#: Blocks, and about as many pixels of a strip, that are expanded at once: a multiple of 8, so that they begin at a byte.
+STEP, PIXELS = 1 << 12, 1 << 18
 BANDS = {0: ((1, 5), (6, 63)), 1: ((1, 63),), 2: ((1, 63),)}
 
 
@@ -109,6 +114,22 @@ def _run_bits(blocks: int, width: int, low: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _first_words(band: np.ndarray) -> bytes:
+    """First scan of non-zero coefficients: for each the code 0, then the 8 bits of (b + 256) >> 1."""
+    out = []
+    for at in range(0, len(band), 1 << 16):  # a multiple of 8 words fills whole bytes
+        part = band[at : at + (1 << 16)]
+        word = np.empty((len(part), 9), np.uint8)
+        word[:, 0] = 0
+        word[:, 1] = 1
+        word[:, 2:] = part[:, None] >> _PLANES[None, :7] & 1
+        bits = word.ravel()
+        if r := -len(bits) % 8:
+            bits = np.concatenate([bits, np.ones(r, np.uint8)])
+        out.append(np.packbits(bits).tobytes())
+    return b"".join(out).replace(b"\xff", b"\xff\x00")
+
+
 def store(payload: bytes) -> bytes:
     """Progressive JPEG file of a payload, a multiple of UNIT long."""
     mcus = -(-len(payload) // MCU)
@@ -130,11 +151,7 @@ def store(payload: bytes) -> bytes:
     for c, plane in ((0, luma), (1, units[:, :, 4].reshape(-1, 64)), (2, units[:, :, 5].reshape(-1, 64))):
         for ss, se in BANDS[c]:
             band = np.ascontiguousarray(plane[:, ss : se + 1]).ravel()
-            word = np.empty((len(band), 9), np.uint8)  # code 0, then the 8 bits of (b + 256) >> 1
-            word[:, 0] = 0
-            word[:, 1] = 1
-            word[:, 2:] = band[:, None] >> _PLANES[None, :7] & 1
-            out += [_FIRST_TABLE, _scan([c], ss, se, 0, 1), _pack(word.ravel()), _RUN_TABLE, _scan([c], ss, se, 1, 0), _pack(_run_bits(len(plane), se - ss + 1, band & 1))]
+            out += [_FIRST_TABLE, _scan([c], ss, se, 0, 1), _first_words(band), _RUN_TABLE, _scan([c], ss, se, 1, 0), _pack(_run_bits(len(plane), se - ss + 1, band & 1))]
     return b"".join(out) + b"\xff\xd9"
 
 
@@ -142,30 +159,32 @@ def store(payload: bytes) -> bytes:
 
 
 class _Bits:
-    """Bits of one entropy-coded segment, as an array and with a cursor."""
+    """Bits of one entropy-coded segment with a cursor; never unpacked as a whole. Behind the end there are ones."""
 
     def __init__(self, segment: bytes):
-        self.bits = np.unpackbits(np.frombuffer(segment.replace(b"\xff\x00", b"\xff"), np.uint8))
-        self.at = 0
-        self._list: list[int] | None = None
+        self.raw = segment.replace(b"\xff\x00", b"\xff")
+        self.at, self.size = 0, 8 * len(self.raw)
+
+    def part(self, a: int, b: int) -> np.ndarray:
+        """Bits a to b, as bytes of 0 and 1."""
+        low = a >> 3
+        return np.unpackbits(np.frombuffer(self.raw[low : b + 7 >> 3], np.uint8))[a - 8 * low : b - 8 * low]
+
+    def peek(self, n: int) -> int:
+        low, high = self.at >> 3, self.at + n + 7 >> 3
+        got = self.raw[low:high].ljust(high - low, b"\xff")
+        return int.from_bytes(got, "big") >> (8 * high - self.at - n) & (1 << n) - 1
 
     def take(self, n: int) -> int:
-        if self._list is None:
-            self._list = self.bits.tolist()
-        v = 0
-        for b in self._list[self.at : self.at + n]:
-            v = v << 1 | b
+        v = self.peek(n)
         self.at += n
         return v
 
     def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        if self._list is None:
-            self._list = self.bits.tolist()
-        v = 0
+        word = self.peek(16)
         for n in range(1, 17):
-            v = v << 1 | (self._list[self.at] if self.at < len(self._list) else 1)
-            self.at += 1
-            if (s := codes.get((n, v))) is not None:
+            if (s := codes.get((n, word >> 16 - n))) is not None:
+                self.at += n
                 return s
         raise ValueError("no such Huffman code")
 
@@ -227,11 +246,13 @@ def _dc_scan(frame: Frame, which: list[int], tables: list[dict], ah: int, al: in
         bits = _Bits(segment)
         if ah:
             width = sum(o.shape[1] for o in part)
-            got = bits.bits[: len(part[0]) * width].reshape(-1, width).astype(np.int32) << al
-            at = 0
-            for o, flat in zip(part, flats):
-                flat[o, 0] |= got[:, at : at + o.shape[1]]
-                at += o.shape[1]
+            for begin in range(0, len(part[0]), STEP):
+                some = [o[begin : begin + STEP] for o in part]
+                got = bits.part(begin * width, (begin + len(some[0])) * width).reshape(-1, width).astype(np.int32) << al
+                at = 0
+                for o, flat in zip(some, flats):
+                    flat[o, 0] |= got[:, at : at + o.shape[1]]
+                    at += o.shape[1]
             continue
         last, values = [0] * len(which), [[] for _ in which]
         seq = [k for k, o in enumerate(part) for _ in range(o.shape[1])]
@@ -239,7 +260,7 @@ def _dc_scan(frame: Frame, which: list[int], tables: list[dict], ah: int, al: in
         if len(lengths) == 1:  # codes of one length: a loop over one list
             n0 = lengths.pop()
             flat_codes = [[t.get((n0, c), 0) for c in range(1 << n0)] for t in tables]
-            text, at = "".join(map(str, bits.bits.tolist())), 0
+            text, at = "".join(map(str, bits.part(0, bits.size).tolist())), 0
             for _ in range(len(part[0])):
                 for k in seq:
                     size = flat_codes[k][int(text[at : at + n0], 2)]
@@ -263,11 +284,17 @@ def _ac_first(flat: np.ndarray, blocks: np.ndarray, codes: dict, ss: int, se: in
     if len(codes) == 1:
         (length, _), symbol = next(iter(codes.items()))
         size = symbol & 15
-        if size and not symbol >> 4 and len(bits.bits) >= len(blocks) * width * (length + size):
-            word = bits.bits[: len(blocks) * width * (length + size)].reshape(-1, length + size)
-            v = word[:, length:].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
-            v = np.where(word[:, length] == 1, v, v - (1 << size) + 1)
-            flat[blocks, ss : se + 1] = (v << al).reshape(-1, width)
+        each = width * (length + size)
+        if size and not symbol >> 4 and bits.size >= len(blocks) * each:
+            for begin in range(0, len(blocks), STEP):
+                some = blocks[begin : begin + STEP]
+                word = bits.part(begin * each, (begin + len(some)) * each).reshape(-1, length + size)
+                if size == 8:
+                    v = np.packbits(word[:, length:], axis=1)[:, 0].astype(np.int32)
+                else:
+                    v = word[:, length:].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
+                v = np.where(word[:, length] == 1, v, v - (1 << size) + 1)
+                flat[some, ss : se + 1] = (v << al).reshape(-1, width)
             return
     run = 0
     for b in blocks.tolist():
@@ -318,17 +345,18 @@ def _ac_refine(flat: np.ndarray, blocks: np.ndarray, codes: dict, ss: int, se: i
             n += 1
             continue
         # the rest of this block and the next run - 1 blocks have only correction bits
-        many = blocks[n : n + run]
-        part = flat[many, ss : se + 1]
-        live = part != 0
-        if k > ss:
-            live[0, : k - ss] = False
-        count = int(live.sum())
-        got = bits.bits[bits.at : bits.at + count].astype(np.int32)
-        bits.at += count
-        old = part[live]
-        part[live] = np.where((got == 1) & (np.abs(old) & one == 0), old + np.sign(old) * one, old)
-        flat[many, ss : se + 1] = part
+        for begin in range(n, min(n + run, len(blocks)), STEP):
+            many = blocks[begin : min(begin + STEP, n + run)]
+            part = flat[many, ss : se + 1]
+            live = part != 0
+            if k > ss and begin == n:
+                live[0, : k - ss] = False
+            count = int(live.sum())
+            got = bits.part(bits.at, bits.at + count)
+            bits.at += count
+            old = part[live]
+            part[live] = np.where((got == 1) & (np.abs(old) & one == 0), old + np.sign(old) * one, old)
+            flat[many, ss : se + 1] = part
         n += run
 
 
@@ -387,24 +415,34 @@ def read_coefficients(data: bytes) -> tuple[Frame, dict[int, np.ndarray], list[b
     return frame, quant, comments
 
 
+def strips(frame: Frame, quant: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
+    """The picture from top to bottom in strips of whole block rows, each height x width x 3, uint8."""
+    many = max(1, PIXELS // (frame.mcux * 64 * frame.hmax * frame.vmax))
+    for first in range(0, frame.mcuy, many):
+        planes = []
+        tall = min(frame.height, (first + many) * 8 * frame.vmax) - first * 8 * frame.vmax
+        for p in frame.parts:
+            coef = p["coef"][first * p["v"] : (first + many) * p["v"]]
+            by, bx = coef.shape[:2]
+            natural = np.zeros((by * bx, 64))
+            natural[:, ZIGZAG] = coef.reshape(-1, 64) * quant[p["q"]]
+            samples = natural @ _BASIS + 128.5 + 1e-6  # halves round up, whatever the last bits of the products are
+            samples = np.clip(np.floor(samples), 0, 255).reshape(by, bx, 8, 8).transpose(0, 2, 1, 3).reshape(by * 8, bx * 8)
+            full = samples.repeat(frame.vmax // p["v"], axis=0).repeat(frame.hmax // p["h"], axis=1)
+            planes.append(full[:tall, : frame.width].astype(np.float32))
+        if len(planes) == 1:
+            yield np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, axis=2)
+            continue
+        y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+        # the factors are exact in binary to 2**-16, so float32 sums of them and 8-bit values are exact
+        k = [np.float32(round(v * 65536) / 65536) for v in (1.402, 0.344136, 0.714136, 1.772)]
+        rgb = np.stack([y + k[0] * cr, y - k[1] * cb - k[2] * cr, y + k[3] * cb], axis=2)
+        yield np.clip(np.floor(rgb + np.float32(0.5)), 0, 255).astype(np.uint8)
+
+
 def to_rgb(frame: Frame, quant: dict[int, np.ndarray]) -> np.ndarray:
     """Height x width x 3, uint8."""
-    planes = []
-    for p in frame.parts:
-        by, bx = p["coef"].shape[:2]
-        natural = np.zeros((by * bx, 64))
-        natural[:, ZIGZAG] = p["coef"].reshape(-1, 64) * quant[p["q"]]
-        samples = natural @ _BASIS + 128.5 + 1e-6  # halves round up, whatever the last bits of the products are
-        samples = np.clip(np.floor(samples), 0, 255).reshape(by, bx, 8, 8).transpose(0, 2, 1, 3).reshape(by * 8, bx * 8)
-        full = samples.repeat(frame.vmax // p["v"], axis=0).repeat(frame.hmax // p["h"], axis=1)
-        planes.append(full[: frame.height, : frame.width].astype(np.float32))
-    if len(planes) == 1:
-        return np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, axis=2)
-    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    # the factors are exact in binary to 2**-16, so float32 sums of them and 8-bit values are exact
-    k = [np.float32(round(v * 65536) / 65536) for v in (1.402, 0.344136, 0.714136, 1.772)]
-    rgb = np.stack([y + k[0] * cr, y - k[1] * cb - k[2] * cr, y + k[3] * cb], axis=2)
-    return np.clip(np.floor(rgb + np.float32(0.5)), 0, 255).astype(np.uint8)
+    return np.concatenate(list(strips(frame, quant)))
 
 
 def read_payload(frame: Frame, comments: list[bytes]) -> bytes:
@@ -418,11 +456,15 @@ def read_payload(frame: Frame, comments: list[bytes]) -> bytes:
     return units.tobytes()[:size]
 
 
-def feature(rgb: np.ndarray) -> str:
-    """Size, mean of each channel and mean step between neighbouring columns, in hundredths (integer sums)."""
-    h, w, _ = rgb.shape
-    sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-    step = int(np.abs(np.diff(rgb[:, :, 1].astype(np.int16), axis=1)).sum(dtype=np.int64)) if w > 1 else 0
+def feature(parts: Iterator[np.ndarray]) -> str:
+    """Size, mean of each channel and mean step between neighbouring columns, in hundredths (integer sums), of a picture's strips."""
+    h = step = w = 0
+    sums = np.zeros(3, np.int64)
+    for rgb in parts:
+        h, w = h + rgb.shape[0], rgb.shape[1]
+        sums += rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+        if w > 1:
+            step += int(np.abs(np.diff(rgb[:, :, 1].astype(np.int16), axis=1)).sum(dtype=np.int64))
     return f"{h}x{w}:" + ",".join(str(int(s) * 100 // (h * w)) for s in sums) + f":{step * 100 // (h * max(1, w - 1))}"
 
 
@@ -468,7 +510,7 @@ def media_digests(df: DataFrame, media: str = "media", key: str = "doc_id") -> D
             for m in b[media]:
                 frame, quant, comments = read_coefficients(m)
                 p = read_payload(frame, comments)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(to_rgb(frame, quant))))
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(strips(frame, quant))))
             yield {key: b[key], "n_bytes": b["n_bytes"]} | dict(zip(names, zip(*rows)))
 
     kind = df.schema[key].dataType.simpleString()
