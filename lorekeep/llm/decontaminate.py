@@ -7,8 +7,9 @@
    (the fold-in of latent semantic indexing): directions that many passages share, be it a language, common words or a
    passage that is copied often, weigh less, and none is left out.
 3. Every document's sliding windows, of each benchmark item's own length and every STRIDE words, are candidates if they hold
-   at least OVERLAP of the item's term weight, whatever their cosine: the weights are summed exactly, for every window and
-   item. The windows are also folded into the latent space as differences of running sums, and those whose cosine with an
+   at least OVERLAP of the item's term weight, whatever their cosine. Such a window holds one of the item's prefix terms, the
+   heaviest ones without which OVERLAP can't be reached, so the weights are summed, exactly, about those words only.
+   The windows are also folded into the latent space as differences of running sums, and those whose cosine with an
    item reaches COSINE are candidates too if they hold enough words of the item for LCS_LOW of it: the cosine adds
    paraphrases in which the item's weighty words are changed, and never drops a window.
 4. A candidate is a leak if the longest common subsequence of words covers LCS of the item; or if it covers LCS_LOW
@@ -42,12 +43,11 @@ RANK, EXTRA = 48, 8
 PASSAGE, STRIDE = 40, 4
 COSINE, OVERLAP = 0.6, 0.5
 LCS, LCS_LOW, ANSWER, ANSWER_MOST = 0.75, 0.5, 4, 8
-#: Items and words of a block, terms of a vocabulary, latent features, and items whose weights are held side by side.
+#: Items and words of a block, terms of a vocabulary, and latent features.
 BLOCK, WORDS = 2000, 100_000
 TERMS, FEATURES = 1 << 21, 1 << 16
-WIDE = 256
 PIECE = 1 << 15
-#: Fixed point of the term weights, and the most sums (windows by items) that are held at once.
+#: Fixed point of the term weights, and the most numbers (windows by items) that are held at once.
 UNIT, SUMS = 256, 1 << 22
 
 def lcs(a: list, b: list) -> int:
@@ -73,20 +73,6 @@ def lcs_at(at: dict, n: int, b: list) -> int:
     return n - s.bit_count()
 
 
-def running_sums(x: np.ndarray, out: np.ndarray) -> None:
-    """Sums of rows 0..k of ``x`` into row k of ``out``: within runs of 64 rows, all runs at once, then over the runs."""
-    n = len(x) // 64 * 64
-    if n:
-        runs, sums = x[:n].reshape(-1, 64, x.shape[1]), out[:n].reshape(-1, 64, x.shape[1])
-        sums[:, 0] = runs[:, 0]
-        for k in range(1, 64):
-            np.add(sums[:, k - 1], runs[:, k], out=sums[:, k])
-        sums[1:] += np.cumsum(sums[:-1, -1], axis=0, dtype=x.dtype)[:, None]
-    np.cumsum(x[n:], axis=0, out=out[n:])
-    if n:
-        out[n:] += out[n - 1]
-
-
 def answer_of(text: str) -> list[bytes]:
     """Words of the last sentence, with the sentences before it until there are ANSWER words; of a long one, its end."""
     got: list[bytes] = []
@@ -286,17 +272,22 @@ class Search:
         # whole numbers, so that differences of running sums are exact
         widest = (int(size.max()) + 2) * STRIDE
         unit = np.round(idf * min(UNIT, (1 << 30) / (widest * max(float(idf.max()), 1.0)))).astype(np.int32)
-        # WIDE items at a time: which of their terms a word is, and that term's weight in each of them
-        self.parts = []
-        for first in range(0, len(numbers), WIDE):
-            some = [np.unique(numbers[j]) for j in self.order[first : first + WIDE]]
-            terms = np.unique(np.concatenate(some))
-            local = np.full(len(idf), len(terms), np.int32)
-            local[terms] = np.arange(len(terms))
-            weight = np.zeros((len(terms) + 1, len(some)), np.int32)
-            for k, own in enumerate(some):
-                weight[local[own], k] = unit[own]
-            self.parts.append((first, local, weight))
+        # (term, item) -> weight, sorted; and by term the items whose prefix it is in: those of an item's terms, heaviest first,
+        # without which a window can't hold ``least`` of the item, each term counted as often as the item has it
+        keys, first = [], [[] for _ in range(len(idf))]
+        for k, j in enumerate(self.order):
+            own, often = np.unique(numbers[j], return_counts=True)
+            keys.append(own.astype(np.int64) * len(numbers) + k)
+            heavy = np.argsort(-unit[own], kind="stable")
+            rest = (unit[own] * often).sum(dtype=np.int64) - np.cumsum((unit[own] * often)[heavy], dtype=np.int64)
+            least = max(1, int(np.ceil(OVERLAP * unit[numbers[j]].sum(dtype=np.int64))))
+            for t in own[heavy[: int(np.argmax(rest < least)) + 1]].tolist():
+                first[t].append(k)
+        self.keys = np.sort(np.concatenate(keys))
+        self.values = unit[self.keys // len(numbers)]
+        self.hits = np.array([len(f) for f in first], np.int32)  # none for other words
+        self.starts = np.cumsum(self.hits) - self.hits
+        self.holders = np.array([k for f in first for k in f], np.int64)
         self.least = np.array([max(1, int(np.ceil(OVERLAP * unit[numbers[j]].sum(dtype=np.int64)))) for j in self.order], np.int32)
         # running sums are off by rounding: a window of next to no latent weight, measured by the item's own, has no direction
         self.floor = np.where(long > 1e-12, 1e-3 * long, np.inf)[self.order].astype(np.float32)
@@ -304,49 +295,71 @@ class Search:
         self.places = [bits(w) for w in items.words]
         self.longest = int(size.max())
 
+    def weights(self, ids: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Weight of each word in the item beside it (a column of ``weight``), 0 if the item doesn't hold it."""
+        ask = ids.astype(np.int64) * len(self.order) + items
+        at = np.minimum(np.searchsorted(self.keys, ask), len(self.keys) - 1)
+        return np.where(self.keys[at] == ask, self.values[at], 0)
+
+    def heavy(self, ids: np.ndarray, n: int) -> np.ndarray:
+        """window * items + item of all windows that hold ``least`` of an item: those about a word of its prefix are summed."""
+        at = np.flatnonzero(self.hits[ids])
+        many = self.hits[ids[at]]
+        item = self.holders[np.repeat(self.starts[ids[at]] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        stride = np.repeat(at, many) // STRIDE
+        pairs = np.unique(stride * len(self.order) + item)
+        stride, item = np.divmod(pairs, len(self.order))
+        out = [np.zeros(0, np.int64)]
+        pad = np.full((self.longest + 2) * STRIDE, len(self.items.terms), np.int32)
+        padded = np.concatenate([pad, ids, pad])
+        for m in np.unique(self.size[item]).tolist():
+            own = np.flatnonzero(self.size[item] == m)
+            span = (2 * m + 3) * STRIDE  # windows of m strides, and one more on each side, that reach the word's stride
+            most = max(1, SUMS // span)
+            for begin in range(0, len(own), most):
+                r, k = stride[own[begin : begin + most]], item[own[begin : begin + most]]
+                near = padded[((r - m - 1) * STRIDE + len(pad))[:, None] + np.arange(span)]
+                sums = np.zeros((len(r), 2 * m + 4), np.int64)
+                np.cumsum(self.weights(near, k[:, None]).reshape(len(r), -1, STRIDE).sum(axis=2), axis=1, out=sums[:, 1:])
+                i, t = np.nonzero(sums[:, m + 2 :] - sums[:, : m + 2] >= self.least[k, None])
+                start = r[i] - m + t
+                good = (start >= 0) & (start < n)
+                out.append(start[good] * len(self.order) + k[i[good]])
+        return np.unique(np.concatenate(out))
+
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window start (in strides), item, cosine. ``ids``: a multiple of STRIDE long."""
-        words = ids.reshape(-1, STRIDE)
-        n = len(words)
+        n, count = len(ids) // STRIDE, len(self.order)
         run = np.zeros((n + self.longest + 1, self.rows.shape[1]), np.float32)
         np.cumsum(self.rows[ids].reshape(n, STRIDE, -1).sum(axis=1), axis=0, out=run[1 : n + 1])
         run[n + 1 :] = run[n]
-        none = len(self.items.terms)
-        padded = np.concatenate([np.full(STRIDE, none, np.int32), ids, np.full((self.longest + 1) * STRIDE, none, np.int32)])
-        out, wide = [], max(1, SUMS // n)
-        for begin, local, weights in self.parts:
-            here, beside = local[words], local[padded]
-            for first in range(0, weights.shape[1], wide):
-                weight = weights[:, first : first + wide]
-                sizes = self.size[begin + first : begin + first + weight.shape[1]]
-                each = weight.take(here[:, 0], axis=0)
-                for k in range(1, STRIDE):
-                    each += weight.take(here[:, k], axis=0)
-                # held[k]: weight of the strides before k - 1; one stride before the text and those after it are empty
-                held = np.zeros((n + self.longest + 2, len(sizes)), np.int32)
-                running_sums(each, held[2 : n + 2])
-                held[n + 2 :] = held[n + 1]
-                for m in np.unique(sizes).tolist():
-                    a, b = np.searchsorted(sizes, [m, m + 1]).tolist()
-                    near = held[m + 2 : m + 2 + n, a:b] - held[:n, a:b]  # a stride more on each side
-                    shift = begin + first + a
-                    u = run[m : n + m] - run[:n]
-                    norm = np.sqrt(np.einsum("ij,ij->i", u, u))
-                    score = u @ self.folded[:, shift : begin + first + b]
-                    exact = near >= self.least[shift : begin + first + b]
-                    floor = self.floor[shift : begin + first + b]
-                    i, j = np.divmod(np.flatnonzero(exact | (score >= np.maximum(COSINE * norm, floor.min())[:, None])), b - a)
-                    most = max(1, SUMS // ((m + 2) * STRIDE))
-                    for at in range(0, len(i), most):
-                        x, y = i[at : at + most], j[at : at + most]
-                        ok = exact[x, y]
-                        rest = np.flatnonzero(~ok)
-                        span = beside[(x[rest] * STRIDE)[:, None] + np.arange((m + 2) * STRIDE)]
-                        shared = (weight[span, a + y[rest, None]] > 0).sum(axis=1)
-                        ok[rest] = (shared >= self.common[shift + y[rest]]) & (score[x[rest], y[rest]] >= floor[y[rest]])
-                        x, y = x[ok], y[ok]
-                        out.append((x, self.order[shift + y], score[x, y] / np.maximum(norm[x], 1e-12)))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
+        pad = np.full((self.longest + 2) * STRIDE, len(self.items.terms), np.int32)
+        padded = np.concatenate([pad[:STRIDE], ids, pad])
+        exact, out = self.heavy(ids, n), []
+        window, item = np.divmod(exact, count)
+        wide = max(1, SUMS // n)
+        for m in np.unique(self.size).tolist():
+            first, last = np.searchsorted(self.size, [m, m + 1]).tolist()
+            u = run[m : n + m] - run[:n]
+            norm = np.sqrt(np.einsum("ij,ij->i", u, u))
+            own = self.size[item] == m
+            x, y = window[own], item[own]
+            out.append((x, self.order[y], np.einsum("ij,ij->i", u[x], self.folded.T[y]) / np.maximum(norm[x], 1e-12)))
+            for a in range(first, last, wide):
+                b = min(last, a + wide)
+                score = u @ self.folded[:, a:b]
+                floor = self.floor[a:b]
+                i, j = np.divmod(np.flatnonzero(score >= np.maximum(COSINE * norm, floor.min())[:, None]), b - a)
+                most = max(1, SUMS // ((m + 2) * STRIDE))
+                for at in range(0, len(i), most):
+                    x, y = i[at : at + most], j[at : at + most]
+                    new = np.flatnonzero((score[x, y] >= floor[y]) & ~np.isin(x * count + a + y, exact))
+                    x, y = x[new], y[new]
+                    span = padded[(x * STRIDE)[:, None] + np.arange((m + 2) * STRIDE)]
+                    ok = (self.weights(span, a + y[:, None]) > 0).sum(axis=1) >= self.common[a + y]
+                    x, y = x[ok], y[ok]
+                    out.append((x, self.order[a + y], score[x, y] / np.maximum(norm[x], 1e-12)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def verify(self, ws: list[bytes], start: int, item: int) -> float:
         """Share of the item that its longest common subsequence with the window covers; 0 if the checks fail."""

@@ -388,7 +388,7 @@ def test_decontamination_bounds(spark, world, monkeypatch, features):
     monkeypatch.setattr(decontaminate, "FEATURES", features)
     monkeypatch.setattr(decontaminate, "TERMS", 300)
     monkeypatch.setattr(decontaminate, "WORDS", 120)
-    monkeypatch.setattr(decontaminate, "WIDE", 2)
+    monkeypatch.setattr(decontaminate, "SUMS", 500)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert len(decontaminate.vocabularies(bench)) > 1
     got = {r.doc_id: {x.item for x in r.found} for r in decontaminate.leaks(docs(spark, texts), bench, ["doc_id"], block=7).collect()}
