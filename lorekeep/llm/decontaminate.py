@@ -272,19 +272,18 @@ class Search:
         # whole numbers, so that differences of running sums are exact
         widest = (int(size.max()) + 2) * STRIDE
         unit = np.round(idf * min(UNIT, (1 << 30) / (widest * max(float(idf.max()), 1.0)))).astype(np.int32)
-        # (term, item) -> weight, sorted; and by term the items whose prefix it is in: those of an item's terms, heaviest first,
-        # without which a window can't hold ``least`` of the item, each term counted as often as the item has it
-        keys, first = [], [[] for _ in range(len(idf))]
+        # a bit for each term and item that holds it; and by term the items whose prefix it is in: those of an item's terms,
+        # heaviest first, without which a window can't hold ``least`` of the item, each term as often as the item has it
+        self.unit, self.has = unit, np.zeros((len(idf), (len(numbers) + 7) // 8), np.uint8)
+        first = [[] for _ in range(len(idf))]
         for k, j in enumerate(self.order):
             own, often = np.unique(numbers[j], return_counts=True)
-            keys.append(own.astype(np.int64) * len(numbers) + k)
+            self.has[own, k >> 3] |= np.uint8(1 << (k & 7))
             heavy = np.argsort(-unit[own], kind="stable")
             rest = (unit[own] * often).sum(dtype=np.int64) - np.cumsum((unit[own] * often)[heavy], dtype=np.int64)
             least = max(1, int(np.ceil(OVERLAP * unit[numbers[j]].sum(dtype=np.int64))))
             for t in own[heavy[: int(np.argmax(rest < least)) + 1]].tolist():
                 first[t].append(k)
-        self.keys = np.sort(np.concatenate(keys))
-        self.values = unit[self.keys // len(numbers)]
         self.hits = np.array([len(f) for f in first], np.int32)  # none for other words
         self.starts = np.cumsum(self.hits) - self.hits
         self.holders = np.array([k for f in first for k in f], np.int64)
@@ -295,11 +294,9 @@ class Search:
         self.places = [bits(w) for w in items.words]
         self.longest = int(size.max())
 
-    def weights(self, ids: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Weight of each word in the item beside it (a column of ``weight``), 0 if the item doesn't hold it."""
-        ask = ids.astype(np.int64) * len(self.order) + items
-        at = np.minimum(np.searchsorted(self.keys, ask), len(self.keys) - 1)
-        return np.where(self.keys[at] == ask, self.values[at], 0)
+    def holds(self, ids: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """1 where the item beside a word (a column of ``folded``) holds it, else 0."""
+        return self.has[ids, items >> 3] >> (items & 7).astype(np.uint8) & 1
 
     def heavy(self, ids: np.ndarray, n: int) -> np.ndarray:
         """window * items + item of all windows that hold ``least`` of an item: those about a word of its prefix are summed."""
@@ -320,7 +317,7 @@ class Search:
                 r, k = stride[own[begin : begin + most]], item[own[begin : begin + most]]
                 near = padded[((r - m - 1) * STRIDE + len(pad))[:, None] + np.arange(span)]
                 sums = np.zeros((len(r), 2 * m + 4), np.int64)
-                np.cumsum(self.weights(near, k[:, None]).reshape(len(r), -1, STRIDE).sum(axis=2), axis=1, out=sums[:, 1:])
+                np.cumsum((self.holds(near, k[:, None]) * self.unit[near]).reshape(len(r), -1, STRIDE).sum(axis=2), axis=1, out=sums[:, 1:])
                 i, t = np.nonzero(sums[:, m + 2 :] - sums[:, : m + 2] >= self.least[k, None])
                 start = r[i] - m + t
                 good = (start >= 0) & (start < n)
@@ -331,7 +328,11 @@ class Search:
         """Window start (in strides), item, cosine. ``ids``: a multiple of STRIDE long."""
         n, count = len(ids) // STRIDE, len(self.order)
         run = np.zeros((n + self.longest + 1, self.rows.shape[1]), np.float32)
-        np.cumsum(self.rows[ids].reshape(n, STRIDE, -1).sum(axis=1), axis=0, out=run[1 : n + 1])
+        words = ids.reshape(n, STRIDE)
+        each = self.rows.take(words[:, 0], axis=0)
+        for k in range(1, STRIDE):
+            each += self.rows.take(words[:, k], axis=0)
+        np.cumsum(each, axis=0, out=run[1 : n + 1])
         run[n + 1 :] = run[n]
         pad = np.full((self.longest + 2) * STRIDE, len(self.items.terms), np.int32)
         padded = np.concatenate([pad[:STRIDE], ids, pad])
@@ -356,7 +357,7 @@ class Search:
                     new = np.flatnonzero((score[x, y] >= floor[y]) & ~np.isin(x * count + a + y, exact))
                     x, y = x[new], y[new]
                     span = padded[(x * STRIDE)[:, None] + np.arange((m + 2) * STRIDE)]
-                    ok = (self.weights(span, a + y[:, None]) > 0).sum(axis=1) >= self.common[a + y]
+                    ok = self.holds(span, a + y[:, None]).sum(axis=1, dtype=np.int32) >= self.common[a + y]
                     x, y = x[ok], y[ok]
                     out.append((x, self.order[a + y], score[x, y] / np.maximum(norm[x], 1e-12)))
         return tuple(np.concatenate(x) for x in zip(*out))
