@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
-from lorekeep.llm.common import table
+from lorekeep.llm.common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +50,21 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; each stage's result is written as Parquet in the shared folder and read again by the next,
-    then removed. The last one's stays, as the returned rows are read from it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lorekeep"
-    docs, out, before = table(spark, sf_dir, "documents"), f"{shared}/corpus-{uuid.uuid4().hex}", None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
-        docs = spark.read.parquet(f"{out}/{name}")
-        if before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        before = f"{out}/{name}"
+    then removed, also if a stage fails. The last one's stays, as the returned rows are read from it."""
+    docs, out, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", None
+
+    def remove(folder: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
+            docs = spark.read.parquet(f"{out}/{name}")
+            if before:
+                remove(before)
+            before = f"{out}/{name}"
+    except BaseException:
+        remove(out)
+        raise
     return docs

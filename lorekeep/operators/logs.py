@@ -31,7 +31,8 @@ def grep_context(lines: DataFrame, pattern: str, context: int = 0, key: str = "p
 
 
 def tail(lines: DataFrame, n: int, key: str = "pod", order: str = "ln") -> DataFrame:
-    """The last n lines of each pod."""
+    """The last n lines of each pod. The rank's limit is applied in every task before the shuffle, so a busy pod sends n lines
+    of each task, not all."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))
     return lines.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.code import indexable
+from .shared import cut
 
 
-def _objects(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """JSON files, each one object or a list of them; files that don't parse give no rows."""
+def _objects(spark: SparkSession, path: str | list[str], schema: T.StructType, *extra: Column) -> DataFrame:
+    """JSON files, each one object or a list of them; files that don't parse give no rows. ``extra``: of the files' metadata."""
     spec = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     df = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(spec).json(path)
-    return df.where("_corrupt IS NULL").drop("_corrupt")
+    return df.select("*", *extra).where("_corrupt IS NULL").drop("_corrupt")
 
 
 def raw_items(spark: SparkSession, path: str) -> DataFrame:
@@ -48,12 +50,13 @@ def chat_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def doc_pages(spark: SparkSession, path: str, max_pages: int = 30) -> DataFrame:
-    """Documents of landed search pages, up to the first page that says it is the last or has no token."""
-    pages = _objects(spark, path, schemas.DOC_PAGE).where(F.col("page") < max_pages)
+    """Documents of landed search pages, up to the first page that says it is the last or has no token. The pages of a search
+    lie in a folder of their own, which is its ``search``."""
+    pages = _objects(spark, path, schemas.DOC_PAGE, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("search")).where(F.col("page") < max_pages)
     last = ~F.coalesce("hasMore", F.lit(False)) | (F.coalesce("nextPageToken", F.lit("")) == "")
-    stop = pages.where(last).agg(F.min("page").alias("stop"))  # one row
-    kept = pages.crossJoin(F.broadcast(stop)).where("stop IS NULL OR page <= stop")
-    return kept.select("page", F.explode("documents").alias("i")).select("page", "i.*")
+    stop = pages.where(last).groupBy("search").agg(F.min("page").alias("stop"))
+    kept = pages.join(stop, "search", "left").where("stop IS NULL OR page <= stop")
+    return kept.select("search", "page", F.explode("documents").alias("i")).select("search", "page", "i.*")
 
 
 def code_units(units: DataFrame, repo: str) -> DataFrame:
@@ -103,6 +106,11 @@ def issues(spark: SparkSession, path: str, limit: int = 80) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """pod (the file's name), ln, line."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.log$", "").alias("pod"), "value")
-    return text.select("pod", F.posexplode(F.split("value", "\n")).alias("ln", "line"))
+    """pod (the file's name), ln (from 0), line. Read line by line, so a large log is split; lines are numbered within a split,
+    and a split's first number follows from the counts of those before it, one row for each split."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("_metadata.file_name", r"\.log$", "").alias("pod"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    lines = cut(lines)
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")
+    numbered = lines.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    return numbered.select("pod", (F.col("at") - F.col("first") + F.col("before")).alias("ln"), "line")

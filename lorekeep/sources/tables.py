@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables up to this size are dealt over the cores; the setting spark.lorekeep.spreadBytes overrides it, 0 leaves all as they lie.
 SPREAD_BYTES = 64 << 20
 
 
@@ -13,4 +14,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 1 << 20 < size < SPREAD_BYTES and len(df.inputFiles()) < cores else df
+    most = int(spark.conf.get("spark.lorekeep.spreadBytes", str(SPREAD_BYTES)))
+    return df.repartition(cores) if 1 << 20 < size < most and len(df.inputFiles()) < cores else df

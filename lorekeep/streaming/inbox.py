@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,8 +13,10 @@ from ..operators.validate import intent_errors
 
 
 def judged(intents: DataFrame, policy: dict, binary: str, kill_switch: bool = False) -> DataFrame:
-    """Intents with errors, decision, status, folder and failure_reason. Of intents with one id in a batch one stays."""
-    checked = intent_errors(intents, binary).dropDuplicates(["action_id"])
+    """Intents with errors, decision, status, folder and failure_reason. Of intents with one id in a batch the one that was
+    created first stays, of equal times the least as text."""
+    order = W.partitionBy("action_id").orderBy("created_at", F.to_json(F.struct(*intents.columns)))
+    checked = intent_errors(intents.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r"), binary)
     out = route(gate(checked, policy, binary, kill_switch))
     bad = F.size("errors") > 0
     why = F.when(bad, F.array_join("errors", ",")).when(F.col("status") == "denied", F.col("reason"))
@@ -27,10 +30,15 @@ def inbox_stream(spark: SparkSession, folder: str) -> DataFrame:
 def run_inbox(spark: SparkSession, folder: str, out: str, checkpoint: str, policy: dict, binary: str, kill_switch: bool = False, poll: str | None = None) -> StreamingQuery:
     """Writes judged intents as Parquet by folder (done, failed). Without ``poll`` it handles what is there and ends.
 
-    A batch that is run again after a failure overwrites its own folder, so every intent is written once.
+    A batch that is run again after a failure overwrites its own folder, so every intent is written once. An action id that
+    an earlier batch has handled is not handled again.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            earlier = spark.read.schema("action_id string, batch long").parquet(out).where(F.col("batch") < number)
+            batch = batch.join(earlier.select("action_id").distinct(), "action_id", "left_anti").select(*batch.columns)
         judged(batch, policy, binary, kill_switch).write.mode("overwrite").partitionBy("folder").parquet(f"{out}/batch={number}")
 
     writer = inbox_stream(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -90,6 +90,11 @@ def test_inbox_stream(spark, tmp_path):
         inbox.run_inbox(spark, str(box), str(tmp_path / "out"), str(tmp_path / "ck"), default_policy(), "cli").awaitTermination()
     rows = {r.action_id: (r.folder, r.status, r.failure_reason) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {"AI-20240101-0000000a": ("done", "execute", None), "AI-20240101-0000000b": ("failed", "denied", "never"), "bad": ("failed", "invalid", "action_id")}
+    put("4.json", GOOD | {"created_at": "2024-01-02T00:00:00Z", "argv": ["cli", "mail", "send"]})  # an id that has been handled
+    put("5.json", GOOD | {"action_id": "AI-20240101-0000000c"})
+    inbox.run_inbox(spark, str(box), str(tmp_path / "out"), str(tmp_path / "ck"), default_policy(), "cli").awaitTermination()
+    again = [(r.action_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(again) == 4 and ("AI-20240101-0000000c", "execute") in again and (GOOD["action_id"], "execute") in again
     assert [r.action_id for r in readers.inbox(spark, str(box)).collect()][0] == GOOD["action_id"]
     assert policy.shim_allows(F.lit("R0"), F.lit(None).cast("boolean")) is not None
 
@@ -144,7 +149,15 @@ def test_sources(spark, tmp_path):
     (src / "c.txt").write_text("x")
     assert [r.file_path for r in readers.source_files(spark, str(src), "r", "c").collect()] == ["a.py"]
     (tmp_path / "web.log").write_text("a\nb")
-    assert readers.log_lines(spark, str(tmp_path / "web.log")).count() == 2
+    assert [(r.pod, r.ln, r.line) for r in readers.log_lines(spark, str(tmp_path / "web.log")).orderBy("ln").collect()] == [("web", 0, "a"), ("web", 1, "b")]
+    long = [f"line {k} " + "x" * (k % 50) for k in range(5000)]
+    (tmp_path / "big-1-a.log").write_text("\n".join(long) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many splits of one file
+    try:
+        got = readers.log_lines(spark, str(tmp_path / "*.log")).where("pod = 'big-1-a'").orderBy("ln").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in got] == long and [r.ln for r in got] == list(range(5000))
     (docs / "x.md").write_text("# T\nbody")
     (docs / "y.md").write_text(" ")
     assert [(r.file, r.chars) for r in readers.documents(spark, str(docs)).collect()] == [("x.md", 8)]
@@ -153,6 +166,12 @@ def test_sources(spark, tmp_path):
     for k, more in ((0, True), (1, False), (2, True)):
         (pages / f"{k}.json").write_text(json.dumps({"page": k, "hasMore": more, "nextPageToken": "t", "documents": [{"nodeId": f"n{k}", "name": "x"}]}))
     assert [r.nodeId for r in readers.doc_pages(spark, str(pages)).orderBy("page").collect()] == ["n0", "n1"]
+    other = tmp_path / "more"
+    other.mkdir()
+    for k, more in ((0, False), (1, True)):
+        (other / f"{k}.json").write_text(json.dumps({"page": k, "hasMore": more, "nextPageToken": "t", "documents": [{"nodeId": f"m{k}", "name": "x"}]}))
+    both = readers.doc_pages(spark, [str(pages), str(other)]).collect()
+    assert sorted(r.nodeId for r in both) == ["m0", "n0", "n1"] and len({r.search for r in both}) == 2
 
 
 def test_sinks(spark, tmp_path):
