@@ -446,7 +446,50 @@ def test_clashing_columns(spark):
     for out in (toxicity.keep_clean(df, labels), simhash.one_of_each(df), suffix_dedup.cut_repeats(df), corpus_pipeline.decontaminate.drop_contaminated(df, bench)):
         assert out.columns == df.columns and out.count() in (3, 4)
     assert mixing.mix(df).count() == licenses.license_scan(df).count() == media.with_media(df).count() == 4
-    assert token_counts.op10_token_counts is not None
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert [r.n_tokens for r in token_counts.token_counts(df.withColumn("n_tokens", F.lit("x")).withColumn("n_bytes", F.lit("y")), path).orderBy("doc_id").collect()] == [r.n_tokens for r in token_counts.token_counts(docs(spark, ["one two three four", "one two three four", None, "five"]), path).orderBy("doc_id").collect()]
+    page_ = spark.createDataFrame([(1, "u", "<article><p>some text of a page here.</p></article>", "x", "y")], "page_id long, url string, html string, text string, n_chars string")
+    assert [(r.text, r.n_chars) for r in html_extract.extract(page_).collect()] == [("some text of a page here.", 25)]
+
+
+def test_empty_tables(spark):
+    import public_tokenizers
+
+    none, labels = docs(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert media.media_digests(media.with_media(none)).count() == 0
+    assert simhash.near_duplicates(none).count() == simhash.one_of_each(none).count() == 0
+    assert token_counts.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+    assert toxicity.keep_clean(none, labels).count() == 0
+    assert quality.quality(none, quality.train(none, labels)).count() == 0
+    assert mixing.mix(none).count() == suffix_dedup.cut_repeats(none).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    """String ids, null and repeated ones included, are carried along."""
+    df = docs(spark, ["one two three four five " * 60, "one two three four five " * 60, None, "else " * 300], [1, 1, None, 3])
+    named = df.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    back = lambda out: sorted(str((str(r.doc_id).removeprefix("id-"), *tuple(r)[1:])) for r in out.collect())
+    assert back(suffix_dedup.dedup_report(named)) == back(suffix_dedup.dedup_report(df))
+    assert back(licenses.license_scan(named)) == back(licenses.license_scan(df))
+    assert back(mixing.mix(named).drop("rate")) == back(mixing.mix(df).drop("rate"))
+    bench = spark.createDataFrame([(7, "one two three four five one two three")], "item_id long, text string")
+    assert [r.found[0].item for r in corpus_pipeline.decontaminate.leaks(named, bench, ["doc_id"]).where("size(found) > 0").collect()] == [7, 7]
+
+
+def test_long_texts_in_bounded_memory():
+    """A text of some megabytes: what grows with it stays near 12 times its bytes."""
+    import tracemalloc
+
+    payload = ("abc déf " * 250_000).encode()
+    payload += b" " * (-len(payload) % media.UNIT)
+    tracemalloc.start()
+    frame, quant, comments = media.read_coefficients(media.store(payload))
+    assert media.read_payload(frame, comments) == payload and media.feature(media.strips(frame, quant))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(payload) + (24 << 20)
 
 
 def test_pipeline_stages(spark, tmp_path):
