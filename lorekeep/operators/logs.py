@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 #: Names that an audit record may have. A deployment adds its daemon's name to the actors.
 AUDIT_EVENTS = (
     "classify", "gate_decision", "confirm_issued", "confirm_verified", "confirm_rejected", "shim_invoke", "shim_deny", "exec_result", "refresh_lock_acquire",
@@ -24,10 +26,21 @@ def pods_of(pods: DataFrame, service: str) -> DataFrame:
 
 
 def grep_context(lines: DataFrame, pattern: str, context: int = 0, key: str = "pod", order: str = "ln", text: str = "line") -> DataFrame:
-    """Matching lines and the ``context`` lines after each, every line once."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(-context, 0)
-    hit = F.col(text).rlike(pattern)
-    return lines.withColumn("is_match", hit).withColumn("__near", F.max(hit.cast("int")).over(w)).where("__near = 1").drop("__near")
+    """Matching lines and the ``context`` lines after each, every line once.
+
+    Lines are dealt by ranges of (key, order), so a busy pod is cut into stretches, each a window of its own. Only the first
+    ``context`` lines of a stretch look beyond it: their matches come from a window over the stretches' ends, which are
+    2 * ``context`` lines for each stretch.
+    """
+    given = lines.withColumn("is_match", F.coalesce(F.col(text).rlike(pattern), F.lit(False)))
+    dealt = cut(given.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("__part", F.shiftrightunsigned(F.monotonically_increasing_id(), 33)))
+    stretch, hit = W.partitionBy(key, "__part"), F.col("is_match").cast("int")
+    near = lambda w: F.max(hit).over(w.orderBy(order).rowsBetween(-context, 0))
+    placed = dealt.withColumn("__at", F.row_number().over(stretch.orderBy(order))).withColumn("__n", F.count("*").over(stretch)).withColumn("__near", near(stretch))
+    ends = placed.where((F.col("__at") <= context) | (F.col("__at") > F.col("__n") - context))
+    first = ends.withColumn("__near", near(W.partitionBy(key))).where(F.col("__at") <= context)
+    out = placed.where(F.col("__at") > context).unionByName(first)
+    return out.where("__near = 1").select(*given.columns)
 
 
 def tail(lines: DataFrame, n: int, key: str = "pod", order: str = "ln") -> DataFrame:

@@ -319,15 +319,46 @@ _SELF_Q = "q AS (SELECT ku_id AS query_id, title AS query FROM ku WHERE doc_id %
 _DRAFT = _STRIP.format(f"string_agg({_STRIP.format('body')}, chr(10) || chr(10) ORDER BY rank)")
 
 
-def _verdict_sql(q: str) -> str:
+#: The chats' answered questions as units. Their texts hold nothing that is redacted; ``redaction_hits`` is about that.
+_CHAT_KU = f"""{_PAIRS}, ku AS (SELECT q_msg AS doc_id, 'KU-' || substr(sha1('QA|' || q_msg || '||'), 1, 16) AS ku_id, substr({_STRIP.format('question')}, 1, 120) AS title,
+  'Q: ' || {_STRIP.format('question')} || chr(10) || 'A: ' || {_STRIP.format('answer')} AS body, 'REVIEWED' AS authority, 'UNKNOWN' AS freshness FROM p)"""
+_SPLIT = f"""split AS (SELECT DISTINCT query_id FROM (SELECT query_id, fp FROM (SELECT query_id, array_to_string(list_sort(list_distinct({_tok('title')})), '|') AS fp, regexp_replace({_STRIP.format('body')}, '\\s+', ' ', 'g') AS h FROM ranked)
+  WHERE fp <> '' GROUP BY ALL HAVING count(DISTINCT h) >= 2))"""
+_NO_SPLIT = "split AS (SELECT query_id FROM ranked WHERE FALSE)"
+
+
+def _redaction_sql() -> str:
+    """The detectors one after the other, and tokens of high entropy. RE2 has no look-around, so digits beside a phone number
+    are taken along and put back; texts in which two detectors' matches overlap need the exact rule, which the tests compare."""
+    out = "coalesce(text, '')"
+    for name, pattern, _ in redaction.DETECTORS:
+        to, by = pattern.replace("'", "''"), f"[REDACTED:{name.upper()}]"
+        if name == "phone":
+            to, by = "(^|[^0-9])" + pattern.split(")", 1)[1].rsplit("(?!", 1)[0] + "([^0-9]|$)", f"\\1{by}\\3"
+            to = to.replace("(?:[-\\s]?\\d){8}", "((?:[-\\s]?\\d){8})")
+        out = f"regexp_replace({out}, '{to}', '{by}', 'g')"
+    bits = "list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: -(len(string_split(t, c)) - 1) / length(t) * log2((len(string_split(t, c)) - 1) / length(t))))"
+    token = redaction.ENTROPY_TOKEN.replace("'", "''")
+    secret = f"list_filter(list_distinct(regexp_extract_all(x, '{token}')), lambda t: length(t) >= {redaction.ENTROPY_LENGTH} AND NOT contains(t, 'REDACTED') AND NOT regexp_matches(t, '[\\x{{3000}}-\\x{{303F}}\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{FF00}}-\\x{{FFEF}}]') AND {bits} >= {redaction.ENTROPY_BITS})"
+    label = {2: [], 1: []}
+    for name, _, taint_ in redaction.DETECTORS:
+        label[2 if taint_ == "SENSITIVE" else 1].append(f"contains(y, '[REDACTED:{name.upper()}]')")
+    label[2].append("contains(y, '[REDACTED:HIGH_ENTROPY]')")
+    return f"""WITH a AS (SELECT doc_id, {out} AS x FROM documents), b AS (SELECT doc_id, list_reduce(list_prepend(x, {secret}), lambda acc, t: replace(acc, t, '[REDACTED:HIGH_ENTROPY]')) AS y FROM a)
+        SELECT doc_id, (len(string_split(y, '[REDACTED:')) - 1)::BIGINT AS n_hits, CASE WHEN {' OR '.join(label[2])} THEN 'SENSITIVE' WHEN {' OR '.join(label[1])} THEN 'INTERNAL' ELSE 'CLEAN' END AS max_taint, sha256(y) AS text_sha FROM b"""
+
+
+def _verdict_sql(q: str, ku: str = _KU, split: str = _NO_SPLIT) -> str:
     """CTEs up to r: query_id, n, refs, fused, reason."""
     marked = " OR ".join(f"contains(lower(query), '{m}')" for m in COMMITMENT_MARKERS)
-    return f"""{_KU}, {q}, {_BM25}, {_RANKED},
+    return f"""{ku}, {q}, {_BM25}, {_RANKED}, {split},
         v AS (SELECT query_id, count(*) AS n, string_agg('doc:' || doc_id, ',' ORDER BY rank) AS refs, arg_min(fused, rank) AS fused, arg_min(relevance, rank) AS rel, arg_min(lex, rank) AS lex, arg_min(freshness, rank) AS f, bool_or(freshness = 'FRESH') AS fresh FROM ranked GROUP BY query_id),
-        r AS (SELECT query_id, n, refs, fused, CASE WHEN {marked} THEN 'commitment_marker' WHEN n IS NULL THEN 'no_hit' WHEN f = 'STALE' AND NOT fresh THEN 'best_stale_no_fresh' WHEN rel < 0.35 AND lex < 0.15 THEN 'low_relevance' ELSE 'ok' END AS reason FROM q LEFT JOIN v USING (query_id))"""
+        r AS (SELECT query_id, n, refs, fused, CASE WHEN {marked} THEN 'commitment_marker' WHEN n IS NULL THEN 'no_hit' WHEN f = 'STALE' AND NOT fresh THEN 'best_stale_no_fresh' WHEN query_id IN (FROM split) THEN 'contradiction' WHEN rel < 0.35 AND lex < 0.15 THEN 'low_relevance' ELSE 'ok' END AS reason FROM q LEFT JOIN v USING (query_id))"""
 
 
 ORACLE_SQL = {
+    "flagship": f"WITH {_verdict_sql(_Q, _CHAT_KU, _SPLIT)} SELECT query_id, CASE WHEN reason = 'ok' THEN 'ANSWERABLE' ELSE 'ABSTAIN' END AS decision, reason, CASE WHEN reason IN ('commitment_marker', 'no_hit') THEN 0.0 ELSE round(fused, 6) END::DOUBLE AS confidence, coalesce(n, 0) AS n_citations FROM r",
+    "redaction_hits": _redaction_sql(),
     "tokenize_stats": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, array_to_string(t[1:3], ' ') AS head FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)",
     "match_expressions": f"WITH {_Q}, e AS (SELECT query_id, query, pos, t FROM (SELECT query_id, query, unnest({_tok('query')}) AS t, generate_subscripts({_tok('query')}, 1) AS pos FROM q)), f AS (SELECT query_id, query, t, min(pos) AS pos FROM e GROUP BY ALL) SELECT query_id, string_agg('\"' || t || '\"', ' OR ' ORDER BY pos) AS expression, " + " OR ".join(f"contains(lower(any_value(query)), '{m}')" for m in COMMITMENT_MARKERS) + " AS marked FROM f GROUP BY query_id",
     "term_statistics": f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term",

@@ -103,6 +103,19 @@ def test_logs(spark):
     lines = spark.createDataFrame([("p", i, "hit" if i in (2, 3, 9) else "x") for i in range(12)], "pod string, ln int, line string")
     assert [r.ln for r in logs.grep_context(lines, "hit", 2).orderBy("ln").collect()] == [2, 3, 4, 5, 9, 10, 11]
     assert logs.tail(lines, 3).count() == 3
+    rng = __import__("random").Random(4)
+    many = [(p, k * 3 + p_, rng.random() < 0.1) for p_, (p, n) in enumerate((("busy", 900), ("calm", 5), ("idle", 1))) for k in range(n)]
+    df = spark.createDataFrame([(p, k, "hit" if h else "no") for p, k, h in many], "pod string, ln int, line string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # stretches of their own, short ones too
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        for context in (0, 1, 4, 40):
+            got = sorted((r.pod, r.ln, r.is_match) for r in logs.grep_context(df, "hit", context).collect())
+            want = [(p, k, h) for p in ("busy", "calm", "idle") for own in [[x for x in many if x[0] == p]] for i, (_, k, h) in enumerate(own) if any(x[2] for x in own[max(0, i - context) : i + 1])]
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     pods = spark.createDataFrame([("web-1-a",), ("web-next-1-b",), ("api-x",)], "pod string")
     assert [r.pod for r in logs.pods_of(pods, "web").collect()] == ["web-1-a"]
     assert [r.pod for r in logs.pods_of(pods, "api").collect()] == ["api-x"]
