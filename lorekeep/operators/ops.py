@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
+from ..sources.shared import cut
 from .retrieve import drafts, serve
 
 #: Patterns of the shared components, and which files count.
@@ -83,7 +84,7 @@ def acceptance(units: DataFrame, sample: DataFrame, s: dict | None = None) -> Da
     """stratum, n, hits, answered: whether a unit is found by its own symbol (code) or title."""
     code = F.col("source_type") == "CODE"
     asked = sample.select(F.col("ku_id").alias("query_id"), F.when(code, F.coalesce("symbol", "title")).otherwise(F.col("title")).alias("query"), F.when(code, "CODE").otherwise("DOC").alias("stratum")).where(~blank("query"))
-    v = serve(units, asked.select("query_id", "query"), s)
+    v = cut(serve(units, asked.select("query_id", "query"), s))
     hit = F.exists("citations", lambda c: c["ku_id"] == F.col("query_id"))
     would = drafts(v, s).select("query_id", "would_answer")
     judged = v.select("query_id", hit.alias("hit")).join(would, "query_id").join(asked.select("query_id", "stratum"), "query_id")

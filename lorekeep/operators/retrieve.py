@@ -97,9 +97,10 @@ def retrieve(units: DataFrame, queries: DataFrame, s: dict | None = None, extern
         rows = verified(rows, snapshot, code_only=True)
         rows = rows.withColumn("serve_blocked", F.col("serve_blocked") | (F.col("freshness") == "EXPIRED"))
     lex = F.when(F.col("via") == "symbol", 1.0).otherwise(share_found(F.col("qt"), token_set(unit_text())))
-    rows = rows.where(passes_gates(external)).withColumn("lexical_overlap", lex).withColumn("fused", fused(s, F.col("freshness"), F.col("authority"), F.col("relevance")))
+    rows = rows.where(passes_gates(external)).withColumn("fused", fused(s, F.col("freshness"), F.col("authority"), F.col("relevance")))
     order = W.partitionBy("query_id").orderBy(F.col("fused").desc(), (F.col("via") != "symbol").cast("int"), "lex_rank", "ku_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(s["top_n"], 0)).drop("qt", "lex_rank")
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(s["top_n"], 0))
+    return best.withColumn("lexical_overlap", lex).drop("qt", "lex_rank")  # the order does not depend on it, so only the best are read
 
 
 def contradictions(candidates: DataFrame) -> DataFrame:
@@ -124,7 +125,8 @@ def serve(units: DataFrame, queries: DataFrame, s: dict | None = None, external:
     """
     s = settings(s)
     marked = queries.withColumn("marked", has_marker("query", COMMITMENT_MARKERS))
-    found = retrieve(units, marked.where("NOT marked").select("query_id", "query"), s, external, repos, scorer, snapshot, index)
+    # at most top_n rows a query, read for the rows, the contradictions and the citations alike
+    found = cut(retrieve(units, marked.where("NOT marked").select("query_id", "query"), s, external, repos, scorer, snapshot, index))
     flags = found.withColumn("broken", evidence_broken() if "evidence_broken" in found.columns else evidence_broken_plain())
     row = F.struct("rank", "relevance", "lexical_overlap", "fused", "freshness", "broken", F.col("title"), F.col("body"), citation().alias("citation"))
     per = flags.groupBy("query_id").agg(
@@ -162,8 +164,10 @@ def drafts(verdicts: DataFrame, s: dict | None = None) -> DataFrame:
     s = settings(s)
     bodies = F.filter(F.slice("bodies", F.lit(1), F.lit(s["top_n"])), lambda b: F.coalesce(b, F.lit("")) != "")
     text = strip(F.array_join(F.transform(bodies, strip), "\n\n"))
-    corpus = token_set(F.concat_ws(" ", "titles", "bodies"))
-    enough = (text != "") & (coverage(token_set(text), corpus) >= s["coverage_min"])
-    ok = (F.col("decision") == "ANSWERABLE") & F.coalesce(enough, F.lit(False))
+    # columns of their own, so that the token sets are made once
+    made = verdicts.withColumn("__text", text).withColumn("__draft", token_set("__text")).withColumn("__corpus", token_set(F.concat_ws(" ", "titles", "bodies")))
+    enough = (F.col("__text") != "") & (coverage(F.col("__draft"), F.col("__corpus")) >= s["coverage_min"])
+    made = made.withColumn("__ok", (F.col("decision") == "ANSWERABLE") & F.coalesce(enough, F.lit(False)))
+    ok = F.col("__ok")
     why = F.when(ok, F.lit(None).cast("string")).when(F.col("decision") != "ANSWERABLE", F.col("reason")).otherwise("low_coverage")
-    return verdicts.select("query_id", ok.alias("would_answer"), F.when(ok, text).alias("draft_text"), why.alias("abstain_reason"), "citations", F.lit(ANSWER_PREFIX).alias("assistant_prefix"))
+    return made.select("query_id", ok.alias("would_answer"), F.when(ok, F.col("__text")).alias("draft_text"), why.alias("abstain_reason"), "citations", F.lit(ANSWER_PREFIX).alias("assistant_prefix"))
