@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.commands import argv_hash, confirm_token, normalize
+from .store import upsert
 
 STRICTNESS = {"AUTO": 0, "HUMAN_CONFIRM": 1, "DENY": 2}
 
@@ -140,6 +141,14 @@ def route(gated: DataFrame, verified: DataFrame | None = None) -> DataFrame:
     return out.withColumn("status", status).withColumn("folder", F.when(status == "denied", "failed").otherwise("done")).drop("__ok")
 
 
+def record_actions(actions: DataFrame, routed: DataFrame, now: str) -> DataFrame:
+    """The actions table after a batch of routed intents: level, decision and status as of now, created_at as first written.
+    Intents without an id aren't recorded; of several with one id the greatest (status, decision, level) counts."""
+    last = routed.where("action_id IS NOT NULL").groupBy("action_id").agg(F.max(F.struct("status", "decision", "level")).alias("r"))
+    new = last.select("action_id", "r.level", "r.decision", "r.status", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
+    return upsert(actions, new, "action_id")
+
+
 def shim_allows(level: Column, token_ok: Column) -> Column:
     """Only R0 runs without a valid gate token."""
     return (F.coalesce(level, F.lit("")) == "R0") | F.coalesce(token_ok, F.lit(False))

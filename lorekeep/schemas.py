@@ -61,5 +61,6 @@ AUDIT = parse(
     "reason string, detail map<string,string>, pid int"
 )
 EDGE = parse("src_ku string, dst_ku string, rel string")
+ACTION = parse("action_id string, level string, decision string, status string, created_at string, updated_at string")
 CONFIRM = parse("action_id string, argv_norm_sha256 string, issued_at bigint, ttl_seconds int, token string, used boolean")
 ISSUE = parse("number bigint, title string, labels array<struct<name:string>>")

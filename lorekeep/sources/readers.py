@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.text import blank
 from ..operators.code import indexable
 from .shared import cut
 
@@ -70,6 +71,20 @@ def documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFr
     return text.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"), F.length("value").alias("chars")).where(F.length(F.trim("value")) > 0)
 
 
+def fetched_documents(found: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows of ``doc_pages`` with their bodies (nodeId, text): node_id, name, file, create_time, chars, text.
+
+    Rows without an id and blank or missing bodies are skipped; a document that several pages list is one. Without a name
+    the id is the name. The file's name is the name's first 40 characters, other than word characters and hyphens as
+    underscores, and the id's first 8.
+    """
+    listed = found.where(~blank("nodeId")).select("nodeId", F.when(F.col("name") != "", F.col("name")).otherwise(F.col("nodeId")).alias("name"), "createTime").distinct()
+    both = listed.join(bodies.where(~blank("text")).select("nodeId", "text"), "nodeId")
+    stem = F.substring(F.regexp_replace("name", r"(?U)[^\w\-]", "_"), 1, 40)
+    file = F.concat(stem, F.lit("_"), F.substring("nodeId", 1, 8), F.lit(".md"))
+    return both.select(F.col("nodeId").alias("node_id"), "name", file.alias("file"), F.col("createTime").alias("create_time"), F.length("text").alias("chars"), "text")
+
+
 def source_files(spark: SparkSession, folder: str, repo: str, commit: str | None = None) -> DataFrame:
     """Indexable source files of an exported tree: repo, commit_sha, file_path, text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

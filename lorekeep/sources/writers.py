@@ -29,3 +29,9 @@ def write_seen(seen: DataFrame, path: str) -> None:
 
 def write_packages(packages: DataFrame, path: str) -> None:
     packages.write.mode("overwrite").json(path)
+
+
+def write_documents(fetched: DataFrame, path: str) -> None:
+    """Bodies as Parquet, and beside them the manifest, as JSON lines, of what was written."""
+    fetched.write.mode("overwrite").parquet(f"{path}/bodies")
+    fetched.sparkSession.read.parquet(f"{path}/bodies").drop("text").write.mode("overwrite").json(f"{path}/manifest")

@@ -213,3 +213,23 @@ def test_small_decisions(spark):
     rows = spark.createDataFrame([("1", "Web"), ("2", "web"), ("3", "Api")], "id string, name string")
     ask = spark.createDataFrame([("1",), ("API",), ("web",), ("none",)], "query string")
     assert {r.query: (r.id, r.error) for r in validate.resolve_by_name(rows, ask).collect()} == {"1": ("1", None), "API": ("3", None), "web": (None, "ambiguous"), "none": (None, "not_found")}
+
+
+def test_fetched_documents(spark, tmp_path):
+    names = "nodeId string, name string, createTime string"
+    found = spark.createDataFrame([("node-0001-x", "Plan: Q1/Ü", "t1"), ("node-0001-x", "Plan: Q1/Ü", "t1"), ("n2", "", None), ("n3", "blank", "t3"), (None, "no id", "t4"), ("n5", "gone", "t5")], names)
+    bodies = spark.createDataFrame([("node-0001-x", "# A\nb"), ("n2", "two"), ("n3", " \n"), (None, "x")], "nodeId string, text string")
+    rows = readers.fetched_documents(found, bodies)
+    writers.write_documents(rows, str(tmp_path / "docs"))
+    held = spark.read.schema("node_id string, name string, file string, create_time string, chars int").json(str(tmp_path / "docs" / "manifest"))
+    assert sorted(map(tuple, held.collect())) == [("n2", "n2", "n2_n2.md", None, 3), ("node-0001-x", "Plan: Q1/Ü", "Plan__Q1_Ü_node-000.md", "t1", 5)]
+    assert {r.node_id: r.text for r in spark.read.parquet(str(tmp_path / "docs" / "bodies")).collect()} == {"node-0001-x": "# A\nb", "n2": "two"}
+    assert readers.fetched_documents(found.limit(0), bodies).count() == 0
+
+
+def test_actions_table(spark):
+    held = spark.createDataFrame([("a", "R2", "HUMAN_CONFIRM", "draft", "t0", "t0"), ("z", "R0", "AUTO", "execute", "t0", "t0")], schemas.ACTION)
+    batch = spark.createDataFrame([("a", "R2", "HUMAN_CONFIRM", "execute"), ("b", None, "DENY", "denied"), ("b", None, "DENY", "denied"), (None, "R0", "AUTO", "execute")], "action_id string, level string, decision string, status string")
+    got = sorted(map(tuple, policy.record_actions(held, batch, "t1").collect()))
+    assert got == [("a", "R2", "HUMAN_CONFIRM", "execute", "t0", "t1"), ("b", None, "DENY", "denied", "t1", "t1"), ("z", "R0", "AUTO", "execute", "t0", "t0")]
+    assert policy.record_actions(held.limit(0), batch.limit(0), "t1").count() == 0
