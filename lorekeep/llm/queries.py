@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, licenses, media, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import clustering, decontaminate, html_extract, licenses, media, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality_knn": quality.op9_quality_knn,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_dual_tree_lloyd": clustering.op11_dual_tree_lloyd,
 }
 
 ORACLE_SQL = {
     "op1_license_scan": licenses.ORACLE_SQL,
     "op4_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
+    "op11_dual_tree_lloyd": clustering.ORACLE_SQL,
 }
