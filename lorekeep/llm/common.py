@@ -45,15 +45,18 @@ def joined_ascii_words(texts: list[str | None], size: int) -> Iterator[tuple[int
         yield first, b" ".join(parts), starts
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Long rows: a batch is bounded by its bytes, on both sides of the pipe, whatever the number of its rows. The setting is
+    read when the plan runs, so it stays."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str | T.StructType) -> DataFrame:
     """``fn`` takes an iterator of {column: list} and yields the same for ``schema``; values cross in Arrow batches."""
     spec = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    # long texts: a batch is bounded by its bytes, on both sides of the pipe, whatever the number of its rows; the setting
-    # is read when the plan runs, so it stays
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
+    bound_batches(df)
     arrow = to_arrow_schema(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, decontaminate, html_extract, licenses, media, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import clustering, codes, decontaminate, html_extract, language_model, licenses, media, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_knn": quality.op9_quality_knn,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_dual_tree_lloyd": clustering.op11_dual_tree_lloyd,
+    "op12_filtering_codes": codes.op12_filtering_codes,
+    "op13_deleted_interpolation": language_model.op13_deleted_interpolation,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op4_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
     "op11_dual_tree_lloyd": clustering.ORACLE_SQL,
+    "op12_filtering_codes": codes.ORACLE_SQL,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import need
+from .common import bound_batches, need
 
 #: Components, as whole numbers, may be this large at most, so that distances and sums stay exact in 64 bits.
 LIMIT = 1 << 26
@@ -64,6 +64,7 @@ def first_rows(df: DataFrame, order: list[Column], vector: str, count: int, scal
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType) -> DataFrame:
     """``fn`` yields {column: values} for ``schema``."""
     arrow = to_arrow_schema(schema)
+    bound_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(batches):
