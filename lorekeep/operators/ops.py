@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank
 from ..sources.shared import cut
 from .retrieve import drafts, serve
+from .segments import Index
 
 #: Patterns of the shared components, and which files count.
 COMPONENTS = {
@@ -62,10 +63,10 @@ def seen_after(seen: DataFrame, new: DataFrame, notified: bool) -> DataFrame:
     return seen.select("number").union(new.select("number")).distinct() if notified else seen.select("number")
 
 
-def triage(messages: DataFrame, units: DataFrame, s: dict | None = None) -> DataFrame:
+def triage(messages: DataFrame, units: DataFrame, s: dict | None = None, index: Index | DataFrame | None = None) -> DataFrame:
     """A package a message (msg_id, content): decision, reason, the number of citations and up to five titles and bodies."""
     asked = messages.where(~blank("content")).select(F.col("msg_id").alias("query_id"), F.col("content").alias("query"))
-    v = serve(units, asked, s)
+    v = serve(units, asked, s, index=index)
     five = F.slice(F.arrays_zip(F.coalesce("titles", F.array().cast("array<string>")).alias("title"), F.coalesce("bodies", F.array().cast("array<string>")).alias("body")), 1, 5)
     return v.select(F.col("query_id").alias("msg_id"), F.col("query").alias("message"), "decision", "reason", F.size("citations").alias("n_citations"), five.alias("kus"))
 
@@ -80,11 +81,11 @@ def sample_units(units: DataFrame, n: int = 80, seed: int = 42) -> DataFrame:
     return units.orderBy(F.xxhash64("ku_id", F.lit(seed)), "ku_id").limit(n)
 
 
-def acceptance(units: DataFrame, sample: DataFrame, s: dict | None = None) -> DataFrame:
+def acceptance(units: DataFrame, sample: DataFrame, s: dict | None = None, index: Index | DataFrame | None = None) -> DataFrame:
     """stratum, n, hits, answered: whether a unit is found by its own symbol (code) or title."""
     code = F.col("source_type") == "CODE"
     asked = sample.select(F.col("ku_id").alias("query_id"), F.when(code, F.coalesce("symbol", "title")).otherwise(F.col("title")).alias("query"), F.when(code, "CODE").otherwise("DOC").alias("stratum")).where(~blank("query"))
-    v = cut(serve(units, asked.select("query_id", "query"), s))
+    v = cut(serve(units, asked.select("query_id", "query"), s, index=index))
     hit = F.exists("citations", lambda c: c["ku_id"] == F.col("query_id"))
     would = drafts(v, s).select("query_id", "would_answer")
     judged = v.select("query_id", hit.alias("hit")).join(would, "query_id").join(asked.select("query_id", "stratum"), "query_id")

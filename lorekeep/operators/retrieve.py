@@ -11,6 +11,7 @@ from ..functions.taint import external_safe
 from ..functions.text import answer_hash, coverage, has_marker, question_fingerprint, share_found, strip, token_set, tokens
 from ..sources.shared import cut
 from .index import bm25, jaccard_hits, lexical_index, query_terms, small, unit_text
+from .segments import Index, bm25_best
 
 
 def lookup(label: Column, table: dict[str, float], default: float) -> Column:
@@ -48,15 +49,19 @@ def symbol_search(units: DataFrame, symbol: str, repo: str | None = None, file_p
     return out.select("ku_id", "repo", "file_path", "symbol").distinct()
 
 
-def lexical_hits(units: DataFrame, queries: DataFrame, top_n: int, scorer: str = "bm25", index: DataFrame | None = None) -> DataFrame:
+def lexical_hits(units: DataFrame, queries: DataFrame, top_n: int, scorer: str = "bm25", index: Index | DataFrame | None = None) -> DataFrame:
     """query_id, ku_id, relevance, lex_rank.
 
     bm25: the best max(4 top_n, 20) by score (ties by ku_id), scaled by min-max; the window's limit is applied per task
-    before the shuffle. jaccard: every unit with a shared term. ``index``: a stored lexical index; without one, the units'
-    tokens are made once, for the terms asked for, and kept in the shared folder while the ranking reads them.
+    before the shuffle. jaccard: every unit with a shared term. ``index``: a stored index, of segments (then most postings stay
+    closed) or a table of ``lexical_index``; without one, the units' tokens are made once, for the terms asked for, and kept in
+    the shared folder while the ranking reads them. Parts of the ranking run while this is called.
     """
     if scorer == "jaccard":
         return jaccard_hits(units, queries).withColumn("lex_rank", F.lit(0))
+    if isinstance(index, Index):
+        top = bm25_best(index, queries, max(4 * top_n, 20))
+        return top.select("query_id", "ku_id", minmax(-F.col("score"), "query_id").alias("relevance"), "lex_rank")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "ku_id"))
     terms = query_terms(queries)
     few = small(terms)
@@ -77,7 +82,7 @@ def evidence_broken() -> Column:
     return F.coalesce("evidence_broken", F.lit(False)) | (F.coalesce(F.size("provenance"), F.lit(0)) <= 0) | ~F.coalesce(first, F.lit(True))
 
 
-def retrieve(units: DataFrame, queries: DataFrame, s: dict | None = None, external: bool = False, repos: list[str] | None = None, scorer: str = "bm25", snapshot: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+def retrieve(units: DataFrame, queries: DataFrame, s: dict | None = None, external: bool = False, repos: list[str] | None = None, scorer: str = "bm25", snapshot: DataFrame | None = None, index: Index | DataFrame | None = None) -> DataFrame:
     """Ranked candidates: query_id, rank, ku_id, via, relevance, lexical_overlap, fused and the unit's columns.
 
     Symbol hits come first and win over lexical ones of the same unit; gates run after the lexical top-k, so what
@@ -117,7 +122,7 @@ def citation() -> Column:
     return F.struct("ku_id", "source_type", "authority", "freshness", F.coalesce(first["kind"], F.lit("")).alias("prov_kind"), F.coalesce(first["ref"], F.lit("")).alias("prov_ref"), F.col("fused").alias("score"))
 
 
-def serve(units: DataFrame, queries: DataFrame, s: dict | None = None, external: bool = False, repos: list[str] | None = None, scorer: str = "bm25", snapshot: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+def serve(units: DataFrame, queries: DataFrame, s: dict | None = None, external: bool = False, repos: list[str] | None = None, scorer: str = "bm25", snapshot: DataFrame | None = None, index: Index | DataFrame | None = None) -> DataFrame:
     """One verdict a query: query_id, query, decision, reason, confidence, citations, titles, bodies (of the cited units).
 
     Reasons in order: commitment_marker (such queries never reach the index), no_hit, all_draft, all_expired,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import sha1
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import unit_id
-from ..operators import ingest, retrieve, store
-from ..sources.shared import cut
+from ..operators import ingest, retrieve, segments, store
+from ..sources.shared import cut, shared_dir
 from ..sources.tables import table
 
 NOW = "2024-01-01T00:00:00Z"
@@ -32,6 +34,21 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> segments.Index:
+    """The documents' stored lexical index. The first query of an application that asks for it writes it to the shared folder;
+    the later ones, and those in other sessions of the application, read it. Documents that have changed get another one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    of = (sf_dir, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
+    name = sha1(repr(of).encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/lexical-{spark.sparkContext.applicationId}-{name}"
+    try:
+        return segments.open_index(spark, path)
+    except FileNotFoundError:
+        segments.write_index(document_units(spark, sf_dir).select("ku_id", "title", "symbol", "body"), path)
+        return segments.open_index(spark, path)
+
+
 def chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as threads; the assistant is me."""
     c = table(spark, sf_dir, "conversations")

@@ -9,7 +9,8 @@ from .enums import COMMITMENT_MARKERS
 from .functions import redaction, taint, text
 from .functions.commands import argv_hash, normalize
 from .operators import freshness, index, ingest, logs, ops, policy, retrieve, store, validate
-from .plans.knowledge import answered_questions, benchmark_queries, chat_threads, document_units, table
+from .operators.segments import jaccard_best
+from .plans.knowledge import answered_questions, benchmark_queries, chat_threads, document_index, document_units, table
 from .plans import records
 from .policy_data import default_policy
 
@@ -76,30 +77,27 @@ def term_statistics(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    hits = retrieve.lexical_hits(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir), 5)
+    hits = retrieve.lexical_hits(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir), 5, index=document_index(spark, sf_dir))
     return hits.select("query_id", "ku_id", F.col("lex_rank").cast("long").alias("lex_rank"), F.round("relevance", 6).alias("relevance"))
 
 
 def jaccard_topk(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    hits = retrieve.lexical_hits(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir), 5, "jaccard").withColumn("relevance", F.round("relevance", 9))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("relevance").desc(), "ku_id"))
-    return hits.withColumn("rank", rank.cast("long")).where("rank <= 20").select("query_id", "ku_id", "rank", "relevance")
+    best = jaccard_best(document_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 20)
+    return best.select("query_id", "ku_id", F.col("rank").cast("long").alias("rank"), F.round("relevance", 9).alias("relevance"))
 
 
 def ranked_evidence(spark, sf_dir):
-    r = retrieve.retrieve(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    r = retrieve.retrieve(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir), index=document_index(spark, sf_dir))
     return r.select("query_id", F.col("rank").cast("long").alias("rank"), "ku_id", F.round("fused", 6).alias("fused"), F.round("lexical_overlap", 6).alias("lexical_overlap"))
 
 
 def verdicts(spark, sf_dir):
-    v = retrieve.serve(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    v = retrieve.serve(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir), index=document_index(spark, sf_dir))
     return v.select("query_id", "decision", "reason", F.round("confidence", 6).alias("confidence"), F.size("citations").cast("long").alias("n_citations"), F.array_join(F.transform("citations", lambda c: c["prov_ref"]), ",").alias("refs"))
 
 
 def draft_previews(spark, sf_dir):
-    d = retrieve.drafts(retrieve.serve(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir)))
+    d = retrieve.drafts(retrieve.serve(document_units(spark, sf_dir), benchmark_queries(spark, sf_dir), index=document_index(spark, sf_dir)))
     return d.select("query_id", "would_answer", F.coalesce(F.sha2("draft_text", 256), F.lit("")).alias("draft_sha"), F.coalesce("abstain_reason", F.lit("")).alias("abstain_reason"))
 
 
@@ -271,12 +269,12 @@ def numbered_references(spark, sf_dir):
 
 def acceptance_measures(spark, sf_dir):
     u = document_units(spark, sf_dir)
-    return ops.acceptance(u, u.where("doc_id % 50 = 0"))
+    return ops.acceptance(u, u.where("doc_id % 50 = 0"), index=document_index(spark, sf_dir))
 
 
 def triage_packages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id % 50 = 0").select(F.concat("conv_id", F.lit("/"), "turn").alias("msg_id"), F.col("text").alias("content"))
-    t = ops.triage(c, document_units(spark, sf_dir))
+    t = ops.triage(c, document_units(spark, sf_dir), index=document_index(spark, sf_dir))
     return t.select("msg_id", "decision", "reason", F.col("n_citations").cast("long").alias("n_citations"), F.size("kus").cast("long").alias("n_kus"))
 
 
