@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
 from ..operators.policy import gate, route
@@ -23,23 +27,59 @@ def judged(intents: DataFrame, policy: dict, binary: str, kill_switch: bool = Fa
     return out.withColumn("status", F.when(bad, "invalid").otherwise(F.col("status"))).withColumn("folder", F.when(bad, "failed").otherwise(F.col("folder"))).withColumn("failure_reason", why)
 
 
-def inbox_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(schemas.INTENT).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+def inbox_stream(spark: SparkSession, folder: str, files_a_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schemas.INTENT).option("multiLine", True).option("pathGlobFilter", "*.json")
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(folder)
+
+
+#: A stream's settings, which it takes over as it starts. The store keeps states on disk, so handled ids don't have to fit into
+#: memory; states expire with the next batch that has data, not in batches of their own, which would have no end.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def first_seen(intents: DataFrame, keep_ms: int) -> DataFrame:
+    """Of a stream's intents those whose id hasn't been handled in the last ``keep_ms``: of one batch's with an id the one that
+    was created first, of equal times the least as text. A state per id; it expires, so states don't grow for ever."""
+    flat = intents.select(F.coalesce("action_id", F.lit("")).alias("id"), F.coalesce("created_at", F.lit("")).alias("at"), F.to_json(F.struct(*intents.columns)).alias("intent"))
+
+    def pick(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        least = min((row for part in parts for row in zip(part["at"], part["intent"], strict=True)), default=None)
+        known = state.exists
+        state.update((True,))
+        state.setTimeoutDuration(keep_ms)
+        if not known and least is not None:
+            yield pd.DataFrame({"intent": [least[1]]})
+
+    out = flat.groupBy("id").applyInPandasWithState(pick, "intent string", "handled boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return out.select(F.from_json("intent", intents.schema).alias("i")).select("i.*")
 
 
-def run_inbox(spark: SparkSession, folder: str, out: str, checkpoint: str, policy: dict, binary: str, kill_switch: bool = False, poll: str | None = None) -> StreamingQuery:
+def run_inbox(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, policy: dict, binary: str, kill_switch: bool = False, poll: str | None = None, keep_days: float = 30, files_a_batch: int | None = None
+) -> StreamingQuery:
     """Writes judged intents as Parquet by folder (done, failed). Without ``poll`` it handles what is there and ends.
 
     A batch that is run again after a failure overwrites its own folder, so every intent is written once. An action id that
-    an earlier batch has handled is not handled again.
+    has been handled in the last ``keep_days`` is not handled again, also after a restart, as the states lie with the
+    checkpoint; repeating an id keeps its state alive. A batch reads its own files and its ids' states only.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            earlier = spark.read.schema("action_id string, batch long").parquet(out).where(F.col("batch") < number)
-            batch = batch.join(earlier.select("action_id").distinct(), "action_id", "left_anti").select(*batch.columns)
         judged(batch, policy, binary, kill_switch).write.mode("overwrite").partitionBy("folder").parquet(f"{out}/batch={number}")
 
-    writer = inbox_stream(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        fresh = first_seen(inbox_stream(spark, folder, files_a_batch), round(keep_days * 86_400_000))
+        writer = fresh.writeStream.outputMode("append").foreachBatch(handle).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
