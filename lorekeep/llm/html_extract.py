@@ -65,18 +65,43 @@ class Block:
         self.text, self.linked, self.tags, self.names, self.own, self.main = text, linked, tags, names, own, main
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order."""
+class Open:
+    """The open elements (tag, ancestors' tags, ancestors' names, label, inside a link), and for every tag and for blocks the
+    places where they are open, so that no end tag is searched for."""
+
+    def __init__(self):
+        self.stack = [("", frozenset(), frozenset(), -1, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, element: tuple) -> None:
+        self.places.setdefault(element[0], []).append(len(self.stack))
+        if element[0] not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.places[self.stack.pop()[0]].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """Place of the innermost open one of ``tags``; 0 if none is."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
+def blocks(page: str | None, tags: frozenset | None = None, names: frozenset | None = None) -> list[Block]:
+    """Leaf blocks in page order. Of their ancestors' tags and names only those in ``tags`` and ``names`` are carried along (all
+    without them), so that what a block carries is bounded by what a model knows."""
     out: list[Block] = []
-    # open elements: tag, ancestors' tags, ancestors' names, label, inside a link
-    root = ("", frozenset(), frozenset(), -1, False)
-    stack, parts, linked = [root], [], 0
+    now, parts, linked = Open(), [], 0
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                own = next((s for s in reversed(stack) if s[0] not in _INLINE), root)
+                own = now.stack[now.blocks[-1]]
                 out.append(Block(text, min(linked, len(text)), own[1], own[2], own[0], own[3]))
             parts, linked = [], 0
 
@@ -86,7 +111,7 @@ def blocks(page: str | None) -> list[Block]:
             if "&" in text:
                 text = _html.unescape(text)
             parts.append(text)
-            if stack[-1][4]:
+            if now.stack[-1][4]:
                 linked += len(text)
             continue
         tag = m["tag"]
@@ -99,38 +124,35 @@ def blocks(page: str | None) -> list[Block]:
         if block:
             close()
         if m["end"]:
-            kept = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag or tag in _HEADINGS and stack[k][0] in _HEADINGS), 0)
+            kept = now.last(_HEADINGS if tag in _HEADINGS else (tag,))
             # an inline end tag never closes a block
-            if kept and (block or all(s[0] in _INLINE for s in stack[kept:])):
-                del stack[kept:]
+            if kept and (block or now.blocks[-1] < kept):
+                now.cut(kept)
             continue
         if tag in _VOID:
             if not block and tag != "wbr":
                 parts.append(" ")
             continue
         if block:
-            while len(stack) > 1 and stack[-1][0] in _INLINE:  # a block ends unclosed inline elements
-                stack.pop()
-            if stack[-1][0] == "p":
-                stack.pop()
+            now.cut(now.blocks[-1] + 1)  # a block ends unclosed inline elements
+            if now.stack[-1][0] == "p":
+                now.cut(len(now.stack) - 1)
             if tag in _CLOSES:
                 ends, limit = _CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in limit:
-                        break
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
-        attr, top = m["attr"], stack[-1]
-        names, main = top[2], top[3]
+                if (k := now.last(ends)) > now.last(limit):
+                    now.cut(k)
+        attr, top = m["attr"], now.stack[-1]
+        own_names, main = top[2], top[3]
         if attr and block:
-            if got := [w for a in _ATTR.finditer(attr) for w in _NAMES.findall(a[2].lower())]:
-                names = names | frozenset(got)
+            got = {w for a in _ATTR.finditer(attr) for w in _NAMES.findall(a[2].lower()) if names is None or w in names}
+            if not got <= own_names:
+                own_names = own_names | got
             if lab := _MAIN.search(attr):
                 main = int(lab[1])
         if attr.endswith("/") and not block:
             continue
-        stack.append((tag, top[1] | {tag} if block else top[1], names, main, top[4] or tag == "a"))
+        new = block and tag not in top[1] and (tags is None or tag in tags)
+        now.push((tag, top[1] | {tag} if new else top[1], own_names, main, top[4] or tag == "a"))
     close()
     return out
 
@@ -227,8 +249,13 @@ def decode(found: list[Block], weights: dict[str, float], tr: np.ndarray) -> lis
     return out[::-1]
 
 
-def main_text(page: str | None, model: tuple[dict[str, float], np.ndarray]) -> str:
-    found = blocks(page)
+def known(weights: dict[str, float]) -> tuple[frozenset, frozenset]:
+    """Tags and names that the weights tell apart."""
+    return tuple(frozenset(x[len(kind) :] for x in weights if x.startswith(kind)) for kind in ("in:", "name:"))
+
+
+def main_text(page: str | None, model: tuple[dict[str, float], np.ndarray], names: tuple[frozenset, frozenset] | None = None) -> str:
+    found = blocks(page, *(names or known(model[0])))
     return " ".join(b.text for b, y in zip(found, decode(found, *model)) if y)
 
 
@@ -245,8 +272,9 @@ def extract(df: DataFrame, model: tuple[dict[str, float], np.ndarray] | None = N
     shared = df.sparkSession.sparkContext.broadcast(model or default_model())  # a few hundred weights
 
     def run(batches):
+        names = known(shared.value[0])
         for b in batches:
-            texts = [main_text(h, shared.value) for h in b[html]]
+            texts = [main_text(h, shared.value, names) for h in b[html]]
             yield {"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     kind = df.schema["page_id"].dataType.simpleString()

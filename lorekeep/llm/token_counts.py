@@ -6,7 +6,7 @@ best pair is popped and merged until none is left. Count = initial symbols minus
 character that the vocabulary lacks and that took part in no merge counts as its UTF-8 bytes.
 
 Null and empty texts have 0 tokens; ties of rank go to the leftmost pair; repeated rows and very long texts are counted
-like any others (memory is bounded by one text and a cache of ``CACHE`` chunks); extra columns are ignored.
+like any others (memory is bounded by one text and a cache of ``CACHE`` chunks of at most ``LONGEST`` characters); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, need, table
 
-CACHE = 1 << 19
+#: Chunks of up to LONGEST characters that are kept with their count, and how many.
+CACHE, LONGEST = 1 << 18, 40
 LIMIT = 4096
 
 
@@ -75,6 +76,8 @@ class _Counts(dict):
 
     def __missing__(self, chunk: str) -> int:
         n = merge_count(chunk.replace(" ", "▁"), self.rank)
+        if len(chunk) > LONGEST:
+            return n
         if len(self) >= CACHE:
             self.clear()
         self[chunk] = n
