@@ -43,8 +43,8 @@ RANK, EXTRA = 48, 8
 PASSAGE, STRIDE = 40, 4
 COSINE, OVERLAP = 0.6, 0.5
 LCS, LCS_LOW, ANSWER, ANSWER_MOST = 0.75, 0.5, 4, 8
-#: Items and words of a block, terms of a vocabulary, and latent features.
-BLOCK, WORDS = 2000, 100_000
+#: Items and words of a block, blocks that one pass over the texts looks for, terms of a vocabulary, and latent features.
+BLOCK, WORDS, PASS = 2000, 100_000, 16
 TERMS, FEATURES = 1 << 21, 1 << 16
 PIECE = 1 << 15
 #: Fixed point of the term weights, and the most numbers (windows by items) that are held at once.
@@ -152,6 +152,7 @@ class Items(Vocabulary):
     """A block of benchmark items with their terms."""
 
     def __init__(self, rows: list[tuple[int, str]]):
+        self.rows = rows  # plain, so that a block can be sent where this package isn't installed
         rows = [(i, t, w) for i, t in rows if (w := words(t))]
         self.ids = [i for i, _, _ in rows]
         self.words = [w for _, _, w in rows]
@@ -167,10 +168,10 @@ class Items(Vocabulary):
 
 def inverse_frequencies(docs: DataFrame, terms: Vocabulary) -> np.ndarray:
     """ln(1 + documents / documents with the term), per term and a 0 for other words. One pass, pre-aggregated by task."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms.hashes)
 
     def run(batches):
-        terms, n, hasher = shared.value, 0, WordHashes()
+        terms, n, hasher = Vocabulary(shared.value), 0, WordHashes()
         v = len(terms)
         seen, many = np.zeros(v + 1, np.int64), max(1, min(500, (1 << 22) // (v + 1)))
         for b in batches:
@@ -200,10 +201,11 @@ def latent_rows(docs: DataFrame, terms: Vocabulary, idf: np.ndarray, seed: int =
     v = min(len(terms), FEATURES)
     width = min(RANK + EXTRA, v)
     g = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0]
-    shared = docs.sparkSession.sparkContext.broadcast((terms, idf.astype(np.float32), g.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((terms.hashes, idf.astype(np.float32), g.astype(np.float32)))
 
     def run(batches):
-        terms, idf, g = shared.value
+        hashes, idf, g = shared.value
+        terms = Vocabulary(hashes)
         own = len(terms) <= len(g)  # then a feature's weight is one term's, and can be applied to the sums
         weighed = idf[:-1, None] * g if own else None
         z = np.zeros(g.shape)
@@ -448,16 +450,18 @@ def leaks(df: DataFrame, benchmark: DataFrame, carry: list[str], block: int = BL
             continue
         idf = inverse_frequencies(df, terms)
         lead = latent_rows(df, terms, idf)
-        for items in itertools.islice(blocks, count):
-            if not items.words:
-                continue
-            shared = sc.broadcast((items, *of_block(items, terms, idf, lead)))
+        own = (items for items in itertools.islice(blocks, count) if items.words)
+        while group := [(items.rows, *of_block(items, terms, idf, lead)) for items in itertools.islice(own, PASS)]:
+            shared = sc.broadcast(group)
 
             def run(batches, shared=shared):
-                search = Search(*shared.value)
+                searches = [Search(Items(rows), idf, lead) for rows, idf, lead in shared.value]
                 for b in batches:
-                    now = [[dict(zip(("item", "lcs", "cosine"), x)) for x in f] for f in search.leaks(b["text"])]
-                    yield b | {"found": [a + n for a, n in zip(b["found"], now)]}
+                    found = b["found"]
+                    for search in searches:
+                        now = [[dict(zip(("item", "lcs", "cosine"), x)) for x in f] for f in search.leaks(b["text"])]
+                        found = [a + n for a, n in zip(found, now)]
+                    yield b | {"found": found}
 
             out = map_batches(out, run, spec)
     return out

@@ -4,7 +4,8 @@ A page is walked once into leaf blocks: runs of text between block-level tags, e
 features are its ancestors' tags and the words of their class, id and role, its own tag, and its text's length, share of
 linked text, punctuation and place. The field has two labels (main text or not) with a weight per feature and label pair
 of neighbours; it is trained by maximum likelihood (forward-backward, Adam, L2) on labelled pages, drawn by a seeded
-grammar of layouts, and decoded by Viterbi. Page titles, scripts, styles, comments of markup, frames, buttons, choices, text
+grammar of layouts, and decoded by Viterbi. A page on which it finds nothing, as its layout's names say nothing, is decoded
+by a second field, of the text's own features, trained on the same pages. Page titles, scripts, styles, comments of markup, frames, buttons, choices, text
 fields and inert templates hold no text. Formulas, words in drawings and the fallback of embedded media are text of their line.
 
 Text: character references decoded (a reference cut off by the end of the page stays as it is), white space inside a
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_batches, need, table
 
 TRAIN_PAGES = 600
+PROSE = 20
 EPOCHS = 150
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
@@ -35,6 +37,8 @@ _INLINE |= frozenset("math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub ms
 # fallback text of embedded media, and words in drawings, stand where they are
 _INLINE |= frozenset("svg g path circle ellipse rect line polyline polygon text tspan textpath defs use symbol desc marker lineargradient radialgradient stop clippath mask pattern filter foreignobject object canvas audio video picture noscript button option optgroup".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Parts that pages of any layout call by these tags.
+_PARTS = frozenset(("nav", "header", "footer", "aside", "form", "dialog"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Tags that an opening tag closes first, as far up as the given limit tags.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
@@ -178,9 +182,17 @@ def block_features(found: list[Block]) -> list[list[str]]:
     return out
 
 
-def train(pages: list[str], epochs: int = EPOCHS, decay: float = 1e-3) -> tuple[dict[str, float], np.ndarray]:
+def text_features(found: list[Block]) -> list[list[str]]:
+    """Of those features the ones that need no known layout: of the text itself and of parts that are named alike everywhere;
+    and the block's share of the page's text."""
+    total = sum(len(b.text) for b in found)
+    kept = lambda x: not x.startswith(("name:", "own:", "place:", "commas:")) and (not x.startswith("in:") or x[3:] in _PARTS)
+    return [[*filter(kept, f), "share:%d" % (5 * len(b.text) // total)] for f, b in zip(block_features(found), found, strict=True)]
+
+
+def train(pages: list[str], epochs: int = EPOCHS, decay: float = 1e-3, features=block_features) -> tuple[dict[str, float], np.ndarray]:
     """Weights of the features (for main against not) and the 2 x 2 transition weights."""
-    chains = [(block_features(b), [max(0, x.main) for x in b]) for p in pages if (b := blocks(p))]
+    chains = [(features(b), [max(0, x.main) for x in b]) for p in pages if (b := blocks(p))]
     names: dict[str, int] = {}
     for fs, _ in chains:
         for f in fs:
@@ -223,7 +235,7 @@ def train(pages: list[str], epochs: int = EPOCHS, decay: float = 1e-3) -> tuple[
     return {x: float(w[k]) for x, k in names.items()}, tr
 
 
-def decode(found: list[Block], weights: dict[str, float], tr: np.ndarray) -> list[int]:
+def decode(found: list[Block], weights: dict[str, float], tr: np.ndarray, features=block_features) -> list[int]:
     """Labels by Viterbi; ties go to not main."""
     if not found:
         return []
@@ -231,7 +243,7 @@ def decode(found: list[Block], weights: dict[str, float], tr: np.ndarray) -> lis
     get = weights.get
     a = b = 0.0
     back = []
-    for k, f in enumerate(block_features(found)):
+    for k, f in enumerate(features(found)):
         s = 0.0
         for x in f:
             s += get(x, 0.0)
@@ -254,9 +266,18 @@ def known(weights: dict[str, float]) -> tuple[frozenset, frozenset]:
     return tuple(frozenset(x[len(kind) :] for x in weights if x.startswith(kind)) for kind in ("in:", "name:"))
 
 
-def main_text(page: str | None, model: tuple[dict[str, float], np.ndarray], names: tuple[frozenset, frozenset] | None = None) -> str:
+def main_text(page: str | None, model: tuple[dict[str, float], np.ndarray], names: tuple[frozenset, frozenset] | None = None, plain: tuple[dict[str, float], np.ndarray] | None = None) -> str:
+    """Where the field finds nothing, one of the text's own features (``plain``) is asked, and then the block that holds most of
+    the page's unlinked text is taken, if it has PROSE words."""
     found = blocks(page, *(names or known(model[0])))
-    return " ".join(b.text for b, y in zip(found, decode(found, *model)) if y)
+    labels = decode(found, *model)
+    if plain and not any(labels):
+        labels = decode(found, *plain, text_features)
+        if not any(labels) and found:
+            most = max(range(len(found)), key=lambda k: len(found[k].text) - found[k].linked)
+            if found[most].text.count(" ") + 1 >= PROSE and 2 * found[most].linked < len(found[most].text):
+                labels[most] = 1
+    return " ".join(b.text for b, y in zip(found, labels) if y)
 
 
 @lru_cache(maxsize=2)
@@ -267,14 +288,23 @@ def default_model(pages: int = TRAIN_PAGES) -> tuple[dict[str, float], np.ndarra
     return train([page(k) for k in range(pages)])
 
 
+@lru_cache(maxsize=2)
+def plain_model(pages: int = TRAIN_PAGES) -> tuple[dict[str, float], np.ndarray]:
+    """The field for pages on which the other finds nothing."""
+    from .labelled_pages import page
+
+    return train([page(k) for k in range(pages)], features=text_features)
+
+
 def extract(df: DataFrame, model: tuple[dict[str, float], np.ndarray] | None = None, html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model or default_model())  # a few hundred weights
+    shared = df.sparkSession.sparkContext.broadcast((model or default_model(), plain_model()))  # a few hundred weights
 
     def run(batches):
-        names = known(shared.value[0])
+        model, plain = shared.value
+        names = known(model[0])
         for b in batches:
-            texts = [main_text(h, shared.value, names) for h in b[html]]
+            texts = [main_text(h, model, names, plain) for h in b[html]]
             yield {"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     kind = df.schema["page_id"].dataType.simpleString()
