@@ -28,10 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder.
 
-    The shuffle files behind it are removed with the end of this one execution, as nothing reads them any more.
+    The shuffle files behind it are removed with the end of this one execution, as nothing reads them any more. The rows'
+    own files are removed when no plan refers to them any more and the driver collects its garbage, or, where the application
+    ends before that, stay in its folder: each application checkpoints in one of its own.
     """
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     shared_dir(spark)
+    spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # read at each checkpoint
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
