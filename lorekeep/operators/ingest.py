@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,8 +22,14 @@ def build_units(candidates: DataFrame, now: str, default_taint: str = "INTERNAL"
     """Valid candidates -> units: redacted, labelled by the strictest of declared, found and quoted, always a DRAFT.
 
     ``now`` is the clock (RFC 3339 text). Structural columns stay for CODE only; titles, kinds and refs aren't redacted.
-    Adds ``redaction_fired`` and keeps ``linked_symbols`` for edges.
+    Adds ``redaction_fired`` and keeps ``linked_symbols`` for edges. Candidates that redaction fails on give no unit
+    (``ingest_once`` reports them).
     """
+    return _built(candidates, now, default_taint).where("build_error IS NULL").drop("build_error")
+
+
+def _built(candidates: DataFrame, now: str, default_taint: str, *more: str) -> DataFrame:
+    """The units with ``build_error``, and the candidates' columns ``more``."""
     code = F.col("st") == "CODE"
     only = lambda c: F.when(code, F.col(c))
     df = candidates.withColumn("st", F.upper("source_type")).withColumn("usable", usable_provenance(F.col("provenance")))
@@ -52,6 +58,7 @@ def build_units(candidates: DataFrame, now: str, default_taint: str = "INTERNAL"
         only("content_hash").alias("content_hash"), "owner", F.lit(True).alias("serve_blocked"), F.lit(False).alias("derived_stale"),
         none.alias("expires_at"), none.alias("superseded_by"), none.alias("last_verified_at"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
         ((F.size("rb.hits") > 0) | F.coalesce("quote_fired", F.lit(False))).alias("redaction_fired"), "linked_symbols",
+        F.coalesce(F.col("rb.error"), F.get(F.array_compact(F.transform("rq", lambda r: r["error"])), F.lit(0))).alias("build_error"), *more,
     )
 
 
@@ -61,6 +68,37 @@ def ingest(candidates: DataFrame, now: str, default_taint: str = "INTERNAL") ->
     return build_units(tagged.where("drop_reason = 'ok'"), now, default_taint), drop_report(tagged)
 
 
+#: What an ingestion counts, in the order of the checks.
+REASONS = ("bad_source_type", "empty_title", "empty_body", "no_provenance", "build_error", "ok")
+
+
+def ingest_once(candidates: DataFrame, now: str, default_taint: str = "INTERNAL") -> tuple[DataFrame, Observation]:
+    """(rows, counts): every candidate in one pass over the source, with ``drop_reason`` and ``drop_note`` behind the units' columns.
+
+    Rows whose reason is 'ok' are units; the others have a null ku_id and the title's first 120 characters. A candidate on which
+    redaction fails is a build_error, noted with the error's name, and the rest of its batch goes on. ``counts.get`` has n of
+    each of REASONS and ``redacted``, once an action has run over the rows (a write, say); rows of which only a part is asked
+    for are counted in part.
+    """
+    tagged = drop_reason(candidates.withColumn("__title", F.col("title")))
+    ok = F.col("drop_reason") == "ok"
+    # what is dropped brings no text to the Python workers
+    fed = tagged.withColumn("body", F.when(ok, F.col("body"))).withColumn("provenance", F.when(ok, F.col("provenance")))
+    built = _built(fed, now, default_taint, "drop_reason", "__title")
+    reason = F.when(F.col("drop_reason") != "ok", F.col("drop_reason")).when(F.col("build_error").isNotNull(), "build_error").otherwise("ok")
+    rows = built.withColumn("drop_reason", reason).withColumn("drop_note", F.col("build_error"))
+    good = F.col("drop_reason") == "ok"
+    keep = [c for c in rows.columns if c not in ("build_error", "__title", "drop_reason", "drop_note")]
+    rows = rows.select(*[F.when(good, F.col(c)).otherwise(F.substring("__title", 1, 120) if c == "title" else F.lit(None)).alias(c) for c in keep], "drop_reason", "drop_note")
+    counts = Observation()
+    return rows.observe(counts, *[F.count_if(F.col("drop_reason") == r).alias(r) for r in REASONS], F.count_if(F.col("redaction_fired")).alias("redacted")), counts
+
+
+def ingest_report(counts: dict) -> list[tuple[str, int]]:
+    """(drop_reason, n) of what has been counted, without zeros."""
+    return [(r, counts[r]) for r in REASONS if counts[r]]
+
+
 def linked_edges(units: DataFrame, code: DataFrame) -> DataFrame:
     """Edges from issues and questions to the code units that their linked symbols name."""
     links = units.where("source_type IN ('ISSUE','QA')").select("ku_id", "source_type", F.explode("linked_symbols").alias("l"))
