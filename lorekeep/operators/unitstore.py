@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import cut
 from ..sources.versions import Folder
 from .store import inventory, upsert
 
@@ -42,6 +43,7 @@ class UnitStore:
     def upsert(self, batch: DataFrame, order: str | None = None, keep: tuple[str, ...] = ("created_at",)) -> dict:
         """``store.upsert`` in the buckets of the batch's ids."""
         s = self.folder.state()
+        batch = cut(batch)  # what it is made from is read once: its buckets, its rows
         touched = sorted(r[0] for r in batch.select(self._bucket(s["buckets"])).distinct().collect())
         if not touched:
             return s

@@ -11,7 +11,7 @@ from .functions.commands import argv_hash, normalize
 from .operators import freshness, index, ingest, logs, ops, policy, retrieve, store, validate
 from .operators.segments import jaccard_best
 from .plans.knowledge import answered_questions, benchmark_queries, chat_threads, document_index, document_units, table
-from .plans import records
+from .plans import landed, records  # noqa: F401  landed adds to the records' queries
 from .policy_data import default_policy
 
 BINARY = "cli"

@@ -104,9 +104,9 @@ def audit(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
     return df.where(F.col("ts").startswith(date)) if date else df
 
 
-def inbox(spark: SparkSession, folder: str) -> DataFrame:
+def inbox(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """Intents in order of creation, then file name."""
-    df = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").schema(schemas.INTENT).json(folder)
+    df = spark.read.option("multiLine", True).option("pathGlobFilter", pattern).schema(schemas.INTENT).json(folder)
     return df.withColumn("file", F.col("_metadata.file_name")).orderBy("created_at", "file")
 
 

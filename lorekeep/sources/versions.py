@@ -53,6 +53,17 @@ class Folder:
         """Name of a folder that nobody has written yet."""
         return f"{kind}-{uuid.uuid4().hex[:12]}"
 
+    def remove(self) -> None:
+        self._fs.delete(self._at(""), True)
+
+    def move(self, to: str, ending: str, by: str, name: str | None = None) -> None:
+        """Files of this ending to another folder, with another ending and, for a single file, another name."""
+        goal = Folder(self.spark, to)
+        goal._fs.mkdirs(goal._at(""))
+        for n in self.names():
+            if n.endswith(ending) and not n.startswith((".", "_")):
+                self._fs.rename(self._at(n), goal._at((name or n.removesuffix(ending)) + by))
+
     def keep_only(self, live: set[str]) -> None:
         """Removes what no manifest from the newest on names: older manifests and other folders. For times without readers of
         older versions."""

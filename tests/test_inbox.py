@@ -4,6 +4,8 @@ import json
 import statistics
 import time
 
+import pytest
+
 from lorekeep.policy_data import default_policy
 from lorekeep.streaming import inbox
 
@@ -13,6 +15,15 @@ GOOD = {
 }
 
 
+@pytest.fixture(autouse=True)
+def few_states(spark):
+    """A state store for each partition: two will do."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def run(spark, tmp_path, **options):
     q = inbox.run_inbox(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), default_policy(), "cli", **options)
     q.awaitTermination(120)
