@@ -19,7 +19,8 @@ def verified(units: DataFrame, snapshot: DataFrame, code_only: bool = False) ->
     Other source types are UNKNOWN, or with ``code_only`` not looked at and keep theirs. Code of a repository that the
     snapshot doesn't hold keeps its own.
     """
-    now = snapshot.select("repo", "file_path", "symbol", F.col("content_hash").alias("__now"))
+    # one row a symbol; of equal keys the least hash counts (``current_symbols`` picks the first in the file)
+    now = snapshot.groupBy("repo", "file_path", "symbol").agg(F.min("content_hash").alias("__now"))
     repos = snapshot.select("repo").distinct().withColumn("__known", F.lit(True))
     out = units.join(now, ["repo", "file_path", "symbol"], "left").join(repos, "repo", "left")
     state = F.when(F.col("__now").isNull(), "EXPIRED").when(F.coalesce("content_hash", F.lit("")).isin("") | (F.col("content_hash") == F.col("__now")), "FRESH").otherwise("STALE")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sieve import matches_any
 from ..functions.text import blank
 from ..sources.shared import cut
 from .retrieve import drafts, serve
@@ -22,12 +23,12 @@ SCANNED = r"\.(java|yml|yaml|ts|tsx|js|jsx|vue|json|properties|xml|env|md)$|(^|/
 
 def scan(files: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
     """Files (repo, file_path, text) that match any of the patterns."""
-    return files.where(F.col("file_path").rlike(SCANNED) & F.col(text).rlike("|".join(f"({p})" for p in patterns))).select("repo", "file_path")
+    return files.where(F.col("file_path").rlike(SCANNED) & matches_any(F.col(text), patterns)).select("repo", "file_path")
 
 
 def impact(files: DataFrame, impl: list[str], consumer: list[str]) -> DataFrame:
     """repo, impl_files, consumer_files, for every repository that a change of a component touches. One scan."""
-    hit = lambda ps: F.count_if(F.col("text").rlike("|".join(f"({p})" for p in ps)))
+    hit = lambda ps: F.count_if(matches_any(F.col("text"), ps))
     return files.where(F.col("file_path").rlike(SCANNED)).groupBy("repo").agg(hit(impl).alias("impl_files"), hit(consumer).alias("consumer_files")).where("impl_files + consumer_files > 0")
 
 

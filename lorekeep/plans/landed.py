@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import ingest, ops, policy, segments
+from ..operators import ingest, ops, policy, segments, validate
+from ..operators.symbolstore import SymbolStore
 from ..operators.unitstore import UnitStore
 from ..policy_data import default_policy
 from ..sources import readers, writers
@@ -23,8 +24,8 @@ from ..sources.tables import table
 from ..sources.versions import Folder
 from ..streaming.inbox import run_inbox
 from .knowledge import NOW
-from ..operators.symbolstore import SymbolStore
-from .records import BINARY, LATER, ORACLE_SQL, _cat, _files as _source_files, _prov, _units, registered
+from .records import BINARY, LATER, ORACLE_SQL, _cat, _prov, _units, registered
+from .records import _files as _source_files
 
 #: Files that a query lands.
 FILES = 8
@@ -132,12 +133,12 @@ def landed_units(spark, sf_dir):
         return cut(mine.union(readers.units(spark, at, "QA").select("ku_id", "source_type", "repo", "symbol")))
 
 
-@registered("""SELECT 'A' || event_id AS action_id, CASE WHEN event_id % 3 = 0 THEN 'cli' ELSE 'confirm' END AS event FROM events WHERE ts::DATE = (SELECT min(ts::DATE) FROM events)""")
+@registered("""SELECT 'A' || event_id AS action_id, CASE WHEN event_id % 3 = 0 THEN 'cli' ELSE 'classify' END AS event FROM events WHERE ts::DATE = (SELECT min(ts::DATE) FROM events)""")
 def landed_audit(spark, sf_dir):
     """Two appends, broken lines among them; the records of the first day."""
     e = table(spark, sf_dir, "events")
     day = e.agg(F.date_format(F.min("ts"), "yyyy-MM-dd")).first()[0]
-    kinds = {"ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "event": F.when(F.col("event_id") % 3 == 0, "what").otherwise("confirm"), "action_id": _cat("A", F.col("event_id")), "actor": F.lit("cli")}
+    kinds = {"ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "event": F.when(F.col("event_id") % 3 == 0, "what").otherwise("classify"), "action_id": _cat("A", F.col("event_id")), "actor": F.lit("cli")}
     rows = e.select("event_id", *[kinds.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.AUDIT])
     with landing(spark) as at:
         for half in (0, 1):
@@ -179,6 +180,21 @@ def streamed_inbox(spark, sf_dir):
         return cut(spark.read.parquet(f"{at}/out").select("action_id", "status", F.coalesce("failure_reason", F.lit("")).alias("why"), "folder"))
 
 
+@registered(ORACLE_SQL["name_resolution"])
+def landed_projects(spark, sf_dir):
+    """Names and ids looked up in answers that wrap their lists, one of them without a list."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey").cast("string")
+    known = n.select(key.alias("id"), F.lower("n_name").alias("name")).unionByName(n.select(_cat("t", key).alias("id"), _cat("TWIN", F.col("n_regionkey")).alias("name")))
+    asked = n.select(F.col("n_name").alias("query")).union(n.select(key)).union(n.select(_cat("twin", F.col("n_regionkey"))).distinct()).union(spark.createDataFrame([("nobody",)], "query string"))
+    with landing(spark) as at:
+        each = known.groupBy((F.xxhash64("id") % FILES).alias("g")).agg(F.collect_list(F.struct("id", "name")).alias("projects"))
+        _files(each.select(F.to_json(F.struct("projects")).alias("value")), at)
+        spark.createDataFrame([('{"error": "none"}',)], "value string").write.mode("append").text(at)
+        found = validate.resolve_by_name(readers.named_rows(spark, at), asked)
+        return cut(found.select("query", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("error", F.lit("")).alias("error")))
+
+
 @registered("""SELECT 'S' || o_orderkey AS snapshot_id, 'A' || o_orderkey AS action_id, o_orderstatus AS kind FROM orders WHERE o_orderkey % 2 = 0""")
 def landed_snapshots(spark, sf_dir):
     o, n = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0"), F.col("o_orderkey")

@@ -21,7 +21,8 @@ def _objects(spark: SparkSession, path: str | list[str], schema: T.StructType, *
 
 
 def raw_items(spark: SparkSession, path: str) -> DataFrame:
-    """Source dumps: {source_type, text, meta} or flat objects, whose other keys become meta. Needs a source_type."""
+    """Source dumps: {source_type, text, meta} or flat objects, whose other keys become meta. Needs a source_type. A dump is read as
+    one text, so a file has to fit a task."""
     text = spark.read.text(path, wholetext=True)
     one = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
     each = text.select(F.explode(F.from_json(one, "array<map<string,string>>")).alias("m"))
@@ -74,12 +75,14 @@ def documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFr
 def fetched_documents(found: DataFrame, bodies: DataFrame) -> DataFrame:
     """Rows of ``doc_pages`` with their bodies (nodeId, text): node_id, name, file, create_time, chars, text.
 
-    Rows without an id and blank or missing bodies are skipped; a document that several pages list is one. Without a name
+    Rows without an id and blank or missing bodies are skipped; a document that several pages list, or several bodies hold, is
+    one, with the least name, its time, and the greatest body. Without a name
     the id is the name. The file's name is the name's first 40 characters, other than word characters and hyphens as
     underscores, and the id's first 8.
     """
-    listed = found.where(~blank("nodeId")).select("nodeId", F.when(F.col("name") != "", F.col("name")).otherwise(F.col("nodeId")).alias("name"), "createTime").distinct()
-    both = listed.join(bodies.where(~blank("text")).select("nodeId", "text"), "nodeId")
+    listed = found.where(~blank("nodeId")).select("nodeId", F.when(F.col("name") != "", F.col("name")).otherwise(F.col("nodeId")).alias("name"), "createTime")
+    listed = listed.groupBy("nodeId").agg(F.min(F.struct("name", "createTime")).alias("l")).select("nodeId", "l.*")
+    both = listed.join(bodies.where(~blank("text")).groupBy("nodeId").agg(F.max("text").alias("text")), "nodeId")
     stem = F.substring(F.regexp_replace("name", r"(?U)[^\w\-]", "_"), 1, 40)
     file = F.concat(stem, F.lit("_"), F.substring("nodeId", 1, 8), F.lit(".md"))
     return both.select(F.col("nodeId").alias("node_id"), "name", file.alias("file"), F.col("createTime").alias("create_time"), F.length("text").alias("chars"), "text")
@@ -120,6 +123,12 @@ def issues(spark: SparkSession, path: str, limit: int = 80) -> DataFrame:
     return _objects(spark, path, schemas.ISSUE).orderBy(F.col("number").desc()).limit(limit)
 
 
+def named_rows(spark: SparkSession, path: str, field: str = "projects") -> DataFrame:
+    """id, name of answers that wrap a list: {"projects": [...]}. Answers without the list give none."""
+    got = _objects(spark, path, schemas.parse(f"{field} array<struct<id:string,name:string>>"))
+    return got.select(F.explode(field).alias("x")).select("x.*")
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """pod (the file's name), ln (from 0), line. Read line by line, so a large log is split; lines are numbered within a split,
     and a split's first number follows from the counts of those before it, one row for each split."""

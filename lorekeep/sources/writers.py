@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.logs import audit_records
+from .versions import Folder
 
 
 def write_units(units: DataFrame, path: str) -> None:
@@ -32,6 +33,8 @@ def write_packages(packages: DataFrame, path: str) -> None:
 
 
 def write_documents(fetched: DataFrame, path: str) -> None:
-    """Bodies as Parquet, and beside them the manifest, as JSON lines, of what was written."""
+    """Bodies as Parquet, and beside them the manifest, as JSON lines, of what was written. The former manifest goes first, so a
+    failure between the two leaves none, not a false one."""
+    Folder(fetched.sparkSession, f"{path}/manifest").remove()
     fetched.write.mode("overwrite").parquet(f"{path}/bodies")
     fetched.sparkSession.read.parquet(f"{path}/bodies").drop("text").write.mode("overwrite").json(f"{path}/manifest")
