@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_batches, need, table
 
 #: Chunks of up to LONGEST characters that are kept with their count, and how many.
-CACHE, LONGEST = 1 << 18, 40
+CACHE, LONGEST = 1 << 19, 40
 LIMIT = 4096
 
 
