@@ -24,6 +24,8 @@ from ..sources.versions import Folder
 from .store import inventory, upsert
 
 BUCKETS = 64
+#: Rows of a bucket as a store is created, where the number of buckets is left to it. A bucket is a task's.
+BUCKET_ROWS = 1 << 17
 
 
 class UnitStore:
@@ -34,7 +36,9 @@ class UnitStore:
 
     # --- writing ----------------------------------------------------------------------------------------------------------
 
-    def create(self, rows: DataFrame, buckets: int = BUCKETS) -> dict:
+    def create(self, rows: DataFrame, buckets: int | None = BUCKETS) -> dict:
+        """With None as many buckets as hold BUCKET_ROWS each, 16 at least."""
+        buckets = buckets or max(16, -(-rows.count() // BUCKET_ROWS))
         before = self.folder.state()
         name = self._generation(rows, buckets)
         state = {"buckets": buckets, "schema": rows.schema.json(), "generations": [name], "latest": [0] * buckets, "counts": self._counted(self._plain([name]))}

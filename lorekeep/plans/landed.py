@@ -244,7 +244,7 @@ def _stored(spark, sf_dir, at: str) -> UnitStore:
     o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     make = lambda rows, mark, now: _units(rows, ku_id=_cat("K", n), title=_cat(mark, n), source_type=F.lit("QA"), authority=F.when(n % 4 == 0, "DRAFT").otherwise("REVIEWED"), freshness=F.lit("STALE" if mark == "b" else "FRESH"), serve_blocked=n % 4 == 0, created_at=F.lit(now), provenance=_prov(_cat("D", n)))
     s = UnitStore(spark, f"{at}/units")
-    s.create(make(o.where(n % 2 == 0), "a", NOW), 16)
+    s.create(make(o.where(n % 2 == 0), "a", NOW), None)
     s.upsert(make(o.where(n % 3 == 0), "b", LATER))
     s.upsert(make(o.where(n % 100 == 6), "c", LATER))
     return s
