@@ -174,9 +174,9 @@ def streamed_inbox(spark, sf_dir):
     with landing(spark) as at:
         i = _intents(spark, sf_dir)
         for n, part in enumerate((i, i.where("event_id % 2 = 0"))):
-            _lists(part, f"{at}/land{n}", F.col("event_id"), "event_id", F.col("x"))
+            _lists(part, f"{at}/land{n}", F.col("event_id"), "event_id", F.col("x"), None)
             Folder(spark, f"{at}/land{n}").move(f"{at}/in", ".txt", f"-{n}.json")
-            run_inbox(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", default_policy(), BINARY).awaitTermination()
+            run_inbox(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", default_policy(), BINARY, files_a_batch=64).awaitTermination()
         return cut(spark.read.parquet(f"{at}/out").select("action_id", "status", F.coalesce("failure_reason", F.lit("")).alias("why"), "folder"))
 
 
