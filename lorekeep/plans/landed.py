@@ -27,8 +27,8 @@ from .knowledge import NOW
 from .records import BINARY, LATER, ORACLE_SQL, _cat, _prov, _units, registered
 from .records import _files as _source_files
 
-#: Files that a query lands.
-FILES = 8
+#: Files that a query lands, where its result says so or they stay small; else as many as keep a file to FILE_BYTES.
+FILES, FILE_BYTES = 8, 4 << 20
 
 
 @contextmanager
@@ -40,9 +40,13 @@ def landing(spark: SparkSession) -> Iterator[str]:
         folder.remove()
 
 
-def _lists(rows: DataFrame, path: str, key: Column, order: str, form: Column) -> None:
-    """Files that hold a JSON list each."""
-    each = rows.select((key % FILES).alias("g"), F.col(order).alias("o"), form.alias("x"))
+def _lists(rows: DataFrame, path: str, key: Column, order: str, form: Column, files: int | None = FILES) -> None:
+    """Files that hold a JSON list each: so many by the key's remainder, or, with None, as many as the rows' size asks for, dealt by the
+    key's hash. A file is made and read by a task each."""
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(form.alias("x"))))).alias("n")).first()["n"] or 0
+        files, key = max(FILES, -(-size // FILE_BYTES)), F.pmod(F.xxhash64(key), F.lit(max(FILES, -(-size // FILE_BYTES))))
+    each = rows.select((key % files).alias("g"), F.col(order).alias("o"), form.alias("x"))
     lists = each.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda s: s["x"]).alias("xs"))
     _files(lists.select(F.to_json("xs", {"ignoreNullFields": "false"}).alias("value")), path)
 
@@ -62,8 +66,8 @@ def landed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     kind = F.when(i % 7 == 0, F.lit(None).cast("string")).when(i % 2 == 0, "qa").otherwise("issue").alias("source_type")
     with landing(spark) as at:
-        _lists(d.where("doc_id % 2 = 0"), f"{at}/a", i, "doc_id", F.struct(kind, "text", F.struct(i.cast("string").alias("id")).alias("meta")))
-        _lists(d.where("doc_id % 2 = 1"), f"{at}/b", i, "doc_id", F.struct(kind, "text", i.cast("string").alias("id")))
+        _lists(d.where("doc_id % 2 = 0"), f"{at}/a", i, "doc_id", F.struct(kind, "text", F.struct(i.cast("string").alias("id")).alias("meta")), None)
+        _lists(d.where("doc_id % 2 = 1"), f"{at}/b", i, "doc_id", F.struct(kind, "text", i.cast("string").alias("id")), None)
         got = readers.raw_items(spark, f"{at}/a").union(readers.raw_items(spark, f"{at}/b"))
         return cut(got.select(F.col("meta")["id"].alias("id"), "source_type", F.sha2("text", 256).alias("text_sha")))
 
