@@ -70,3 +70,29 @@ def test_batches_cost_the_same(spark, tmp_path):
     took = [p["batchDuration"] for p in q.recentProgress if p["numInputRows"]]
     assert len(took) == 24 and len(handled(spark, tmp_path)) == 20
     assert statistics.median(took[-8:]) < 1.5 * statistics.median(took[4:12])
+
+
+def test_time_is_not_spent_on_ids_one_by_one(spark, tmp_path):
+    def land(n, ids):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n:04}.json").write_text(json.dumps([GOOD | {"action_id": f"AI-20240101-{i:08x}"} for i in ids]))
+
+    land(0, range(10))
+    run(spark, tmp_path)
+    land(1, range(10, 20))
+    few = run(spark, tmp_path).lastProgress["batchDuration"]
+    land(2, range(15, 60_000))
+    many = run(spark, tmp_path).lastProgress["batchDuration"]
+    assert [x for x, _ in handled(spark, tmp_path)] == [f"AI-20240101-{i:08x}" for i in range(60_000)]
+    assert many < 4 * few + 4_000
+
+
+def test_first_of_equal_times_is_the_least_as_text(spark, tmp_path):
+    for n, source in enumerate(("work", "test", "cli", "triage") * 30):
+        put(tmp_path, n, n % 3, source=source)
+    put(tmp_path, 200, 7, source=None)
+    (tmp_path / "in" / "201.json").write_text(json.dumps([GOOD | {"action_id": None}, GOOD | {"action_id": ""}]))
+    run(spark, tmp_path)
+    rows = [(r.action_id, r.source, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted((a, s, t) for a, s, t in rows if a and s) == [(f"AI-20240101-{i:08x}", "cli", "execute") for i in range(3)]
+    assert sorted((a or "", t) for a, s, t in rows if not a or not s) == [("", "invalid"), ("AI-20240101-00000007", "invalid")]
